@@ -8,9 +8,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from lectern.llm import simhash
+    from lectern.llm import decontaminate, simhash
 
-    return (simhash,)
+    return (decontaminate, simhash)
 
 
 def queries() -> dict:
