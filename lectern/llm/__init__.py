@@ -8,9 +8,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from lectern.llm import decontaminate, simhash
+    from lectern.llm import decontaminate, linededup, sharding, simhash
 
-    return (decontaminate, simhash)
+    return (decontaminate, linededup, simhash, sharding)
 
 
 def queries() -> dict:
