@@ -8,9 +8,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from lectern.llm import decontaminate, linededup, sharding, simhash
+    from lectern.llm import decontaminate, linededup, pii, sharding, simhash
 
-    return (decontaminate, linededup, simhash, sharding)
+    return (pii, decontaminate, linededup, simhash, sharding)
 
 
 def queries() -> dict:
