@@ -8,9 +8,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from lectern.llm import decontaminate, langid, linededup, pii, sharding, simhash
+    from lectern.llm import decontaminate, langid, linededup, pii, sharding, simhash, warc
 
-    return (langid, pii, decontaminate, linededup, simhash, sharding)
+    return (langid, pii, decontaminate, linededup, warc, simhash, sharding)
 
 
 def queries() -> dict:
