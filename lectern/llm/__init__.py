@@ -8,9 +8,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from lectern.llm import decontaminate, langid, linededup, pii, sharding, simhash, warc
+    from lectern.llm import decontaminate, langid, linededup, mixing, pii, sharding, simhash, vectors, warc
 
-    return (langid, pii, decontaminate, linededup, warc, simhash, sharding)
+    return (langid, pii, decontaminate, linededup, warc, mixing, vectors, simhash, sharding)
 
 
 def queries() -> dict:
