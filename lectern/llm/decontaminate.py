@@ -106,7 +106,7 @@ def _bitmap(windows: DataFrame) -> np.ndarray:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc, n_words, n_hit, n_items, items, contaminated) of every row of ``docs``.
+    """(doc, digest of the text, n_words, n_hit, n_items, items, contaminated) of every row of ``docs``.
 
     ``items`` are the ids of the items with a window in the document, sorted as strings.
     """
@@ -133,6 +133,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", te
     n_hit, named_items = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
         F.col("s.id").alias(doc),
+        F.col("s.digest").alias("digest"),
         "n_words",
         n_hit.alias("n_hit"),
         F.size(named_items).cast("long").alias("n_items"),
@@ -141,6 +142,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", te
     )
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not contaminated."""
+    hit = contamination(docs, benchmark, doc, text).filter("contaminated").select(F.col(doc).alias("_id"), F.col("digest").alias("_d")).distinct()
+    hit = small(settle(hit, "contaminated"))
+    marked = docs.withColumn("_digest", F.xxhash64(text)).alias("d")
+    return marked.join(hit.alias("x"), F.col(f"d.{doc}").eqNullSafe(F.col("x._id")) & (F.col("d._digest") == F.col("x._d")), "left_anti").drop("_digest")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import bytetext
-from lectern.llm.common import settle, table
+from lectern.llm.common import settle, small, table
 from lectern.llm.graph import connected_components, node_key
 
 SEGMENTS, BITS = 4, 2
@@ -122,12 +122,12 @@ def links(distinct_fps: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
 
 
 def components(rows: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """(fp, component_id): for each distinct fingerprint of settled ``rows``, the smallest ``doc`` reachable."""
+    """(fp, root, component_id): for each distinct fingerprint of settled ``rows``, its component and the smallest ``doc`` in it."""
     classes = settle(rows.groupBy("fp").agg(F.min(doc).alias("first")), "simhash-classes")
     reach = settle(connected_components(links(classes.select("fp"))), "simhash-reach")
     rooted = classes.withColumn("node", node_key("fp")).join(reach, "node", "left").select("fp", "first", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "component_id")
+    return rooted.join(least, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc: str = "doc_id", shingle: int = 3) -> DataFrame:
@@ -136,6 +136,24 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc: str = "doc_id", sh
     return rows.join(components(rows, doc), "fp").select(doc, "fp", "component_id")
 
 
+def keep_first(docs: DataFrame, text: str = "text", doc: str = "doc_id", shingle: int = 3) -> DataFrame:
+    """The rows of ``docs`` that are the first of their component; of rows that repeat its id, one."""
+    marked = docs.withColumn("_digest", F.xxhash64(text))
+    rows = settle(fingerprints(marked, text, (doc, "_digest"), shingle), "simhash")
+    rows = settle(rows.join(components(rows, doc), "fp"), "simhash-rows").select(F.col(doc).alias("_id"), F.col("_digest").alias("_d"), "root", "component_id")
+    first = rows.filter(F.col("_id").eqNullSafe(F.col("component_id"))).groupBy("_id", "root").agg(F.min("_d").alias("_d"))
+    same = lambda a, b: F.col(f"{a}._id").eqNullSafe(F.col(f"{b}._id")) & (F.col(f"{a}._d") == F.col(f"{b}._d"))
+    drop = rows.select("_id", "_d").distinct().alias("r").join(first.alias("f"), same("r", "f"), "left_anti")
+    drop = small(settle(drop, "simhash-drop")).alias("x")
+    at = lambda other: F.col(f"d.{doc}").eqNullSafe(F.col(f"{other}._id")) & (F.col("d._digest") == F.col(f"{other}._d"))
+    kept = marked.alias("d").join(drop, at("x"), "left_anti")
+    twice = settle(rows.alias("r").join(first.alias("f"), same("r", "f"), "left_semi").groupBy("_id", "_d").count().filter("count > 1").select("_id", "_d"), "simhash-twice")
+    if not twice.isEmpty():
+        again = kept.alias("d").join(twice.alias("t"), at("t"), "left_semi").dropDuplicates([doc, "_digest"])
+        kept = kept.alias("d").join(twice.alias("t"), at("t"), "left_anti").unionByName(again)
+    return kept.drop("_digest")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
