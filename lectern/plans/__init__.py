@@ -4,7 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    return ()
+    from lectern.plans import texts
+
+    return (texts,)
 
 
 def queries() -> dict:
