@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from lectern.plans import texts
+    from lectern.plans import books, texts
 
-    return (texts,)
+    return (texts, books)
 
 
 def queries() -> dict:
