@@ -58,7 +58,7 @@ def explicit_selection(chapters: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def selector_expand(selector):
     """``1,3-5,9`` as sorted distinct numbers; null if a part is not a number or range from 1 up, or none is left."""
-    parts = F.filter(F.transform(F.split(selector, ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(selector, ","), lambda p: F.trim(p)), lambda p: p != "")
     sound = F.forall(parts, lambda p: p.rlike("^[0-9]+( *- *[0-9]+)?$"))
     first = lambda p: F.trim(F.split_part(p, F.lit("-"), F.lit(1))).try_cast("int")
     last = lambda p: F.when(p.contains("-"), F.trim(F.split_part(p, F.lit("-"), F.lit(2))).try_cast("int")).otherwise(first(p))

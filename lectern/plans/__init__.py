@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from lectern.plans import books, texts
+    from lectern.plans import books, runs, texts
 
-    return (texts, books)
+    return (texts, books, runs)
 
 
 def queries() -> dict:
