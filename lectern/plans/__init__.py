@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from lectern.plans import books, runs, texts
+    from lectern.plans import books, pages, runs, texts
 
-    return (texts, books, runs)
+    return (texts, books, pages, runs)
 
 
 def queries() -> dict:
