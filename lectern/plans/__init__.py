@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from lectern.plans import books, pages, runs, texts
+    from lectern.plans import archives, books, pages, runs, texts
 
-    return (texts, books, pages, runs)
+    return (texts, books, pages, archives, runs)
 
 
 def queries() -> dict:
