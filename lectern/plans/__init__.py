@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from lectern.plans import archives, books, pages, runs, texts
+    from lectern.plans import archives, books, pages, runs, streams, texts
 
-    return (texts, books, pages, archives, runs)
+    return (texts, books, pages, archives, runs, streams)
 
 
 def queries() -> dict:

@@ -1 +1 @@
-
+"""Structured Streaming over worker messages and telemetry."""
