@@ -7,6 +7,8 @@ later one covers its lines.  Covered lines go, whichever windows cover them.
 Lines are what newlines separate, compared as they are.  A text of fewer lines has no window and stays; a
 null text stays null and has no lines.  Rows that repeat a document id are told apart by their text; rows
 that repeat both lose the same lines.  A null id comes before all others.
+
+Both sides of each join grow with the corpus, so the joins are sort-merge joins at every size.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ def repeated_windows(docs: DataFrame, doc: str = "doc_id", text: str = "text") -
     windows = hashed.select("id", "digest", F.posexplode(F.arrays_zip(F.transform(starts, over("a")).alias("a"), F.transform(starts, over("b")).alias("b"))).alias("at", "w"))
     windows = settle(windows.select("id", "digest", "at", "w.a", "w.b"), "line-windows")
     often = windows.groupBy("a", "b").count().filter("count > 1").select("a", "b")
-    again = settle(windows.join(often, ["a", "b"]), "repeated-windows")
+    again = settle(windows.join(often.hint("merge"), ["a", "b"]), "repeated-windows")
     first = again.groupBy("a", "b").agg(F.min(F.struct("id", "digest", "at")).alias("first"))
     later = again.join(first, ["a", "b"]).filter(~F.struct("id", "digest", "at").eqNullSafe(F.col("first")))
     return later.select("id", "digest", "at")
@@ -44,7 +46,7 @@ def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Dat
     gone = settle(covered.groupBy("id", "digest").agg(F.collect_set("line").alias("gone")), "covered-lines")
     rest = [c for c in docs.columns if c != text]
     rows = docs.select(*rest, F.xxhash64(text).alias("_digest"), F.split(text, "\n", -1).alias("_lines")).alias("d")
-    joined = rows.join(gone.alias("g"), F.col(f"d.{doc}").eqNullSafe(F.col("g.id")) & (F.col("d._digest") == F.col("g.digest")), "left")
+    joined = rows.join(gone.alias("g").hint("merge"), F.col(f"d.{doc}").eqNullSafe(F.col("g.id")) & (F.col("d._digest") == F.col("g.digest")), "left")
     lines = F.col("d._lines")
     places = F.array_except(F.sequence(F.lit(1), F.size(lines)), F.transform("gone", lambda i: i + 1))
     kept = F.when(F.col("gone").isNull(), lines).otherwise(F.transform(places, lambda i: F.element_at(lines, i)))
