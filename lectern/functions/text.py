@@ -7,14 +7,18 @@ from pyspark.sql import functions as F
 
 from lectern.schemas import ABBREVIATIONS, MIN_CHUNK_CHARS
 
-_SPACE = r"(?U)[\s\x1c-\x1f]"
-_LINE_END = r"\r\n|[\n\r\x0B\f\x1c-\x1e\x85\u2028\u2029]"
+#: White space as Unicode has it, and the separators of the C0 set.
+_SPACES = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_SPACE = f"[{_SPACES}]"
+_ODD_SPACE = f"[{_SPACES[1:]}]"
+_LINE_END = "\r\n|[\n\r\x0b\f\x1c\x1d\x1e\x85\u2028\u2029]"
 _MARK = "\u0001"
+_SHORT = "|".join(x[:-1] for x in ABBREVIATIONS)
 
 
 def strip(text: Column) -> Column:
-    """``text`` without Unicode white space at its ends."""
-    return F.regexp_replace(text, rf"^{_SPACE}+|{_SPACE}+\z", "")
+    """``text`` without white space at its ends."""
+    return F.btrim(text, F.lit(_SPACES))
 
 
 def collapse_ws(text: Column) -> Column:
@@ -24,8 +28,8 @@ def collapse_ws(text: Column) -> Column:
 
 def normal_lines(text: Column) -> Column:
     """The non-empty lines, each with single spaces: the paragraphs of a text."""
-    lines = F.split(F.replace(text, F.lit("\u00a0"), F.lit(" ")), _LINE_END)
-    return F.filter(F.transform(lines, lambda x: strip(F.regexp_replace(x, r"[ \t\r\f\x0B]+", " "))), lambda x: x != "")
+    text = F.regexp_replace(F.replace(text, F.lit("\u00a0"), F.lit(" ")), r"[ \t]{2,}|\t", " ")
+    return F.filter(F.transform(F.split(text, _LINE_END), lambda x: strip(x)), lambda x: x != "")
 
 
 def normalize_text(text: Column) -> Column:
@@ -33,18 +37,19 @@ def normalize_text(text: Column) -> Column:
     return F.array_join(normal_lines(text), "\n\n")
 
 
-def split_sentences(text: Column) -> Column:
-    """Sentences, cut at white space after . ! ? or an ellipsis, but not after an abbreviation."""
-    for short in ABBREVIATIONS:
-        text = F.replace(text, F.lit(short), F.lit(short.replace(".", _MARK)))
-    parts = F.transform(F.split(text, rf"(?<=[.!?…]){_SPACE}+"), strip)
+def _protected(text: Column) -> Column:
+    """Abbreviations with a mark, as long as the full stop it stands for."""
+    return F.regexp_replace(text, rf"({_SHORT})\.", f"$1{_MARK}")
 
-    def restored(part: Column) -> Column:
-        for short in ABBREVIATIONS:
-            part = F.replace(part, F.lit(short.replace(".", _MARK)), F.lit(short))
-        return part
 
-    return F.transform(F.filter(parts, lambda x: x != ""), restored)
+def _restored(text: Column) -> Column:
+    return F.when(text.contains(_MARK), F.regexp_replace(text, rf"({_SHORT}){_MARK}", "$1.")).otherwise(text)
+
+
+def split_sentences(text: Column) -> Column:
+    """Sentences, cut at white space after . ! ? or an ellipsis, but not after an abbreviation."""
+    parts = F.transform(F.split(_protected(text), rf"(?<=[.!?…]){_SPACE}+"), lambda x: strip(x))
+    return F.transform(F.filter(parts, lambda x: x != ""), lambda x: _restored(x))
 
 
 def hard_split(text: Column, limit: int) -> Column:
@@ -66,9 +71,18 @@ def pack_units(units: Column, limit: int) -> Column:
 
 
 def paragraph_chunks(paragraph: Column, limit: int) -> Column:
-    """The chunks of one paragraph; packing never joins paragraphs, so each is on its own."""
+    """The chunks of one paragraph; packing never joins paragraphs, so each is on its own.
+
+    Where every sentence keeps to the limit and spaces are plain, a chunk is the longest piece that ends a
+    sentence, which one pattern finds; the pieces then make up the whole paragraph again.  Other paragraphs
+    are cut into sentences, those into pieces, and packed.
+    """
     bounded = lambda s: F.when(F.length(s) > limit, hard_split(s, limit)).otherwise(F.array(s))
-    long = pack_units(F.flatten(F.transform(split_sentences(paragraph), bounded)), limit)
+    packed = pack_units(F.flatten(F.transform(split_sentences(paragraph), bounded)), limit)
+    pattern = rf"(?s)\G ?+(.{{1,{limit}}}\z|.{{0,{limit - 1}}}[.!?…](?= ))"
+    quick = F.array(F.regexp_extract_all(_protected(paragraph), F.lit(pattern), F.lit(1)))
+    whole = lambda q: (F.length(F.array_join(q, " ")) == F.length(paragraph)) & ~paragraph.rlike(_ODD_SPACE)
+    long = F.get(F.transform(quick, lambda q: F.when(whole(q), F.transform(q, lambda c: _restored(c))).otherwise(packed)), F.lit(0))
     return F.when(F.length(paragraph) <= limit, F.array(paragraph)).otherwise(long)
 
 
@@ -85,7 +99,8 @@ def enforce_limit(chunks: Column, limit: int) -> Column:
         raise ValueError(f"chunks need a limit of at least {MIN_CHUNK_CHARS}")
     clean = F.filter(F.transform(chunks, strip), lambda c: c != "")
     cut = F.flatten(F.transform(clean, lambda c: F.when(F.length(c) > limit, chunk_text(c, limit)).otherwise(F.array(c))))
-    return F.when(F.exists(cut, lambda c: F.length(c) > limit), F.raise_error(F.lit("a chunk is over the limit"))).otherwise(cut)
+    checked = lambda x: F.when(F.length(x) > limit, F.raise_error(F.lit("a chunk is over the limit"))).otherwise(x)
+    return F.transform(cut, lambda x: checked(x))
 
 
 def escape_metadata(text: Column) -> Column:

@@ -17,9 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, dealt out once where there are fewer files than cores: a file may be one row group."""
+    docs, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if len(docs.inputFiles()) < cores else docs
+
+
 def spine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(book_id, doc_id, text) of documents long enough to be chapters."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir).select("source", "doc_id", "text")
     return docs.filter(F.length(text.strip(F.col("text"))) >= MIN_CHAPTER_CHARS).select(F.col("source").alias("book_id"), "doc_id", "text")
 
 
@@ -42,8 +48,9 @@ def options():
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per chunk: its place in the book, key, seed and the stand-in duration of its narration."""
-    chunked = spine(spark, sf_dir).select("book_id", "doc_id", text.chunk_text(F.col("text"), LIMIT).alias("chunks")).filter(F.size("chunks") > 0)
-    placed = prefix_sums(chunked, ["book_id"], position_bucket(F.col("doc_id")), ["doc_id"], {"chapter_index": F.lit(1).cast("long"), "upto": F.size("chunks").cast("long")})
+    chunked = spine(spark, sf_dir).select("book_id", "doc_id", text.chunk_text(F.col("text"), LIMIT).alias("chunks"))
+    filled = (F.size("chunks") > 0).cast("long")
+    placed = prefix_sums(chunked, ["book_id"], position_bucket(F.col("doc_id")), ["doc_id"], {"chapter_index": filled, "upto": F.size("chunks").cast("long")})
     rows = placed.select("book_id", "doc_id", "chapter_index", F.size("chunks").cast("long").alias("chapter_chunks"), "upto", F.posexplode("chunks").alias("i", "text"))
     rows = rows.withColumn("chunk_index", F.col("i").cast("long") + 1).withColumn("sequence", F.col("upto") - F.col("chapter_chunks") + F.col("chunk_index"))
     rows = rows.withColumn("key", keys.chunk_key(F.lit(ENGINE), options(), F.col("text")))

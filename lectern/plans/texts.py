@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.plans import sql
-from lectern.plans.tables import LIMIT, spine, table
+from lectern.plans.tables import LIMIT, documents, spine, table
 
 PIECE, WIDE = 120, 760
 
 
 def _docs(spark, d):
-    return table(spark, d, "documents").select("doc_id", "text")
+    return documents(spark, d).select("doc_id", "text")
 
 
 def normalize_text(spark, d):

@@ -88,6 +88,6 @@ def test_small_limits_are_refused():
 
 
 def test_metadata_values_and_durations(spark):
-    assert column(spark, ["a=b\;c#d\\e\nf\rg"], T.escape_metadata) == ["a\\=b\\;c\\#d\\\\e f g"]
+    assert column(spark, ["a=b;c#d\\e\nf\rg"], T.escape_metadata) == ["a\\=b\\;c\\#d\\\\e f g"]
     rows = spark.createDataFrame([(0, 3725.4), (1, 65.5), (2, 0.5), (3, -4.0), (4, 2.5)], "i int, s double").select("i", T.format_duration(F.col("s")).alias("y"))
     assert [r.y for r in rows.orderBy("i").collect()] == ["1 sa 02 dk", "1 dk 06 sn", "0 sn", "0 sn", "2 sn"]
