@@ -5,15 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.operators.engine import SteadyEngine, apply_engine, guarded_apply
 from lectern.operators.telemetry import micros, ratio
 from lectern.plans import runs, sql
-from lectern.plans.tables import jobs, table
-from lectern.sources.sinks import publish_batch
+from lectern.plans.tables import jobs, messages, table
+from lectern.sources.sinks import publish, publish_batch
 from lectern.streaming import telemetry as S
+from lectern.streaming.observers import observed
 
 
 def _shared(spark: SparkSession) -> str:
@@ -85,7 +86,23 @@ def guarded(spark, d):
     return guarded_apply(rows, SteadyEngine(), 220).select("task_id", "sample_rate", (F.col("frames") > 0).alias("voiced"))
 
 
+def atomic_publish(spark, d):
+    """Chunk lists published by book, and read back."""
+    path = _shared(spark)
+    publish(jobs(spark, d).select("book_id", "sequence", "task_id"), path, "book_id")
+    return spark.read.schema("sequence long, task_id string, book_id string").parquet(path)
+
+
+def observers(spark, d):
+    """The metrics that a hook sees when all events have been read."""
+    metrics = Observation()
+    observed(messages(spark, d), metrics).write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([metrics.get], "events long, cache_hits long, chars long, longest_ms long")
+
+
 QUERIES = {
+    "b3_atomic_publish": atomic_publish,
+    "l4_observers": observers,
     "k1_stream_messages": stream_messages,
     "k2_stream_throughput": stream_throughput,
     "k3_stream_throttle": stream_throttle,
@@ -96,6 +113,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "b3_atomic_publish": f"WITH {sql.JOBS} SELECT book_id, sequence, task_id FROM jobs",
+    "l4_observers": f"WITH {sql.MESSAGES} SELECT count(*) AS events, count(*) FILTER (cached) AS cache_hits, CAST(sum(chars) AS BIGINT) AS chars, max(audio_ms) AS longest_ms FROM messages",
     "k1_stream_messages": runs.ORACLES["a8_worker_messages"],
     "k2_stream_throughput": runs.ORACLES["f6_eta"].replace("SELECT run_id, task_id, round(", "SELECT run_id, task_id, processed, made_audio, fresh, round(f, 6) AS realtime_factor, round("),
     "k4_stream_worker_stats": runs.ORACLES["e6_worker_throughput"],

@@ -32,3 +32,24 @@ def test_lines_keep_their_order(spark, tmp_path):
 def test_throttled_stream_equals_batch_within_an_hour(spark):
     stream = {(r.device, r.event_id) for r in streams.stream_throttle(spark, SF).collect()}
     assert stream and len(stream) <= runs.QUERIES["f10_throttle_samples"](spark, SF).count()
+
+
+def test_listener_reports_batches(spark, tmp_path):
+    import time
+
+    from lectern.streaming.observers import Progress
+
+    seen, listener = [], None
+    listener = Progress(lambda batch, rows, rate: seen.append((batch, rows)))
+    spark.streams.addListener(listener)
+    try:
+        spark.range(25).write.parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("id long").parquet(f"{tmp_path}/in")
+        stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/c").foreachBatch(sinks.publish_batch(f"{tmp_path}/out")).start().awaitTermination()
+        for _ in range(50):
+            if seen:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    assert sum(rows for _, rows in seen) == 25
