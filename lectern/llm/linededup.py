@@ -48,12 +48,12 @@ def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Dat
     rows = docs.select(*rest, F.xxhash64(text).alias("_digest"), F.split(text, "\n", -1).alias("_lines")).alias("d")
     joined = rows.join(gone.alias("g").hint("merge"), F.col(f"d.{doc}").eqNullSafe(F.col("g.id")) & (F.col("d._digest") == F.col("g.digest")), "left")
     lines = F.col("d._lines")
-    places = F.array_except(F.sequence(F.lit(1), F.size(lines)), F.transform("gone", lambda i: i + 1))
-    kept = F.when(F.col("gone").isNull(), lines).otherwise(F.transform(places, lambda i: F.element_at(lines, i)))
+    places = F.array_except(F.sequence(F.lit(1), F.size(lines)), F.transform(F.col("g.gone"), lambda i: i + 1))
+    kept = F.when(F.col("g.gone").isNull(), lines).otherwise(F.transform(places, lambda i: F.element_at(lines, i)))
     return joined.select(
         *(F.array_join(kept, "\n").alias(c) if c == text else F.col(f"d.{c}") for c in docs.columns),
         F.when(lines.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
+        F.when(F.col("g.gone").isNull(), 0).otherwise(F.size("g.gone")).cast("long").alias("n_removed"),
     )
 
 

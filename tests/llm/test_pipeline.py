@@ -34,6 +34,20 @@ def test_stages(spark):
     assert Counter(len({(r.shard, r.slot) for r in docs.collect()}) for _ in "x") == Counter([docs.count()])
 
 
+def test_clashing_columns(spark, write):
+    names = ["shard", "slot", "block", "bucket", "digest", "fp", "root", "score", "count", "mix_position", "id"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    for n in names:
+        docs = docs.withColumn(n, docs.doc_id)
+    folder = write(docs, "documents")
+    write(spark.read.parquet(f"{SF}/labels.parquet"), "labels")
+    write(spark.read.parquet(f"{SF}/benchmark.parquet"), "benchmark")
+    got = corpus_pipeline.run(spark, folder)
+    assert set(got.columns) == set(docs.columns)
+    rows = got.collect()
+    assert rows and all(r[n] == r.doc_id for r in rows for n in names if n not in ("shard", "slot"))
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None, None, None, None)] * 2 + [(2, "", "en", "a", 0), (None, "text of some words", None, None, None)]])
 def test_awkward_documents(spark, write, rows):
     folder = write(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "documents")
