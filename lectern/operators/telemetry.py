@@ -12,7 +12,8 @@ ORDER = ["ts", "task_id"]
 
 
 def micros(ts: Column) -> Column:
-    return F.unix_micros(ts.cast("timestamp"))
+    """Microseconds since 1970 by the clock that ``ts`` shows, whatever the session's time zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
 
 
 def day(ts: Column) -> Column:
