@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of rows that Spark hands to a Python worker at once.
+ARROW_BYTES = 16 << 20
 #: Rows of a side that may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 
@@ -44,3 +46,9 @@ def settle(df: DataFrame, label: str = "stage") -> DataFrame:
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A settled ``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+def for_python(rows: DataFrame) -> DataFrame:
+    """``rows`` for a mapInArrow: from here on the session's batches hold at most ARROW_BYTES, or one row."""
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{ARROW_BYTES}b")
+    return rows

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.llm import bytetext
-from lectern.llm.common import settle, small, table
+from lectern.llm.common import for_python, settle, small, table
 
 WINDOW, GRAM = 13, 5
 #: A document is contaminated if at least one word in this many is hit.
@@ -92,7 +92,7 @@ def _windows(rows: DataFrame, key: str, text: str, lengths: list[int], shared=No
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(found, shape)], names=["id", "digest", "n_words", "windows"])
 
     source = rows.select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("digest"), F.col(text).cast("string").alias("text"))
-    return source.mapInArrow(run, f"id {source.schema[0].dataType.simpleString()}, digest bigint, n_words bigint, windows {_WINDOWS}")
+    return for_python(source).mapInArrow(run, f"id {source.schema[0].dataType.simpleString()}, digest bigint, n_words bigint, windows {_WINDOWS}")
 
 
 def _bitmap(windows: DataFrame) -> np.ndarray:

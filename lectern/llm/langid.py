@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import bytetext
-from lectern.llm.common import table
+from lectern.llm.common import for_python, table
 
 BUCKETS, CENTROIDS, SAMPLE, PER_LANGUAGE = 4096, 4, 4800, 600
 #: Share of a language's sampled texts that may lie beyond its rejection distance.
@@ -69,7 +69,7 @@ def document_frequencies(rows: DataFrame, text: str) -> np.ndarray:
                 total += (counts > 0).sum(axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), pa.array(total)], names=["bucket", "n"])
 
-    summed = rows.select(F.col(text).cast("string")).mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+    summed = for_python(rows.select(F.col(text).cast("string"))).mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
     df = np.zeros(BUCKETS)
     for r in summed.collect():  # BUCKETS rows
         df[r.bucket] = r.n
@@ -90,7 +90,7 @@ def sampled_vectors(rows: DataFrame, text: str, idf: np.ndarray) -> dict[str, np
 
     chosen = rows.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64("pick", F.lit("sample")), F.lit(1_000_000)) < F.col("share"))
     found: dict[str, list] = {}
-    for r in chosen.select("lang", F.col(text).cast("string").alias("text")).mapInArrow(run, "lang string, v binary").collect():
+    for r in for_python(chosen.select("lang", F.col(text).cast("string").alias("text"))).mapInArrow(run, "lang string, v binary").collect():
         found.setdefault(r.lang, []).append(np.frombuffer(r.v, np.float32))
     return {k: np.array(v) for k, v in sorted(found.items())}
 
@@ -150,7 +150,7 @@ def predict(rows: DataFrame, model: dict, keep: tuple[str, ...], text: str = "te
     body = F.col(text).cast("string")
     source = rows.select(*keep, body.alias("_text"), F.coalesce(body.rlike(r"\p{L}"), F.lit(False)).alias("_lettered"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
-    return source.mapInArrow(run, f"{schema}, lang_pred string, score double, rejected boolean")
+    return for_python(source).mapInArrow(run, f"{schema}, lang_pred string, score double, rejected boolean")
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

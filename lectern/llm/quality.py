@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm import bytetext
-from lectern.llm.common import table
+from lectern.llm.common import for_python, table
 
 LABELLED, POOL, ROUNDS, SURE = 5000, 3000, 4, 0.95
 #: Pseudo-labels of each kind that a view passes on in a round, at most.
@@ -131,7 +131,7 @@ def sample(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str =
             packed = [pa.array([v.tobytes() for v in x], pa.binary()) for x in (content, meta)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *packed], names=["y", "fold", "content", "meta"])
 
-    got = sorted((r for r in rows.mapInArrow(run, "y double, fold bigint, content binary, meta binary").collect()), key=lambda r: (r.fold is None, r.fold or 0, r.content))
+    got = sorted((r for r in for_python(rows).mapInArrow(run, "y double, fold bigint, content binary, meta binary").collect()), key=lambda r: (r.fold is None, r.fold or 0, r.content))
     y = np.array([np.nan if r.y is None else r.y for r in got], float)
     unpack = lambda name, width: np.frombuffer(b"".join(r[name] for r in got), np.float32).reshape(len(got), width)
     return y, unpack("content", BUCKETS + SHAPES), unpack("meta", SOURCES + LANGS + 3)
@@ -189,7 +189,7 @@ def scored(docs: DataFrame, model: dict | None, keep: list[str], text: str = "te
     schema = T.StructType(list(docs.select(*keep).schema.fields))
     for name in ("_q_content", "_q_meta", "_q_score"):
         schema = schema.add(name, "double")
-    return docs.select(*keep, *_inputs(docs, text)).mapInArrow(run, schema)
+    return for_python(docs.select(*keep, *_inputs(docs, text))).mapInArrow(run, schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text") -> dict | None:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import bytetext
-from lectern.llm.common import settle, small, table
+from lectern.llm.common import for_python, settle, small, table
 from lectern.llm.graph import connected_components, node_key
 
 SEGMENTS, BITS = 4, 2
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
 
     rows = docs.select(*keep, F.col(text).cast("string").alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
-    return rows.mapInArrow(run, f"{schema}, fp bigint")
+    return for_python(rows).mapInArrow(run, f"{schema}, fp bigint")
 
 
 def _segment(fp, i: int, of: int):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import settle, table
+from lectern.llm.common import for_python, settle, table
 from lectern.llm.graph import connected_components, node_key
 
 COSINE, TREES, LEAF, SPILL, SEED = 0.9, 6, 256, 0.05, 42
@@ -64,7 +64,7 @@ def forest(classes: DataFrame, trees: int = TREES, leaf: int = LEAF, spill: floa
                         names=["tree", "node", "cls", "p"],
                     )
 
-    level = settle(classes.select("cls", "v").mapInArrow(run, "tree int, node string, cls bigint, p array<float>"), "forest-level")
+    level = settle(for_python(classes.select("cls", "v")).mapInArrow(run, "tree int, node string, cls bigint, p array<float>"), "forest-level")
     done = []
     for _ in range(DEPTH):  # each level drops the projection it has used
         here = F.col("p")[0]
