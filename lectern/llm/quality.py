@@ -82,14 +82,22 @@ def metadata_view(source: list, lang: list, size: np.ndarray, lines: np.ndarray)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 12) -> np.ndarray:
-    """Weights, the last one the intercept, of a ridge logistic regression by Newton's method."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
+    """Weights, the last one the intercept, of a ridge logistic regression by Newton's method.
+
+    The rows stay in single precision, so that no second, wider copy of them is held; the system is solved in
+    double precision.
+    """
+    x = np.hstack([x, np.ones((len(x), 1))]).astype(np.float32)
     w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
     penalty[-1] = 1e-6
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - y) + penalty * w
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(penalty), gradient)
+        p = 1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32), -30, 30)))
+        gradient = x.T @ (p - y).astype(np.float32) + penalty * w
+        curved = np.zeros((x.shape[1], x.shape[1]))
+        for lo in range(0, len(x), 1024):
+            part = x[lo : lo + 1024]
+            curved += (part * (p[lo : lo + 1024] * (1 - p[lo : lo + 1024]) + 1e-6)[:, None].astype(np.float32)).T @ part
+        step = np.linalg.solve(curved + np.diag(penalty), gradient)
         w = w - step
         if np.abs(step).max() < 1e-4:
             break
@@ -97,7 +105,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 12)
 
 
 def margin(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return x.astype(np.float64) @ w[:-1] + w[-1]
+    return (x @ w[:-1].astype(x.dtype)).astype(np.float64) + w[-1]
 
 
 def _inputs(docs: DataFrame, text: str) -> list:
