@@ -5,7 +5,10 @@ median, and those within ``SPILL`` of the median's rank go to both sides, until
 Directions depend on tree and depth only, so all projections are taken once; a split's two quantiles come
 from an approximate percentile that Spark merges from partial sketches, and a whole level is one job.  Leaves
 that random splits no longer divide are compared in blocks.  Pairs in a leaf are verified by cosine in double
-precision; the links of all trees are united.
+precision; the links of all trees, thinned to as many as connect the same vectors, give the components.  Then all
+pairs of a component are compared, in blocks that give counts and store no pair, so ``n_links`` is exact inside a
+component however many vectors are near each other.  Deeper trees part more pairs, so there are more of them:
+enough to find a lone pair at the threshold with ``RECALL`` under a Gaussian model.
 
 Vectors that are null, empty, zero or hold null or non-finite components link with nothing, and nor do
 vectors of different lengths.  Repeated rows are vectors of their own; a null id never names a component
@@ -14,6 +17,7 @@ unless all ids in it are null.  No row gives no row.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +34,10 @@ COSINE, TREES, LEAF, SPILL, SEED = 0.9, 6, 256, 0.05, 42
 DEPTH = 40
 #: Rows of one side of a comparison.
 BLOCK = 256
+#: Rows of one side of a comparison inside a component, where only counts leave.
+COUNT_BLOCK = 2048
+#: Share of the lone pairs at the threshold that the forest is to find.
+RECALL = 0.95
 
 
 def directions(tree: int, width: int) -> np.ndarray:
@@ -37,6 +45,17 @@ def directions(tree: int, width: int) -> np.ndarray:
     return np.random.default_rng([SEED, tree, width]).standard_normal((width, DEPTH)).astype(np.float32)
 
 
+def trees_for(classes: int, cosine: float = COSINE, leaf: int = LEAF, spill: float = SPILL) -> int:
+    """Trees that find a lone pair with ``cosine`` among so many classes with RECALL; never under TREES."""
+    levels = math.ceil(math.log(max(1.0, classes / leaf)) / -math.log(0.5 + spill))
+    y = np.linspace(0, 8, 8001)
+    margin = y[np.searchsorted([0.5 * math.erfc(-a / math.sqrt(2)) for a in y], 0.5 + spill)]  # where the spill ends
+    tail = np.array([0.5 * math.erfc((margin + cosine * a) / math.sqrt(2 * (1 - cosine**2))) for a in y])
+    parted = 2 * float(np.sum((np.exp(-y * y / 2) * tail)[y >= margin])) * (y[1] - y[0]) / math.sqrt(2 * math.pi)
+    together = (1 - parted) ** levels
+    return TREES if together >= RECALL else max(TREES, math.ceil(math.log(1 - RECALL) / math.log(1 - together)))
+
+
 def classes_of(rows: DataFrame, vec: str, key: str) -> DataFrame:
     """(cls, n, first, v): the distinct linkable vectors, how many rows share each, and their smallest id."""
     v = F.col(vec).cast("array<double>")
@@ -89,9 +108,30 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def links(classes: DataFrame, leaves: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
+def connected(p: np.ndarray, q: np.ndarray, n: int) -> np.ndarray:
+    """For each of n nodes the smallest node that the edges p-q connect it with."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, p, label[q])
+        np.minimum.at(new, q, label[p])
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def unit(vectors) -> np.ndarray:
+    x = np.array(vectors.tolist(), np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def links(classes: DataFrame, leaves: DataFrame, cosine: float = COSINE, block: int = BLOCK, thin: bool = False) -> DataFrame:
     """(src, dst) of the pairs of classes that share a leaf and have the cosine, src below dst.
 
+    ``thin`` gives instead, from each comparison, one pair per class, which connect the same classes.
+
     A leaf is cut into blocks by a hash, and each pair of its blocks is a group of its own: no task holds
     more than two blocks, however large a leaf that could not be split may be.
     """
@@ -105,13 +145,16 @@ def links(classes: DataFrame, leaves: DataFrame, cosine: float = COSINE, block:
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         first = pdf["own"].to_numpy() == pdf["i"].iloc[0]
         ids = pdf["cls"].to_numpy()
-        x = np.array(pdf["v"].tolist(), np.float64)
-        x /= np.abs(x).max(axis=1, keepdims=True)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x = unit(pdf["v"])
         one = pdf["i"].iloc[0] == pdf["j"].iloc[0]
         a, b = (ids, ids) if one else (ids[first], ids[~first])
         p, q = np.nonzero((x if one else x[first]) @ (x if one else x[~first]).T >= cosine)
         s, d = a[p], b[q]
+        if thin:
+            at = np.arange(len(ids))
+            s, d = ids[connected(*((p, q) if one else (at[first][p], at[~first][q])), len(ids))], ids
+            s, d = np.minimum(s, d), np.maximum(s, d)
+            one = True
         keep = s < d if one else s != d
         return pd.DataFrame({"src": np.minimum(s, d)[keep], "dst": np.maximum(s, d)[keep]})
 
@@ -119,15 +162,47 @@ def links(classes: DataFrame, leaves: DataFrame, cosine: float = COSINE, block:
     return found.distinct()
 
 
+def counted(members: DataFrame, cosine: float = COSINE, block: int = COUNT_BLOCK) -> DataFrame:
+    """(cls, others): the rows of other classes of its component that each class links with.
+
+    ``members`` is a settled (root, cls, n, v).  Small components share tasks; a large one is cut into blocks by a
+    hash, and each pair of its blocks is a group of its own.
+    """
+    sizes = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
+    groups = max(1, -(-members.count() // block))
+    placed = members.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    large = F.col("blocks") > 1
+    placed = placed.withColumn("large", large).withColumn("part", F.when(large, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(groups))))
+    placed = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("large", "part", "root", "cls", "n", "v", "own", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"))
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for _, c in pdf.groupby("root", sort=False):
+            ids, n, x = c["cls"].to_numpy(), c["n"].to_numpy(), unit(c["v"])
+            if c["i"].iloc[0] == c["j"].iloc[0]:
+                near = x @ x.T >= cosine
+                np.fill_diagonal(near, False)
+                found.append((ids, near @ n))
+            else:
+                first = c["own"].to_numpy() == c["i"].iloc[0]
+                near = x[first] @ x[~first].T >= cosine
+                found += [(ids[first], near @ n[~first]), (ids[~first], n[first] @ near)]
+        return pd.DataFrame({"cls": np.concatenate([a for a, _ in found]), "others": np.concatenate([b for _, b in found])})
+
+    found = placed.groupBy("large", "part", "i", "j").applyInPandas(count, "cls bigint, others bigint")
+    return found.groupBy("cls").agg(F.sum("others").alias("others"))
+
+
 def near_duplicates(rows: DataFrame, vec: str = "embedding", key: str = "vec_id", cosine: float = COSINE) -> DataFrame:
     """(key, n_links, component_id) of every row of ``rows``."""
     classes = classes_of(rows, vec, key)
-    pairs = settle(links(classes, forest(classes), cosine), "vector-links")
-    both = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    sizes = classes.select(F.col("cls").alias("dst"), "n")
-    linked = both.join(sizes, "dst").groupBy(F.col("src").alias("cls")).agg(F.sum("n").alias("others"))
-    reach = connected_components(pairs)
-    known = classes.withColumn("node", node_key("cls")).join(linked, "cls", "left").join(reach, "node", "left")
+    leaves = forest(classes, trees_for(classes.count(), cosine))
+    reach = connected_components(settle(links(classes, leaves, cosine, thin=True), "vector-links"))
+    keyed = classes.withColumn("node", node_key("cls"))
+    members = settle(keyed.join(reach, "node").select("root", "cls", "n", "v"), "vector-members")
+    linked = counted(members, cosine)
+    known = keyed.join(linked, "cls", "left").join(members.select("cls", "root"), "cls", "left")
     known = settle(known.select("v", "first", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root")), "vector-known")
     least = known.groupBy("root").agg(F.min("first").alias("component_id"))
     named = known.join(least, "root").select("v", "n_links", "component_id")

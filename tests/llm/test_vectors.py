@@ -57,5 +57,29 @@ def test_recall_of_small_leaves(spark):
     assert got <= want and len(got) >= 0.9 * len(want)
 
 
+def test_links_of_a_dense_group_are_whole(spark):
+    rng = np.random.default_rng(5)
+    centre = rng.standard_normal(64)
+    near = centre / np.linalg.norm(centre) + rng.standard_normal((1500, 64)) * 0.025
+    rows = np.vstack([near, rng.standard_normal((3000, 64))])
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in vectors.near_duplicates(frame).collect()}
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    assert [got[i] for i in range(len(rows))] == want.tolist() and want[:1500].min() > 1000
+
+
+def test_a_component_in_several_blocks_counts_alike(spark):
+    rng = np.random.default_rng(6)
+    rows = np.vstack([rng.standard_normal(16) + rng.standard_normal((70, 16)) * 0.2 for _ in range(3)])
+    frame = spark.createDataFrame([(i % 3, i, 1 + i % 2, v.tolist()) for i, v in enumerate(rows)], "root long, cls long, n long, v array<double>")
+    small, large = ({r.cls: r.others for r in vectors.counted(frame, block=b).collect()} for b in (16, 512))
+    assert small == large and len(small) == 210 and sum(small.values()) > 0
+
+
+def test_deeper_forests_have_more_trees():
+    assert vectors.trees_for(0) == vectors.trees_for(256) == vectors.TREES < vectors.trees_for(1_000_000) < vectors.trees_for(60_000_000)
+
+
 def test_empty_table(spark, write):
     assert vectors.op8_embedding_neardup(spark, write(spark.createDataFrame([], "vec_id long, embedding array<float>"), "embeddings")).collect() == []
