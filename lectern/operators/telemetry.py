@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.operators.ordered import prefix_sums
+from lectern.operators.ordered import numbered, prefix_sums
 from lectern.schemas import LOG_EVERY, MAX_WORKERS, TARGET_REALTIME, TIE_RATIO, VRAM_RESERVE_GB, VRAM_WORKER_GB, WARMUP_CHUNKS
 
 ORDER = ["ts", "task_id"]
@@ -102,7 +102,8 @@ def latest_per_key(events: DataFrame) -> DataFrame:
 
 def config_factor(events: DataFrame, warm_up: int = 2) -> DataFrame:
     """(config, workers, factor): audio made over wall time, the first tasks of each worker left out."""
-    ranked = events.withColumn("n", F.row_number().over(Window.partitionBy("run_id", "worker", day(F.col("ts"))).orderBy(*ORDER))).filter(F.col("n") > warm_up)
+    days = F.coalesce(day(F.col("ts")), F.lit(-(1 << 62)))  # null times come first, as in ORDER
+    ranked = numbered(events.withColumn("_of", F.struct("run_id", "worker")), ["_of"], days, ORDER, "n").filter(F.col("n") > warm_up)
     spans = ranked.groupBy(F.col("run_id").alias("config"), (F.col("worker") + 1).alias("workers")).agg(F.sum("audio_ms").alias("audio_ms"), F.sum("wall_ms").alias("wall_ms"))
     return spans.select("config", "workers", ratio(F.col("audio_ms"), F.col("wall_ms")).alias("factor"))
 

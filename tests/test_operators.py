@@ -125,3 +125,10 @@ def test_eligibility_names_the_first_broken_rule(spark):
     rows = [(1, "xtts", "clone", "o.m4b", True, False, False, 1, 1, 0), (2, "mms", "builtin", "o.M4B", False, False, True, 1, 1, 0), (3, "xtts", "builtin", "o.mp3", True, True, True, 1, 1, 0), (4, "who", "builtin", "o.m4b", True, True, True, 1, 1, 0)]
     got = {r.request_id: r.reject_reason for r in gates.eligible(spark.createDataFrame(rows, columns)).collect()}
     assert got == {1: "no consent", 2: None, 3: "output suffix", 4: "unknown engine"}
+
+
+def test_warm_up_is_the_first_tasks_of_a_worker_not_of_a_day(spark):
+    rows = [(run, i, w, d, i + 1, 1) for run in ("a", None) for w in (0, 1) for i, d in enumerate([None, "2024-01-01", "2024-01-01", "2024-01-02", "2024-01-03"])]
+    events = spark.createDataFrame(rows, "run_id string, task_id long, worker long, d string, audio_ms long, wall_ms long").withColumn("ts", F.to_timestamp_ntz("d"))
+    got = {(r.config, r.workers): r.factor for r in telemetry.config_factor(events).collect()}
+    assert got == {(run, w): 4.0 for run in ("a", None) for w in (1, 2)}
