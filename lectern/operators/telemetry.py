@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,26 +139,42 @@ def capacity(total_gb: Column, used_gb: Column) -> Column:
 
 
 def throttle(samples: DataFrame, seconds: float) -> DataFrame:
-    """Samples at least ``seconds`` after the last kept one of their device, hour by hour.
+    """Samples at least ``seconds`` after the last kept one of their device.
 
-    Which samples stay depends on all earlier ones, so each device and hour is one sorted array that is
-    folded; the first sample of an hour always stays.
+    Which samples stay depends on all earlier ones, so a device is read in order, a batch at a time, and only the
+    time of the last kept sample is carried on.  Samples without a time have no distance and all stay.
     """
     gap = int(seconds * 1_000_000)
-    hours = samples.groupBy("device", F.date_trunc("hour", "ts").alias("hour")).agg(F.array_sort(F.collect_list(F.struct(micros(F.col("ts")).alias("at"), "event_id"))).alias("all"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.expr("cast(array() as array<bigint>)").alias("kept"))
+    timed = samples.select("device", micros(F.col("ts")).alias("at"), "event_id")
 
-    def step(a: Column, s: Column) -> Column:
-        keep = a["last"].isNull() | (s["at"] - a["last"] >= gap)
-        return F.when(keep, F.struct(s["at"].alias("last"), F.array_append(a["kept"], s["event_id"]).alias("kept"))).otherwise(a)
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        started, device, last = False, None, None
+        for b in batches:
+            devices, at, kept = b.column(0).to_pylist(), b.column(1).to_pylist(), []
+            for i, (d, t) in enumerate(zip(devices, at)):
+                if not started or d != device:
+                    started, device, last = True, d, None
+                if last is None or t - last >= gap:
+                    last = t
+                    kept.append(i)
+            yield b.select([0, 2]).take(pa.array(kept, pa.int64()))
 
-    return hours.select("device", F.explode(F.aggregate("all", start, step, lambda a: a["kept"])).alias("event_id"))
+    out = timed.select("device", "event_id").schema
+    ordered = timed.filter("at is not null").repartition("device").sortWithinPartitions("device", "at", "event_id")
+    return ordered.mapInArrow(fold, out).unionByName(timed.filter("at is null").select("device", "event_id"))
 
 
 def change_log(events: DataFrame, key: str = "kind") -> DataFrame:
-    """The events at which ``key`` differs from the one before, day by day of a run."""
-    before = F.lag(key).over(Window.partitionBy("run_id", day(F.col("ts"))).orderBy(*ORDER))
-    return events.withColumn("_before", before).filter(~F.col(key).eqNullSafe(F.col("_before"))).select("run_id", "task_id", key)
+    """The events at which ``key`` differs from the one before in their run.
+
+    Rows are compared day by day; the first of a day is compared with the last of the day before it in the run.
+    """
+    rows = events.withColumn("_of", F.struct("run_id", F.coalesce(day(F.col("ts")), F.lit(-(1 << 62))).alias("day")))
+    ends = rows.groupBy("_of").agg(F.max_by(F.struct(key), F.struct(*ORDER)).alias("_end"))
+    ends = ends.select("_of", F.lag("_end").over(Window.partitionBy("_of.run_id").orderBy("_of.day")).alias("_earlier"))
+    before = F.lag(F.struct(key)).over(Window.partitionBy("_of").orderBy(*ORDER))
+    rows = rows.withColumn("_last", before).join(ends, "_of").withColumn("_before", F.coalesce("_last", "_earlier")[key])
+    return rows.filter(~F.col(key).eqNullSafe(F.col("_before"))).select("run_id", "task_id", key)
 
 
 def first_error_stops(events: DataFrame) -> DataFrame:

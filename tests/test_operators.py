@@ -132,3 +132,12 @@ def test_warm_up_is_the_first_tasks_of_a_worker_not_of_a_day(spark):
     events = spark.createDataFrame(rows, "run_id string, task_id long, worker long, d string, audio_ms long, wall_ms long").withColumn("ts", F.to_timestamp_ntz("d"))
     got = {(r.config, r.workers): r.factor for r in telemetry.config_factor(events).collect()}
     assert got == {(run, w): 4.0 for run in ("a", None) for w in (1, 2)}
+
+
+def test_throttle_and_change_log_go_on_over_clock_boundaries(spark):
+    rows = [(1, i, f"2024-01-01 {t}:00", k) for i, (t, k) in enumerate([("22:50", "x"), ("23:01", "x"), ("23:05", None), ("23:58", None)])]
+    rows += [(1, 4, "2024-01-02 00:01:00", None), (1, 5, "2024-01-02 00:13:00", "x"), (1, 6, "2024-01-04 00:00:00", "x"), (None, 7, "2024-01-01 23:59:00", "y"), (None, 8, "2024-01-02 00:01:00", "y")]
+    events = spark.createDataFrame(rows, "run_id long, task_id long, t string, kind string").withColumn("ts", F.to_timestamp_ntz("t"))
+    samples = events.select(F.col("run_id").alias("device"), F.col("task_id").alias("event_id"), "ts")
+    assert sorted(r.event_id for r in telemetry.throttle(samples, 900).collect()) == [0, 2, 3, 5, 6, 7]
+    assert sorted(r.task_id for r in telemetry.change_log(events).collect()) == [0, 2, 5, 7]

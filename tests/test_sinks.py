@@ -34,6 +34,11 @@ def test_throttled_stream_equals_batch_within_an_hour(spark):
     assert stream and len(stream) <= runs.QUERIES["f10_throttle_samples"](spark, SF).count()
 
 
+def test_throttled_stream_equals_batch(spark):
+    stream = sorted((r.device, r.event_id) for r in streams.stream_throttle(spark, SF).collect())
+    assert stream == sorted((r.device, r.event_id) for r in runs.QUERIES["f10_throttle_samples"](spark, SF).collect())
+
+
 def test_listener_reports_batches(spark, tmp_path):
     import time
 
