@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from lectern.llm import decontaminate, mixing, quality, sharding, simhash
 from lectern.llm.common import settle, table
 
+#: Target weights of the sources; None for the square root of their sizes.
+WEIGHTS = None
+
 
 def drop_poor_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained quality classifier accepts."""
@@ -31,14 +34,15 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the files' order, as the Pfair schedule of their sources has them."""
-    placed = mixing.mixed(docs, prefix="_mix_")
+    placed = mixing.mixed(docs, weights=WEIGHTS, prefix="_mix_")
     return placed.repartitionByRange("_mix_mix_position").sortWithinPartitions("_mix_mix_position").select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their shard and their slot in it, shuffled."""
+    """All documents with their shard and their slot in it, shuffled inside consecutive runs of the mix."""
     sized = docs.withColumn("_size", F.octet_length(F.coalesce("text", F.lit(""))).cast("long") + 1)
-    return sharding.sharded(sized, "doc_id", "_size").drop("_size")
+    placed = settle(mixing.mixed(sized, weights=WEIGHTS, prefix="_mix_").select(*sized.columns, "_mix_mix_position"), "mixed-records")
+    return sharding.sharded(placed, "doc_id", "_size", order="_mix_mix_position").drop("_size", "_mix_mix_position")
 
 
 STAGES = [

@@ -34,6 +34,21 @@ def test_stages(spark):
     assert Counter(len({(r.shard, r.slot) for r in docs.collect()}) for _ in "x") == Counter([docs.count()])
 
 
+def test_weights_of_the_mix_rule_the_slots_of_the_shards(spark, write, monkeypatch):
+    rows = [(i, "word " * 20, "en", "ab"[i % 2], 100) for i in range(8000)]
+    folder = write(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "documents")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for weights, share in (({"a": 9.0, "b": 1.0}, 0.9), ({"a": 1.0, "b": 9.0}, 0.1)):
+        monkeypatch.setattr(corpus_pipeline, "WEIGHTS", weights)
+        got = corpus_pipeline.shard(spark, corpus_pipeline.mix_sources(spark, docs, folder), folder).collect()
+        assert sorted(r.doc_id for r in got) == list(range(8000))
+        for shard in range(8):
+            slots = sorted((r.slot, r.source) for r in got if r.shard == shard)
+            assert [s for s, _ in slots] == list(range(len(slots)))
+            head = [s for _, s in slots[: len(slots) // 2]]
+            assert abs(head.count("a") / len(head) - share) < 0.05
+
+
 def test_clashing_columns(spark, write):
     names = ["shard", "slot", "block", "bucket", "digest", "fp", "root", "score", "count", "mix_position", "id"]
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
