@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -103,12 +105,16 @@ def latest_per_key(events: DataFrame) -> DataFrame:
     return events.groupBy("run_id", "worker").agg(F.max_by(F.struct("kind", "task_id"), F.struct(*ORDER)).alias("last")).select("run_id", "worker", "last.kind", "last.task_id")
 
 
-def config_factor(events: DataFrame, warm_up: int = 2) -> DataFrame:
-    """(config, workers, factor): audio made over wall time, the first tasks of each worker left out."""
-    days = F.coalesce(day(F.col("ts")), F.lit(-(1 << 62)))  # null times come first, as in ORDER
-    ranked = numbered(events.withColumn("_of", F.struct("run_id", "worker")), ["_of"], days, ORDER, "n").filter(F.col("n") > warm_up)
-    spans = ranked.groupBy(F.col("run_id").alias("config"), (F.col("worker") + 1).alias("workers")).agg(F.sum("audio_ms").alias("audio_ms"), F.sum("wall_ms").alias("wall_ms"))
-    return spans.select("config", "workers", ratio(F.col("audio_ms"), F.col("wall_ms")).alias("factor"))
+def config_factor(tasks: DataFrame, warm_up: int = 2) -> DataFrame:
+    """(config, workers, factor): audio made over elapsed time, the first tasks of each worker left out.
+
+    ``tasks`` are (config, workers, worker, task_id, started_ms, ended_ms, audio_ms).  Time runs from the first
+    start to the last end of a configuration's tasks, so tasks that run side by side count once.
+    """
+    minute = F.coalesce(F.floor(F.col("started_ms") / 60_000).cast("long"), F.lit(-(1 << 62)))  # null times come first, as in the order
+    ranked = numbered(tasks.withColumn("_of", F.struct("config", "workers", "worker")), ["_of"], minute, ["started_ms", "task_id", "ended_ms", "audio_ms"], "n").filter(F.col("n") > warm_up)
+    elapsed = F.max("ended_ms") - F.min("started_ms")
+    return ranked.groupBy("config", "workers").agg(ratio(F.sum("audio_ms"), elapsed).alias("factor"))
 
 
 def best_workers(factors: DataFrame, target: float = TARGET_REALTIME, tie: float = TIE_RATIO) -> DataFrame:
@@ -121,9 +127,18 @@ def best_workers(factors: DataFrame, target: float = TARGET_REALTIME, tie: float
     return rows.groupBy("config").agg(F.coalesce(reached, near, F.lit(1)).alias("workers"), reached.isNotNull().alias("target_reached"))
 
 
-def take_while_below(factors: DataFrame, target: float = TARGET_REALTIME) -> DataFrame:
-    """The configurations tried: in worker order, up to and with the first that reaches the target."""
-    first = factors.filter(F.col("factor") >= target).groupBy("config").agg(F.min("workers").alias("stop"))
+def take_while_below(factors: DataFrame, target: float = TARGET_REALTIME, memory: tuple[Column, Column] | None = None) -> DataFrame:
+    """The configurations tried: in worker order, up to and with the first that ends the search.
+
+    That is the first that reaches the target, or, with ``memory`` (a device's total and used GB with so many
+    workers), the first that leaves no room for another worker.  Unknown sizes, null or 0, do not end it.
+    """
+    ends = F.col("factor") >= target
+    if memory is not None:
+        total, used = memory
+        full = (total > 0) & (used > 0) & (F.greatest(total - used, F.lit(0.0)) < VRAM_RESERVE_GB + VRAM_WORKER_GB)
+        ends = ends | F.coalesce(full, F.lit(False))
+    first = factors.filter(ends).groupBy("config").agg(F.min("workers").alias("stop"))
     return factors.join(first, "config", "left").filter(F.col("stop").isNull() | (F.col("workers") <= F.col("stop"))).drop("stop")
 
 
@@ -138,30 +153,92 @@ def capacity(total_gb: Column, used_gb: Column) -> Column:
     return F.least(F.lit(MAX_WORKERS), F.greatest(F.lit(1), fit)).cast("int")
 
 
+#: A device's samples are thinned in blocks of this many intervals, so that one device is many groups.
+INTERVALS = 64
+#: Rows of one group of blocks, about.
+SAMPLES_AT_ONCE = 50_000
+
+
+def _next(at: np.ndarray, block: np.ndarray, gap: int) -> np.ndarray:
+    """For each sample the first of its block at least ``gap`` later; itself if there is none."""
+    line = block * (2 * INTERVALS * gap) + at % (INTERVALS * gap)  # blocks too far apart to reach each other
+    to = np.searchsorted(line, line + gap, "left")
+    own = np.arange(len(at))
+    inside = to < len(at)
+    inside[inside] = block[to[inside]] == block[inside]
+    return np.where(inside, to, own)
+
+
+def _sorted_blocks(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    """The rows by device, block, time and event; which block, from 0, each is in; where blocks begin."""
+    pdf = pdf.assign(_d=pd.factorize(pdf["device"], use_na_sentinel=False)[0]).sort_values(["_d", "block", "at", "event_id"])
+    new = (pdf["_d"].diff().fillna(1) != 0) | (pdf["block"].diff().fillna(1) != 0)
+    return pdf, new.cumsum().to_numpy() - 1, np.flatnonzero(new)
+
+
 def throttle(samples: DataFrame, seconds: float) -> DataFrame:
-    """Samples at least ``seconds`` after the last kept one of their device.
+    """(device, event_id) of the samples at least ``seconds`` after the last kept one of their device.
 
-    Which samples stay depends on all earlier ones, so a device is read in order, a batch at a time, and only the
-    time of the last kept sample is carried on.  Samples without a time have no distance and all stay.
+    Which samples stay depends on all earlier ones, but in a block of INTERVALS intervals only through the first
+    sample that it keeps, which lies in its first interval or is the first one after it.  So each block says
+    for every such sample which one it keeps last; those few rows are read in order, one block leading to the
+    next; then each block keeps the samples that follow from its first.  Samples without a time have no distance
+    and all stay; of samples at the same time the one with the smallest id comes first.
     """
     gap = int(seconds * 1_000_000)
     timed = samples.select("device", micros(F.col("ts")).alias("at"), "event_id")
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        started, device, last = False, None, None
+    if gap <= 0:
+        return timed.select("device", "event_id")
+    width = INTERVALS * gap
+    placed = timed.filter("at is not null").withColumn("block", F.floor(F.col("at") / width).cast("long"))
+    parts = max(1, -(-placed.count() // SAMPLES_AT_ONCE))
+    part = F.pmod(F.xxhash64("device", "block"), F.lit(parts))
+
+    def entries(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, block, begins = _sorted_blocks(pdf)
+        at = pdf["at"].to_numpy()
+        last = _next(at, block, gap)
+        while True:  # follow all chains at once
+            further = last[last]
+            if (further == last).all():
+                break
+            last = further
+        early = at % width < gap
+        after = np.flatnonzero(~early)
+        early[after[np.unique(block[after], return_index=True)[1]]] = True
+        return pdf.assign(exit=at[last])[["device", "block", "at", "event_id", "exit"]][early]
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        started, device, block, last = False, None, None, None
         for b in batches:
-            devices, at, kept = b.column(0).to_pylist(), b.column(1).to_pylist(), []
-            for i, (d, t) in enumerate(zip(devices, at)):
+            kept = []
+            for i, (d, n, at, end) in enumerate(zip(*(b.column(c).to_pylist() for c in ("device", "block", "at", "exit")))):
                 if not started or d != device:
-                    started, device, last = True, d, None
-                if last is None or t - last >= gap:
-                    last = t
+                    started, device, block, last = True, d, None, None
+                if n != block and (last is None or at - last >= gap):
+                    block, last = n, end
                     kept.append(i)
-            yield b.select([0, 2]).take(pa.array(kept, pa.int64()))
-
-    out = timed.select("device", "event_id").schema
-    ordered = timed.filter("at is not null").repartition("device").sortWithinPartitions("device", "at", "event_id")
-    return ordered.mapInArrow(fold, out).unionByName(timed.filter("at is null").select("device", "event_id"))
+            yield b.select(["device", "block", "event_id"]).take(pa.array(kept, pa.int64()))
+
+    def chains(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, block, _ = _sorted_blocks(pdf)
+        to = _next(pdf["at"].to_numpy(), block, gap)
+        kept = pdf["first"].to_numpy().astype(bool)
+        new = np.flatnonzero(kept)
+        while len(new):
+            new = to[new][~kept[to[new]]]
+            kept[new] = True
+        return pdf[["device", "event_id"]][kept]
+
+    device = timed.schema["device"].dataType.simpleString()
+    event = timed.schema["event_id"].dataType.simpleString()
+    few = placed.groupBy(part.alias("part")).applyInPandas(entries, f"device {device}, block long, at long, event_id {event}, exit long")
+    ordered = few.repartition("device").sortWithinPartitions("device", "block", "at", "event_id")
+    firsts = ordered.mapInArrow(follow, f"device {device}, block long, event_id {event}").withColumn("first", F.lit(True))
+    joined = placed.join(firsts, placed["device"].eqNullSafe(firsts["device"]) & (placed["block"] == firsts["block"]) & placed["event_id"].eqNullSafe(firsts["event_id"]), "left")
+    marked = joined.select(placed["device"], placed["block"], "at", placed["event_id"], F.coalesce("first", F.lit(False)).alias("first"))
+    kept = marked.groupBy(part.alias("part")).applyInPandas(chains, f"device {device}, event_id {event}")
+    return kept.unionByName(timed.filter("at is null").select("device", "event_id"))
 
 
 def change_log(events: DataFrame, key: str = "kind") -> DataFrame:

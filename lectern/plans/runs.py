@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lectern.functions import paths
 from lectern.operators import contents, gates, placement, telemetry
 from lectern.plans import sql
-from lectern.plans.tables import gpu_lines, messages, requests, table
+from lectern.plans.tables import gpu_lines, measurements, messages, requests, table
 from lectern.sources import feeds
 
 SLOTS, GAP = 4, 900
@@ -19,7 +19,12 @@ def _tasks(spark, d):
 
 
 def _factors(spark, d):
-    return telemetry.config_factor(messages(spark, d)).withColumn("factor", F.col("factor") * 4)
+    return telemetry.config_factor(measurements(spark, d))
+
+
+def _tried(spark, d):
+    used = F.lit(4.0) + F.col("workers") * 3 + F.col("config") % 4
+    return telemetry.take_while_below(_factors(spark, d), memory=(F.lit(24.0), used)).select("config", "workers")
 
 
 def _samples(spark, d):
@@ -94,13 +99,13 @@ QUERIES = {
     "e7_worker_range": lambda s, d: telemetry.worker_range(messages(s, d)),
     "e8_vram_by_worker": lambda s, d: telemetry.vram_by_worker(messages(s, d), F.col("wall_ms") / 250),
     "e9_mode_set": lambda s, d: telemetry.mode_set(messages(s, d), F.col("kind")),
-    "e10_config_factor": lambda s, d: telemetry.config_factor(messages(s, d)),
+    "e10_config_factor": _factors,
     "e11_best_workers": lambda s, d: telemetry.best_workers(_factors(s, d)),
     "e14_target_percent": lambda s, d: _factors(s, d).select("config", "workers", telemetry.target_percent(F.col("factor")).alias("percent")),
     "f5_throughput_running": lambda s, d: telemetry.running_throughput(messages(s, d)).drop("eta_seconds", "eta_warmup", "ts"),
     "f6_eta": lambda s, d: telemetry.running_throughput(messages(s, d)).select("run_id", "task_id", "eta_seconds", "eta_warmup"),
     "f7_progress_points": lambda s, d: telemetry.progress_points(messages(s, d)).drop("percent"),
-    "f8_take_while": lambda s, d: telemetry.take_while_below(_factors(s, d)).select("config", "workers"),
+    "f8_take_while": _tried,
     "f9_latest_per_key": _latest,
     "f10_throttle_samples": lambda s, d: telemetry.throttle(gpu_lines(s, d), GAP),
     "f11_chapter_change_log": lambda s, d: telemetry.change_log(messages(s, d)),
@@ -121,11 +126,9 @@ QUERIES = {
 }
 
 _M = f"WITH {sql.MESSAGES}"
-_MS = "(epoch_us(ts) // 86400000000)"
 _WT = "wt AS (SELECT *, CASE WHEN wall_ms > 0 THEN round(audio_ms / wall_ms, 6) ELSE 0.0 END AS factor FROM (SELECT run_id, worker, CAST(sum(audio_ms) AS BIGINT) AS audio_ms, CAST(sum(wall_ms) AS BIGINT) AS wall_ms, count(*) AS chunks FROM messages WHERE NOT cached GROUP BY ALL))"
-_CF0 = f"""cf0 AS (SELECT run_id AS config, worker + 1 AS workers, CASE WHEN sum(wall_ms) > 0 THEN round(CAST(sum(audio_ms) AS BIGINT) / CAST(sum(wall_ms) AS BIGINT), 6) ELSE 0.0 END AS factor
-  FROM (SELECT *, row_number() OVER (PARTITION BY run_id, worker, {_MS} ORDER BY ts, task_id) AS n FROM messages) WHERE n > 2 GROUP BY ALL)"""
-_CF = f"{_M}, {_CF0}, cf AS (SELECT config, workers, factor * 4 AS factor FROM cf0)"
+_CF = f"""WITH {sql.MEASURED}, cf AS (SELECT config, workers, CASE WHEN max(ended_ms) > min(started_ms) THEN round(CAST(sum(audio_ms) AS BIGINT) / (max(ended_ms) - min(started_ms)), 6) ELSE 0.0 END AS factor
+  FROM (SELECT *, row_number() OVER (PARTITION BY config, workers, worker ORDER BY started_ms, task_id, ended_ms, audio_ms) AS n FROM measured) WHERE n > 2 GROUP BY ALL)"""
 _RUN = f"""{_M}, r AS (SELECT *, epoch_us(ts) AS now, CAST(sum(chars) OVER w AS BIGINT) AS processed, CAST(sum(audio_ms) OVER w AS BIGINT) AS audio, CAST(sum(CASE WHEN cached THEN 0 ELSE chars END) OVER w AS BIGINT) AS made_chars,
   CAST(sum(CASE WHEN cached THEN 0 ELSE audio_ms END) OVER w AS BIGINT) AS made_audio, CAST(sum(CASE WHEN cached THEN 0 ELSE wall_ms END) OVER w AS BIGINT) AS worked,
   CAST(sum(CAST(cached AS INT)) OVER w AS BIGINT) AS hits, CAST(sum(CAST(NOT cached AS INT)) OVER w AS BIGINT) AS fresh, count(*) OVER w AS done FROM messages WINDOW w AS (PARTITION BY run_id ORDER BY ts, task_id)),
@@ -159,20 +162,20 @@ ORACLES = {
     "e7_worker_range": f"{_M}, {_WT} SELECT run_id, min(factor) AS slowest, max(factor) AS fastest FROM wt WHERE factor > 0 GROUP BY run_id",
     "e8_vram_by_worker": f"{_M} SELECT run_id, round(sum(gb), 2) AS allocated_gb FROM (SELECT run_id, worker, arg_max(wall_ms / 250, {{'t': ts, 'i': task_id}}) AS gb FROM messages GROUP BY ALL) GROUP BY run_id",
     "e9_mode_set": f"{_M} SELECT run_id, string_agg(kind, '+' ORDER BY kind) AS modes FROM (SELECT DISTINCT run_id, kind FROM messages WHERE kind IS NOT NULL) GROUP BY run_id",
-    "e10_config_factor": f"{_M}, {_CF0} SELECT * FROM cf0",
+    "e10_config_factor": f"{_CF} SELECT * FROM cf",
     "e11_best_workers": f"""{_CF}, v AS (SELECT *, max(CASE WHEN factor > 0 THEN factor END) OVER (PARTITION BY config) AS top FROM cf)
       SELECT config, coalesce(min(workers) FILTER (factor >= 4), min(workers) FILTER (factor > 0 AND factor >= top * (1 - 0.03::DOUBLE)), 1) AS workers, count(*) FILTER (factor >= 4) > 0 AS target_reached FROM v GROUP BY config""",
     "e14_target_percent": f"{_CF} SELECT config, workers, least(999, CAST(round_even(factor / 4.0::DOUBLE * 100, 0) AS BIGINT)) AS percent FROM cf",
     "f5_throughput_running": f"{_RUN} SELECT run_id, task_id, cached, processed, audio, made_audio, worked, hits, fresh, round(f, 6) AS realtime_factor, round(wf, 6) AS worker_factor, round(ef, 6) AS end_to_end_factor FROM y",
     "f6_eta": f"{_RUN} SELECT run_id, task_id, round(CASE WHEN rest = 0 THEN 0.0 WHEN f > 0 AND made_chars > 0 AND fresh >= 10 THEN rest * made_audio / made_chars / 1000 / f END, 4) AS eta_seconds, fresh < 10 AND rest > 0 AS eta_warmup FROM y",
     "f7_progress_points": f"{_RUN} SELECT run_id, task_id, done, total_events AS total, NOT cached AND (fresh = 10 OR fresh % 25 = 0) AS logged FROM y",
-    "f8_take_while": f"{_CF} SELECT config, workers FROM cf c WHERE NOT EXISTS (SELECT 1 FROM cf p WHERE p.config = c.config AND p.workers < c.workers AND p.factor >= 4)",
+    "f8_take_while": f"{_CF} SELECT config, workers FROM cf c WHERE NOT EXISTS (SELECT 1 FROM cf p WHERE p.config = c.config AND p.workers < c.workers AND (p.factor >= 4 OR greatest(24.0 - (4.0 + p.workers * 3 + p.config % 4), 0) < 4.5))",
     "f9_latest_per_key": f"{_M} SELECT run_id, worker, kind, task_id FROM (SELECT *, row_number() OVER (PARTITION BY run_id, worker ORDER BY ts DESC, task_id DESC) AS n FROM messages) WHERE n = 1",
-    "f10_throttle_samples": f"""WITH RECURSIVE {sql.GPU}, s AS (SELECT device, date_trunc('hour', ts) AS hour, epoch_us(ts) AS at_, event_id FROM gpu_lines),
-      k(device, hour, kept) AS (SELECT device, hour, min({{'a': at_, 'e': event_id}}) FROM s GROUP BY ALL UNION ALL
-        SELECT k.device, k.hour, (SELECT min({{'a': s.at_, 'e': s.event_id}}) FROM s WHERE s.device = k.device AND s.hour = k.hour AND s.at_ >= k.kept.a + {GAP * 1_000_000}) FROM k WHERE kept IS NOT NULL)
-      SELECT device, kept.e AS event_id FROM k WHERE kept IS NOT NULL""",
-    "f11_chapter_change_log": f"{_M} SELECT run_id, task_id, kind FROM (SELECT *, lag(kind) OVER (PARTITION BY run_id, {_MS} ORDER BY ts, task_id) AS b FROM messages) WHERE kind IS DISTINCT FROM b",
+    "f10_throttle_samples": f"""WITH RECURSIVE {sql.GPU}, s AS (SELECT device, epoch_us(ts) AS at_, min(event_id) AS event_id FROM gpu_lines GROUP BY ALL),
+      n AS (SELECT a.device, a.at_, b.at_ AS next FROM s a ASOF JOIN s b ON a.device = b.device AND a.at_ + {GAP * 1_000_000} <= b.at_),
+      k(device, at_) AS (SELECT device, min(at_) FROM s GROUP BY device UNION ALL SELECT k.device, n.next FROM k JOIN n ON k.device = n.device AND k.at_ = n.at_)
+      SELECT device, s.event_id FROM k JOIN s USING (device, at_)""",
+    "f11_chapter_change_log": f"{_M} SELECT run_id, task_id, kind FROM (SELECT *, lag(kind) OVER (PARTITION BY run_id ORDER BY ts, task_id) AS b FROM messages) WHERE kind IS DISTINCT FROM b",
     "g1_longest_first": f"WITH {_TASKS} SELECT * FROM ranked",
     "g3_balanced_placement": f"WITH {_SNAKE} SELECT l_orderkey, task, rank, slot FROM snake",
     "g4_makespan": f"WITH {_SNAKE} SELECT l_orderkey, round(max(load), 6) AS longest, round(sum(load) / 4, 6) AS mean FROM (SELECT l_orderkey, slot, sum(cost) AS load FROM snake GROUP BY ALL) GROUP BY l_orderkey",

@@ -55,6 +55,8 @@ jobs AS (SELECT book_id, doc_id, sequence, chapter_index, chunk_index, CAST(chap
 artifacts AS (SELECT book_id, task_id, 600 + seed % 2000 AS size, duration_ms / 1000 AS seconds FROM jobs WHERE seed % 3 = 0)"""
 MESSAGES = """messages AS (SELECT user_id AS run_id, ts, event_id AS task_id, event_id % 4 AS worker, event_type AS kind, event_type = 'view' AS cached, event_type = 'error' AS failed,
   CAST(round_even(value * 1000, 0) AS BIGINT) AS audio_ms, coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 0) + 1 AS chars, event_id * 37 % 900 + 100 AS wall_ms FROM events)"""
+MEASURED = """measured AS (SELECT l_suppkey AS config, CAST(l_linenumber AS BIGINT) AS workers, l_orderkey % l_linenumber AS worker, l_orderkey AS task_id,
+  l_orderkey * 37 % 24000 // l_linenumber AS started_ms, l_orderkey * 37 % 24000 // l_linenumber + 100 + l_orderkey % 900 AS ended_ms, CAST(round_even(l_quantity * 20, 0) AS BIGINT) AS audio_ms FROM lineitem)"""
 GPU = """gpu_lines AS (SELECT event_id, user_id % 5 AS device, ts, CASE WHEN event_id % 7 = 0 THEN printf('GPU %d, %d', user_id % 5, event_id % 101)
   ELSE printf('GPU %d, %d, %d.5, %d, 24576', user_id % 5, event_id % 101, event_id % 300, event_id * 13 % 24576) END AS line FROM events)"""
 ENGINES = "engines AS (SELECT * FROM (VALUES ('trendyol', 760, false, false, false), ('xtts', 220, false, true, true), ('mms', 320, false, true, false)) t(engine_id, max_chars, needs_reference, needs_licence, has_speakers))"

@@ -117,6 +117,7 @@ ORACLES = {
     "l4_observers": f"WITH {sql.MESSAGES} SELECT count(*) AS events, count(*) FILTER (cached) AS cache_hits, CAST(sum(chars) AS BIGINT) AS chars, max(audio_ms) AS longest_ms FROM messages",
     "k1_stream_messages": runs.ORACLES["a8_worker_messages"],
     "k2_stream_throughput": runs.ORACLES["f6_eta"].replace("SELECT run_id, task_id, round(", "SELECT run_id, task_id, processed, made_audio, fresh, round(f, 6) AS realtime_factor, round("),
+    "k3_stream_throttle": runs.ORACLES["f10_throttle_samples"],
     "k4_stream_worker_stats": runs.ORACLES["e6_worker_throughput"],
     "k5_dedupe_completions": "SELECT user_id AS run_id, event_id AS task_id FROM events",
     "l1_engine_plugin": f"WITH {sql.JOBS} SELECT book_id || '/' || task_id AS task_id, duration_ms * 24 AS frames, 24000 AS sample_rate FROM jobs",

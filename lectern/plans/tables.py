@@ -76,6 +76,16 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timed tasks of each supplier's configurations: the line number is how many workers share them."""
+    lines, workers = table(spark, sf_dir, "lineitem"), F.col("l_linenumber").cast("long")
+    start = F.floor(F.col("l_orderkey") * 37 % 24000 / workers).cast("long")
+    return lines.select(
+        F.col("l_suppkey").alias("config"), workers.alias("workers"), (F.col("l_orderkey") % workers).alias("worker"), F.col("l_orderkey").alias("task_id"),
+        start.alias("started_ms"), (start + 100 + F.col("l_orderkey") % 900).alias("ended_ms"), F.rint(F.col("l_quantity") * 20).cast("long").alias("audio_ms"),
+    )
+
+
 def gpu_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Telemetry lines, one in seven of them short of a field."""
     events = table(spark, sf_dir, "events")

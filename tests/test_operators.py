@@ -127,11 +127,43 @@ def test_eligibility_names_the_first_broken_rule(spark):
     assert got == {1: "no consent", 2: None, 3: "output suffix", 4: "unknown engine"}
 
 
-def test_warm_up_is_the_first_tasks_of_a_worker_not_of_a_day(spark):
-    rows = [(run, i, w, d, i + 1, 1) for run in ("a", None) for w in (0, 1) for i, d in enumerate([None, "2024-01-01", "2024-01-01", "2024-01-02", "2024-01-03"])]
-    events = spark.createDataFrame(rows, "run_id string, task_id long, worker long, d string, audio_ms long, wall_ms long").withColumn("ts", F.to_timestamp_ntz("d"))
-    got = {(r.config, r.workers): r.factor for r in telemetry.config_factor(events).collect()}
-    assert got == {(run, w): 4.0 for run in ("a", None) for w in (1, 2)}
+def test_factors_go_by_elapsed_time_without_the_first_tasks_of_each_worker(spark):
+    # two workers side by side, started a day apart: warm-up is 0 and 1 of each, whatever the day
+    tasks = [(c, 2, w, i, None if i == 0 else i * 86_400_000 + w, i * 86_400_000 + 1000, 500) for c in ("a", None) for w in (0, 1) for i in range(4)]
+    rows = spark.createDataFrame(tasks, "config string, workers long, worker long, task_id long, started_ms long, ended_ms long, audio_ms long")
+    want = round(4 * 500 / (86_400_000 + 1000), 6)
+    assert {(r.config, r.workers, r.factor) for r in telemetry.config_factor(rows).collect()} == {("a", 2, want), (None, 2, want)}
+    assert telemetry.config_factor(rows, 9).collect() == []
+
+
+def test_search_for_workers_ends_when_memory_does(spark):
+    rows = spark.createDataFrame([(c, w, 1.0, 24.0 if c != "u" else 0.0, 6.0 * w) for c in ("m", "u") for w in (1, 2, 3, 4)], "config string, workers int, factor double, total double, used double")
+    got = telemetry.take_while_below(rows, memory=(F.col("total"), F.col("used"))).collect()
+    assert sorted((r.config, r.workers) for r in got) == [("m", 1), ("m", 2), ("m", 3), ("m", 4), ("u", 1), ("u", 2), ("u", 3), ("u", 4)]
+    got = telemetry.take_while_below(rows.withColumn("used", F.col("used") + 4), memory=(F.col("total"), F.col("used"))).collect()
+    assert sorted(r.workers for r in got if r.config == "m") == [1, 2, 3]
+
+
+def test_throttle_equals_a_walk_over_all_samples(spark, monkeypatch):
+    import random
+    from datetime import datetime, timedelta
+
+    rnd = random.Random(3)
+    monkeypatch.setattr(telemetry, "SAMPLES_AT_ONCE", 200)
+    rows, at = [], 0.0
+    for i in range(4000):  # dense, sparse and empty stretches, ties
+        at += rnd.choice([0, 0.1, 0.3, 0.9, 1.0, 7, 150]) if i % 1000 > 500 else rnd.choice([0, 0.05, 0.2])
+        rows.append((rnd.choice([1, 1, 1, 2, None]), i, datetime(2024, 1, 1) + timedelta(seconds=at)))
+    want = set()
+    for device in (1, 2, None):
+        last = None
+        for d, i, t in rows:
+            if d == device and (last is None or t - last >= timedelta(seconds=1)):
+                want.add((d, i))
+                last = t
+    frame = spark.createDataFrame(rows, "device long, event_id long, ts timestamp_ntz").repartition(5)
+    got = [(r.device, r.event_id) for r in telemetry.throttle(frame, 1.0).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
 
 
 def test_throttle_and_change_log_go_on_over_clock_boundaries(spark):
