@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of rows that Spark hands to a Python worker at once.
 ARROW_BYTES = 16 << 20
 #: Rows of a side that may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
+#: Keys with more than one in so many rows of a side are broadcast; there are fewer of them than this.
+SPREAD = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,13 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new one where none is set."""
+    """The folder all executors share, as ``spark.checkpoint.dir`` names it.
+
+    Where none is set, a new folder serves a local master, whose executors are this machine; a cluster has no
+    folder that could be guessed, so that is an error.
+    """
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_lectern_shared", None)
     if not named:
-        named = getattr(sc, "_lectern_shared", None)
-        if named is None:
-            named = sc._lectern_shared = "file://" + tempfile.mkdtemp(prefix="lectern-")
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = sc._lectern_shared = "file://" + tempfile.mkdtemp(prefix="lectern-")
     return named.rstrip("/")
 
 
@@ -48,6 +55,37 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def fresh(taken: Iterable[str], name: str) -> str:
+    """``name``, with underscores before it until it is none of the names ``taken``, whatever their case."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name = "_" + name
+    return name
+
+
+def join_spread(rows: DataFrame, facts: DataFrame, on: list[str], weight: str, salt: Column, how: str = "left", merge: bool = False, total: int | None = None) -> DataFrame:
+    """``rows`` with the columns of ``facts``, a settled table with one row for each key, by the keys ``on``.
+
+    ``weight`` of facts is how many rows have the key.  Keys with more than one in SPREAD rows, so fewer than
+    SPREAD keys, are broadcast, and their rows are dealt out by ``salt``; so no task gets all rows of a key.
+    ``total`` is the sum of the weights, if the caller knows it.  ``merge`` makes the join of the other keys a sort-merge join at every size.  Null keys match nothing.
+    """
+    if total is None:
+        total = facts.agg(F.sum(weight).alias("n")).first().n or 0
+    is_heavy, given = F.coalesce(F.col(weight) * SPREAD > total, F.lit(False)), F.struct(*facts.columns)
+    keys = [f"_on_{c}" for c in on]
+    named = [F.col(c).alias(k) for c, k in zip(on, keys)]
+    same = [F.col(c) == F.col(k) for c, k in zip(on, keys)]
+    heavy, light = facts.filter(is_heavy).select(*named, given.alias("_heavy")), facts.filter(~is_heavy).select(*named, given.alias("_light"), (F.coalesce(F.col(weight), F.lit(0)).cast("long") % 1).alias("_zero"))  # 0, but no literal that would drop out of the keys
+    left = rows.join(F.broadcast(heavy), same, "left").drop(*keys)
+    left = left.withColumn("_dealt", F.when(F.col("_heavy").isNotNull(), F.pmod(salt.cast("long"), F.lit(1 << 20)) + 1).otherwise(F.lit(0).cast("long")))
+    joined = left.join(light.hint("merge") if merge else light, [*same, F.col("_dealt") == F.col("_zero")], "left")
+    found = F.coalesce("_heavy", "_light")
+    if how == "inner":
+        joined = joined.filter(F.col("_heavy").isNotNull() | F.col("_light").isNotNull())
+    return joined.select(*(F.col(c) for c in rows.columns), *(found[c].alias(c) for c in facts.columns if c not in on))
+
+
 def for_python(rows: DataFrame) -> DataFrame:
     """``rows`` for a mapInArrow: from here on the session's batches hold at most ARROW_BYTES, or one row."""
     rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{ARROW_BYTES}b")

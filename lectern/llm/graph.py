@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import settle
+from lectern.llm.common import join_spread, settle
 
 
 def node_key(col):
@@ -29,18 +29,20 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     left = edges.filter(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst)))
     left = settle(left.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct(), "edges")
     levels = []
-    while not left.isEmpty():
+    while edges_left := left.count():
         both = left.select(F.col("u").alias("node"), F.col("v").alias("to")).unionAll(left.select(F.col("v"), F.col("u")))
-        step = both.groupBy("node").agg(F.min("to").alias("to"))
-        step = settle(step.select("node", F.least("node", "to").alias("root")), "pointers")
-        levels.append(step)
-        s, t = step.select(F.col("node").alias("u"), F.col("root").alias("ru")), step.select(F.col("node").alias("v"), F.col("root").alias("rv"))
-        moved = left.join(s, "u").join(t, "v").filter(F.col("ru") != F.col("rv"))
+        step = both.groupBy("node").agg(F.min("to").alias("to"), F.count(F.lit(1)).alias("edges"))
+        step = settle(step.select("node", F.least("node", "to").alias("root"), "edges"), "pointers")
+        levels.append(step.select("node", "root"))
+        s, t = step.select(F.col("node").alias("u"), F.col("root").alias("ru"), "edges"), step.select(F.col("node").alias("v"), F.col("root").alias("rv"), "edges")
+        moved = join_spread(left, s, ["u"], "edges", F.xxhash64("v"), "inner", total=2 * edges_left).drop("edges")
+        moved = join_spread(moved, t, ["v"], "edges", F.xxhash64("u"), "inner", total=2 * edges_left).filter(F.col("ru") != F.col("rv"))
         left = settle(moved.select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct(), "edges")
     if not levels:
         return left.select(F.col("u").alias("node"), F.col("v").alias("root"))
     found = levels[0]
     for step in levels[1:]:
         up = step.select(F.col("node").alias("root"), F.col("root").alias("higher"))
-        found = found.join(up, "root", "left").select("node", F.coalesce("higher", "root").alias("root"))
+        sizes = settle(found.groupBy("root").agg(F.count(F.lit(1)).alias("nodes")).join(up, "root", "left"), "roots")
+        found = settle(join_spread(found, sizes, ["root"], "nodes", F.col("node")).select("node", F.coalesce("higher", "root").alias("root")), "reached")
     return found

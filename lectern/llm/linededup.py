@@ -8,7 +8,9 @@ Lines are what newlines separate, compared as they are.  A text of fewer lines h
 null text stays null and has no lines.  Rows that repeat a document id are told apart by their text; rows
 that repeat both lose the same lines.  A null id comes before all others.
 
-Both sides of each join grow with the corpus, so the joins are sort-merge joins at every size.
+Both sides of each join grow with the corpus, so the joins are sort-merge joins at every size.  Windows that
+hold more than a thousandth of all repeated ones are joined apart, so a line block found in a third of the
+documents is spread over all tasks.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import settle, table
+from lectern.llm.common import join_spread, settle, table
 
 LINES = 3
 
@@ -32,11 +34,10 @@ def repeated_windows(docs: DataFrame, doc: str = "doc_id", text: str = "text") -
     starts = F.when(F.size("a") >= LINES, F.sequence(F.lit(0), F.size("a") - LINES))
     windows = hashed.select("id", "digest", F.posexplode(F.arrays_zip(F.transform(starts, over("a")).alias("a"), F.transform(starts, over("b")).alias("b"))).alias("at", "w"))
     windows = settle(windows.select("id", "digest", "at", "w.a", "w.b"), "line-windows")
-    often = windows.groupBy("a", "b").count().filter("count > 1").select("a", "b")
-    again = settle(windows.join(often.hint("merge"), ["a", "b"]), "repeated-windows")
-    first = again.groupBy("a", "b").agg(F.min(F.struct("id", "digest", "at")).alias("first"))
-    later = again.join(first, ["a", "b"]).filter(~F.struct("id", "digest", "at").eqNullSafe(F.col("first")))
-    return later.select("id", "digest", "at")
+    place = F.struct("id", "digest", "at")
+    often = settle(windows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1"), "repeated-windows")
+    again = join_spread(windows, often, ["a", "b"], "n", F.xxhash64("id", "digest", "at"), "inner", merge=True)
+    return again.filter(~place.eqNullSafe(F.col("first"))).select("id", "digest", "at")
 
 
 def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:

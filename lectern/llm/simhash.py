@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import bytetext
-from lectern.llm.common import for_python, settle, small, table
+from lectern.llm.common import for_python, fresh, join_spread, settle, small, table
 from lectern.llm.graph import connected_components, node_key
 
 SEGMENTS, BITS = 4, 2
@@ -102,8 +102,8 @@ def links(distinct_fps: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
     fp = F.col("fp")
     keys = [F.struct(F.lit(n).alias("slot"), F.shiftleft(_segment(fp, i, SEGMENTS), 16).bitwiseOR(_segment(fp, j, SEGMENTS)).alias("value")) for n, (i, j) in enumerate(_KEYS)]
     filed = distinct_fps.select("fp", F.inline(F.array(*keys)))
-    crowd = filed.groupBy("slot", "value").count().filter("count > 1")
-    filed = settle(filed.join(crowd, ["slot", "value"]), "simhash-keys")
+    crowd = settle(filed.groupBy("slot", "value").count().filter("count > 1"), "simhash-crowds")
+    filed = settle(join_spread(filed, crowd, ["slot", "value"], "count", F.xxhash64("fp"), "inner"), "simhash-keys")
 
     few = filed.filter(F.col("count") <= pairwise)
     a, b = F.col("a.fp"), F.col("b.fp")
@@ -122,36 +122,42 @@ def links(distinct_fps: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
 
 
 def components(rows: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """(fp, root, component_id): for each distinct fingerprint of settled ``rows``, its component and the smallest ``doc`` in it."""
-    classes = settle(rows.groupBy("fp").agg(F.min(doc).alias("first")), "simhash-classes")
+    """A settled (fp, root, component_id, n): of each distinct fingerprint of settled ``rows`` its component, the smallest ``doc`` in it and its rows."""
+    classes = settle(rows.groupBy("fp").agg(F.min(doc).alias("first"), F.count(F.lit(1)).alias("n")), "simhash-classes")
     reach = settle(connected_components(links(classes.select("fp"))), "simhash-reach")
-    rooted = classes.withColumn("node", node_key("fp")).join(reach, "node", "left").select("fp", "first", F.coalesce("root", "node").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "root", "component_id")
+    rooted = settle(classes.withColumn("node", node_key("fp")).join(reach, "node", "left").select("fp", "first", "n", F.coalesce("root", "node").alias("root")), "simhash-roots")
+    least = settle(rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("fps")), "simhash-components")
+    named = join_spread(rooted, least, ["root"], "fps", F.col("fp")).select("fp", "root", "component_id", "n")
+    return settle(named, "simhash-named")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc: str = "doc_id", shingle: int = 3) -> DataFrame:
     """(doc, fp, component_id) of every row of ``docs``."""
-    rows = settle(fingerprints(docs, text, (doc,), shingle), "simhash")
-    return rows.join(components(rows, doc), "fp").select(doc, "fp", "component_id")
+    rows = settle(fingerprints(docs.select(F.col(doc).alias("id"), F.col(text).alias("text")), "text", ("id",), shingle), "simhash")
+    found = join_spread(rows, components(rows, "id"), ["fp"], "n", F.xxhash64("id"))
+    return found.select(F.col("id").alias(doc), "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, text: str = "text", doc: str = "doc_id", shingle: int = 3) -> DataFrame:
-    """The rows of ``docs`` that are the first of their component; of rows that repeat its id, one."""
-    marked = docs.withColumn("_digest", F.xxhash64(text))
-    rows = settle(fingerprints(marked, text, (doc, "_digest"), shingle), "simhash")
-    rows = settle(rows.join(components(rows, doc), "fp"), "simhash-rows").select(F.col(doc).alias("_id"), F.col("_digest").alias("_d"), "root", "component_id")
+    """The rows of ``docs`` that are the first of their component; of rows that repeat its id, one.
+
+    Null ids are a document's last resort: of components in which no row has an id, one row stays.
+    """
+    digest = fresh(docs.columns, "_digest")
+    marked = docs.withColumn(digest, F.xxhash64(text))
+    rows = settle(fingerprints(marked.select(F.col(doc).alias("_id"), F.col(digest).alias("_d"), F.col(text).alias("_body")), "_body", ("_id", "_d"), shingle), "simhash")
+    rows = settle(join_spread(rows, components(rows, "_id"), ["fp"], "n", F.xxhash64("_id", "_d")).select("_id", "_d", "root", "component_id"), "simhash-rows")
     first = rows.filter(F.col("_id").eqNullSafe(F.col("component_id"))).groupBy("_id", "root").agg(F.min("_d").alias("_d"))
     same = lambda a, b: F.col(f"{a}._id").eqNullSafe(F.col(f"{b}._id")) & (F.col(f"{a}._d") == F.col(f"{b}._d"))
     drop = rows.select("_id", "_d").distinct().alias("r").join(first.alias("f"), same("r", "f"), "left_anti")
     drop = small(settle(drop, "simhash-drop")).alias("x")
-    at = lambda other: F.col(f"d.{doc}").eqNullSafe(F.col(f"{other}._id")) & (F.col("d._digest") == F.col(f"{other}._d"))
+    at = lambda other: F.col(f"d.`{doc}`").eqNullSafe(F.col(f"{other}._id")) & (F.col(f"d.{digest}") == F.col(f"{other}._d"))
     kept = marked.alias("d").join(drop, at("x"), "left_anti")
     twice = settle(rows.alias("r").join(first.alias("f"), same("r", "f"), "left_semi").groupBy("_id", "_d").count().filter("count > 1").select("_id", "_d"), "simhash-twice")
     if not twice.isEmpty():
-        again = kept.alias("d").join(twice.alias("t"), at("t"), "left_semi").dropDuplicates([doc, "_digest"])
+        again = kept.alias("d").join(twice.alias("t"), at("t"), "left_semi").dropDuplicates([doc, digest])
         kept = kept.alias("d").join(twice.alias("t"), at("t"), "left_anti").unionByName(again)
-    return kept.drop("_digest")
+    return kept.drop(digest)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

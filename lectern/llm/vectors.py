@@ -1,14 +1,17 @@
 """Near-duplicate embeddings by a forest of random-projection trees with spill.
 
-Equal vectors are one class.  Each tree splits its classes again and again along a random direction at the
+Equal vectors are one class.  Each tree splits its classes again and again along random directions, at the
 median, and those within ``SPILL`` of the median's rank go to both sides, until a leaf holds at most ``LEAF``.
-Directions depend on tree and depth only, so all projections are taken once; a split's two quantiles come
-from an approximate percentile that Spark merges from partial sketches, and a whole level is one job.  Leaves
-that random splits no longer divide are compared in blocks.  Pairs in a leaf are verified by cosine in double
-precision; the links of all trees, thinned to as many as connect the same vectors, give the components.  Then all
-pairs of a component are compared, in blocks that give counts and store no pair, so ``n_links`` is exact inside a
-component however many vectors are near each other.  Deeper trees part more pairs, so there are more of them:
-enough to find a lone pair at the threshold with ``RECALL`` under a Gaussian model.
+Directions and medians depend on tree and depth only; the medians are fitted on a sample of about ``SAMPLE``
+classes (documented bound), and every class is indexed: one pass gives it, for each tree, two words of
+bits, its side and whether it spills at each depth.  Splitting then works on these slim rows, a run of depths
+at a time.  A node skips the depths at which a split would leave more than ``WORTH`` of its comparisons, since it is
+lopsided or much would spill; so a dense group is not copied over and over, and what is not split is compared in
+blocks.  Pairs in a leaf
+are verified by cosine in double precision, and their links, thinned to as many as connect the same vectors,
+give the components.  Then all pairs of a component are compared, in blocks that give counts and store no pair,
+so ``n_links`` is exact inside a component however many vectors are near each other.  Deeper trees part more
+pairs, so there are more of them: enough to find a lone pair at the threshold with ``RECALL`` under a Gaussian model.
 
 Vectors that are null, empty, zero or hold null or non-finite components link with nothing, and nor do
 vectors of different lengths.  Repeated rows are vectors of their own; a null id never names a component
@@ -23,21 +26,23 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import for_python, settle, table
+from lectern.llm.common import for_python, join_spread, settle, table
 from lectern.llm.graph import connected_components, node_key
 
-COSINE, TREES, LEAF, SPILL, SEED = 0.9, 6, 256, 0.05, 42
-#: The deepest tree: 2^40 leaves; what is still together then is compared in blocks.
-DEPTH = 40
-#: Rows of one side of a comparison.
-BLOCK = 256
-#: Rows of one side of a comparison inside a component, where only counts leave.
-COUNT_BLOCK = 2048
+COSINE, TREES, LEAF, SPILL, SEED = 0.9, 3, 2048, 0.05, 42
+#: Depths that a tree has at most, and the first ones of each run of depths that is looked at together.
+DEPTH, STRIDES = 56, (0, 8, 32)
+#: Share of a node's comparisons that may be left for it to be split at a depth.
+WORTH = 0.75
+#: Classes that the medians are fitted on.
+SAMPLE = 8192
+#: Rows of one side of a comparison, and rows that are compared together at least.
+BLOCK, TOGETHER = 2048, 256
 #: Share of the lone pairs at the threshold that the forest is to find.
-RECALL = 0.95
+RECALL = 0.98
 
 
 def directions(tree: int, width: int) -> np.ndarray:
@@ -46,59 +51,122 @@ def directions(tree: int, width: int) -> np.ndarray:
 
 
 def trees_for(classes: int, cosine: float = COSINE, leaf: int = LEAF, spill: float = SPILL) -> int:
-    """Trees that find a lone pair with ``cosine`` among so many classes with RECALL; never under TREES."""
+    """Trees that find a lone pair with ``cosine`` among so many classes with RECALL; TREES at least, one for a single leaf."""
     levels = math.ceil(math.log(max(1.0, classes / leaf)) / -math.log(0.5 + spill))
     y = np.linspace(0, 8, 8001)
     margin = y[np.searchsorted([0.5 * math.erfc(-a / math.sqrt(2)) for a in y], 0.5 + spill)]  # where the spill ends
     tail = np.array([0.5 * math.erfc((margin + cosine * a) / math.sqrt(2 * (1 - cosine**2))) for a in y])
     parted = 2 * float(np.sum((np.exp(-y * y / 2) * tail)[y >= margin])) * (y[1] - y[0]) / math.sqrt(2 * math.pi)
     together = (1 - parted) ** levels
+    if levels == 0:
+        return 1
     return TREES if together >= RECALL else max(TREES, math.ceil(math.log(1 - RECALL) / math.log(1 - together)))
 
 
+def _keys(v: Column) -> list[Column]:
+    """128 bits that stand for a vector."""
+    return [F.xxhash64(v).alias("h1"), F.xxhash64(F.lit("second"), v).alias("h2")]
+
+
+def _sound(v: Column) -> Column:
+    return v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists(v, lambda x: x != 0)
+
+
+def unit(vectors: np.ndarray) -> np.ndarray:
+    x = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def classes_of(rows: DataFrame, vec: str, key: str) -> DataFrame:
-    """(cls, n, first, v): the distinct linkable vectors, how many rows share each, and their smallest id."""
+    """A settled (cls, h1, h2, n, first, width, u): the distinct linkable vectors, scaled to length one, how many rows share each, and their smallest id."""
     v = F.col(vec).cast("array<double>")
-    sound = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists(v, lambda x: x != 0)
-    grouped = rows.filter(sound).select(v.alias("v"), F.col(key).alias("id")).groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
-    return settle(grouped.select(F.monotonically_increasing_id().alias("cls"), "n", "first", "v"), "vector-classes")
+    grouped = rows.filter(_sound(v)).select(*_keys(v), v.alias("v"), F.col(key).alias("id")).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.first("v").alias("v"))
+    known = grouped.select(F.monotonically_increasing_id().alias("cls"), "h1", "h2", "n", "first", F.size("v").alias("width"), "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            width, v = b.column("width").to_numpy(), b.column("v")
+            flat, out = v.flatten().to_numpy(), np.empty(b.num_rows, object)
+            ends = np.cumsum(width)
+            for w in np.unique(width):
+                at = np.flatnonzero(width == w)
+                out[at] = [u.tobytes() for u in unit(flat[(ends[at] - w)[:, None] + np.arange(w)])]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(6)), pa.array(out, pa.binary())], names=["cls", "h1", "h2", "n", "first", "width", "u"])
+
+    first = grouped.schema["first"].dataType.simpleString()
+    return settle(for_python(known).mapInArrow(run, f"cls bigint, h1 bigint, h2 bigint, n bigint, first {first}, width int, u binary"), "vector-classes")
+
+
+def _cuts(classes: DataFrame, trees: int, spill: float) -> dict[int, np.ndarray]:
+    """For each width in the sample the (trees, 3, DEPTH) low end, middle and high end of the spill."""
+    n = classes.count()
+    share = int(min(1.0, SAMPLE / max(1, n)) * 1_000_000)
+    drawn: dict[int, list] = {}
+    for r in classes.filter(F.pmod(F.xxhash64("h1", F.lit("sample")), F.lit(1_000_000)) < share).select("width", "u").collect():
+        drawn.setdefault(r.width, []).append(r.u)
+    out = {}
+    for width, us in drawn.items():
+        x = np.frombuffer(b"".join(us)).reshape(-1, width).astype(np.float32)
+        out[width] = np.array([np.quantile(x @ directions(t, width), [0.5 - spill, 0.5, 0.5 + spill], axis=0) for t in range(trees)])
+    return out
 
 
 def forest(classes: DataFrame, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL) -> DataFrame:
-    """(tree, node, cls): the leaves of every tree; node also tells the vector's length."""
+    """(fam, cls): the leaves of every tree; a leaf holds vectors of one length.
+
+    A table of at most ``leaf`` classes is one leaf, and needs one tree.
+    """
+    if classes.count() <= leaf:
+        return classes.select(F.xxhash64("width").alias("fam"), "cls")
+    cuts = classes.sparkSession.sparkContext.broadcast(_cuts(classes, trees, spill))
+    bit = np.int64(1) << np.arange(DEPTH, dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            vs = [np.asarray(v, np.float64) for v in b.column(1).to_numpy(zero_copy_only=False)]
-            for width in {len(v) for v in vs}:
-                at = [i for i, v in enumerate(vs) if len(v) == width]
-                x = np.array([vs[i] for i in at])
-                x /= np.abs(x).max(axis=1, keepdims=True)
-                x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-                cls = b.column(0).take(pa.array(at))
+            widths, us = b.column("width").to_numpy(), b.column("u").to_pylist()
+            for w in np.unique(widths).tolist():
+                at = np.flatnonzero(widths == w)
+                x = np.frombuffer(b"".join(us[i] for i in at)).reshape(-1, w).astype(np.float32)
                 for t in range(trees):
-                    p = x @ directions(t, width)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(at), t, np.int32)), pa.array([f"{width}:"] * len(at)), cls, pa.ListArray.from_arrays(np.arange(0, p.size + 1, DEPTH, dtype=np.int32), pa.array(p.ravel()))],
-                        names=["tree", "node", "cls", "p"],
-                    )
-
-    level = settle(for_python(classes.select("cls", "v")).mapInArrow(run, "tree int, node string, cls bigint, p array<float>"), "forest-level")
-    done = []
-    for _ in range(DEPTH):  # each level drops the projection it has used
-        here = F.col("p")[0]
-        cuts = level.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(here, [0.5 - spill, 0.5 + spill], 1000).alias("q"))
-        low, high = F.col("q")[0], F.col("q")[1]
-        sides = F.filter(F.array(F.when(here <= high, "0"), F.when(here >= low, "1")), lambda s: s.isNotNull())
-        sides = F.when(F.col("n") <= leaf, F.array(F.lit(""))).when(low == high, F.array(F.lit("="))).otherwise(sides)
-        rest = F.when(F.col("n") > leaf, F.slice("p", 2, DEPTH))
-        moved = level.join(cuts, ["tree", "node"]).select("tree", F.col("node").alias("up"), "cls", rest.alias("p"), F.explode(sides).alias("side"))
-        level = settle(moved.select("tree", F.concat("up", "side").alias("node"), "cls", "p"), "forest-level")
-        done.append(level.filter("p is null").select("tree", "node", "cls"))
-        level = level.filter("p is not null")
-        if level.isEmpty():
+                    p = x @ directions(t, w)
+                    low, middle, high = cuts.value[w][t] if w in cuts.value else np.zeros((3, DEPTH))
+                    sides, spills = ((p > middle) * bit).sum(axis=1), (((p >= low) & (p <= high)) * bit).sum(axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), pa.array(widths[at]), b.column("cls").take(pa.array(at)), pa.array(sides), pa.array(spills)], names=["tree", "width", "cls", "sides", "spills"])
+
+    coded = for_python(classes.select("cls", "width", "u")).mapInArrow(run, "tree int, width int, cls bigint, sides bigint, spills bigint")
+    level = settle(coded.select(F.xxhash64("tree", "width").alias("fam"), "cls", "sides", "spills"), "forest-level")
+    done, rows = [], level.count()
+    for top, end in zip(STRIDES, (*STRIDES[1:], DEPTH)):
+        depths = range(top, end)
+        sums = [F.expr(f"sum(shiftright({word}, {d}) & 1) AS {word}{d}") for d in depths for word in ("sides", "spills")]
+        nodes = level.groupBy("fam").agg(F.count(F.lit(1)).alias("n"), *sums)
+        left = ", ".join(f"IF(pow((sides{d} + spills{d} / 2) / n, 2) + pow((n - sides{d} + spills{d} / 2) / n, 2) <= {WORTH}D, {d}, NULL)" for d in depths)
+        chosen = F.expr(f"slice(filter(array({left}), d -> d IS NOT NULL), 1, greatest(1, cast(ceil(log2(n / {leaf})) AS int)))")
+        nodes = settle(nodes.select("fam", "n", F.when(F.col("n") > leaf, chosen).alias("chosen")), "forest-nodes")
+        moved = join_spread(level, nodes, ["fam"], "n", F.col("cls"), "inner", total=rows)
+        below = F.coalesce(F.aggregate("chosen", F.array("fam"), _divided), F.array("fam"))
+        moved = settle(moved.select(F.explode(below).alias("fam"), "cls", "sides", "spills", F.col("chosen").isNotNull().alias("open")), "forest-level")
+        done.append(moved.filter("not open").select("fam", "cls"))
+        level = moved.filter("open").drop("open")
+        rows = level.count()
+        if not rows:
             return _union(done)
-    return _union([*done, level.select("tree", "node", "cls")])
+    return _union([*done, level.select("fam", "cls")])
+
+
+def _bit(word: str, depth: Column) -> Column:
+    return F.call_function("shiftright", F.col(word), depth).bitwiseAND(1)
+
+
+def _divided(nodes: Column, depth: Column) -> Column:
+    """The nodes below ``nodes`` that hold the row once they are split at ``depth``."""
+
+    def below(node: Column) -> Column:
+        to = lambda side: F.xxhash64(node, depth, side)
+        low, high = F.lit(0).cast("long"), F.lit(1).cast("long")
+        return F.when(_bit("spills", depth) == 1, F.array(to(low), to(high))).otherwise(F.array(to(_bit("sides", depth))))
+
+    return F.flatten(F.transform(nodes, below))
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -121,76 +189,82 @@ def connected(p: np.ndarray, q: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def unit(vectors) -> np.ndarray:
-    x = np.array(vectors.tolist(), np.float64)
-    x /= np.abs(x).max(axis=1, keepdims=True)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+def _near(pdf: pd.DataFrame, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, other rows, which pairs of them are near) of one group of ``_grouped``; one array twice if all its pairs are meant."""
+    us, fams = pdf["u"].to_numpy(), pdf["fam"].to_numpy()
+    size = np.array([len(u) for u in us])
+    for w in np.unique(size):
+        at = np.flatnonzero(size == w)
+        at = at[np.argsort(fams[at], kind="stable")]
+        x, fam = np.frombuffer(b"".join(us[at])).reshape(len(at), -1), fams[at]
+        if pdf["large"].iloc[0] and pdf["i"].iloc[0] != pdf["j"].iloc[0]:
+            first = pdf["own"].to_numpy()[at] == pdf["i"].iloc[0]
+            yield at[first], at[~first], x[first] @ x[~first].T >= cosine
+            continue
+        ends = np.append(np.flatnonzero(fam[1:] != fam[:-1]) + 1, len(fam))
+        lo = 0
+        for hi in ends.tolist():
+            if hi - lo >= TOGETHER or hi == len(fam):
+                near = (x[lo:hi] @ x[lo:hi].T >= cosine) & (fam[lo:hi, None] == fam[None, lo:hi])
+                np.fill_diagonal(near, False)
+                here = at[lo:hi]
+                yield here, here, near
+                lo = hi
+
+
+def _grouped(families: DataFrame, classes: DataFrame, block: int):
+    """``families`` (fam, cls, n) with their vectors, grouped for comparison.
+
+    Small families share groups of about a block's rows.  A family of more than a block is cut into blocks by a
+    hash, and each pair of its blocks is a group of its own.
+    """
+    sizes = settle(families.groupBy("fam").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "family-sizes")
+    groups = max(1, -(-(sizes.agg(F.sum("members").alias("n")).first().n or 0) // block))
+    placed = join_spread(families, sizes, ["fam"], "members", F.col("cls"), "inner")
+    placed = placed.withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("cls", F.lit("block")), F.col("blocks")).cast("int")).withColumn("large", F.col("blocks") > 1)
+    placed = placed.withColumn("part", F.when(F.col("large"), F.col("fam")).otherwise(F.pmod(F.xxhash64("fam", F.lit("part")), F.lit(groups))))
+    placed = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("large", "part", "fam", "cls", "n", "own", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"))
+    return placed.join(classes.select("cls", "u"), "cls").groupBy("large", "part", "i", "j")
 
 
 def links(classes: DataFrame, leaves: DataFrame, cosine: float = COSINE, block: int = BLOCK, thin: bool = False) -> DataFrame:
     """(src, dst) of the pairs of classes that share a leaf and have the cosine, src below dst.
 
     ``thin`` gives instead, from each comparison, one pair per class, which connect the same classes.
-
-    A leaf is cut into blocks by a hash, and each pair of its blocks is a group of its own: no task holds
-    more than two blocks, however large a leaf that could not be split may be.
     """
-    sizes = leaves.groupBy("tree", "node").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks")).filter("blocks > 0")
-    placed = leaves.join(sizes, ["tree", "node"]).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    other = F.sequence(F.lit(0), F.col("blocks") - 1)
-    placed = placed.select("tree", "node", "cls", "own", F.explode(other).alias("o"))
-    placed = placed.select("tree", "node", "cls", "own", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"))
-    with_v = placed.join(classes.select("cls", "v"), "cls")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf["own"].to_numpy() == pdf["i"].iloc[0]
-        ids = pdf["cls"].to_numpy()
-        x = unit(pdf["v"])
-        one = pdf["i"].iloc[0] == pdf["j"].iloc[0]
-        a, b = (ids, ids) if one else (ids[first], ids[~first])
-        p, q = np.nonzero((x if one else x[first]) @ (x if one else x[~first]).T >= cosine)
-        s, d = a[p], b[q]
-        if thin:
-            at = np.arange(len(ids))
-            s, d = ids[connected(*((p, q) if one else (at[first][p], at[~first][q])), len(ids))], ids
-            s, d = np.minimum(s, d), np.maximum(s, d)
-            one = True
-        keep = s < d if one else s != d
+        ids, found = pdf["cls"].to_numpy(), [np.zeros((2, 0), np.int64)]
+        for a, b, near in _near(pdf, cosine):
+            p, q = np.nonzero(near)
+            if thin:
+                label = connected(a[p], b[q], len(ids))
+                both = np.union1d(a, b)
+                found.append(np.stack([ids[label[both]], ids[both]]))
+            else:
+                found.append(np.stack([ids[a[p]], ids[b[q]]]))
+        s, d = np.concatenate(found, axis=1)
+        keep = s != d
         return pd.DataFrame({"src": np.minimum(s, d)[keep], "dst": np.maximum(s, d)[keep]})
 
-    found = with_v.groupBy("tree", "node", "i", "j").applyInPandas(compare, "src bigint, dst bigint")
-    return found.distinct()
-
+    families = leaves.select("fam", "cls", F.lit(1).cast("long").alias("n"))
+    return _grouped(families, classes, block).applyInPandas(compare, "src bigint, dst bigint").distinct()
 
-def counted(members: DataFrame, cosine: float = COSINE, block: int = COUNT_BLOCK) -> DataFrame:
-    """(cls, others): the rows of other classes of its component that each class links with.
 
-    ``members`` is a settled (root, cls, n, v).  Small components share tasks; a large one is cut into blocks by a
-    hash, and each pair of its blocks is a group of its own.
-    """
-    sizes = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
-    groups = max(1, -(-members.count() // block))
-    placed = members.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    large = F.col("blocks") > 1
-    placed = placed.withColumn("large", large).withColumn("part", F.when(large, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(groups))))
-    placed = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("large", "part", "root", "cls", "n", "v", "own", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"))
+def counted(members: DataFrame, classes: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
+    """(cls, others): the rows of other classes of its component that each class links with; ``members`` is a settled (fam, cls, n)."""
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        for _, c in pdf.groupby("root", sort=False):
-            ids, n, x = c["cls"].to_numpy(), c["n"].to_numpy(), unit(c["v"])
-            if c["i"].iloc[0] == c["j"].iloc[0]:
-                near = x @ x.T >= cosine
-                np.fill_diagonal(near, False)
-                found.append((ids, near @ n))
-            else:
-                first = c["own"].to_numpy() == c["i"].iloc[0]
-                near = x[first] @ x[~first].T >= cosine
-                found += [(ids[first], near @ n[~first]), (ids[~first], n[first] @ near)]
-        return pd.DataFrame({"cls": np.concatenate([a for a, _ in found]), "others": np.concatenate([b for _, b in found])})
-
-    found = placed.groupBy("large", "part", "i", "j").applyInPandas(count, "cls bigint, others bigint")
+        n, others = pdf["n"].to_numpy(), np.zeros(len(pdf), np.int64)
+        for a, b, near in _near(pdf, cosine):
+            others[a] += near @ n[b]
+            if a is not b:
+                others[b] += n[a] @ near
+        return pd.DataFrame({"cls": pdf["cls"], "others": others})
+
+    found = _grouped(members, classes, block).applyInPandas(count, "cls bigint, others bigint")
     return found.groupBy("cls").agg(F.sum("others").alias("others"))
 
 
@@ -199,14 +273,16 @@ def near_duplicates(rows: DataFrame, vec: str = "embedding", key: str = "vec_id"
     classes = classes_of(rows, vec, key)
     leaves = forest(classes, trees_for(classes.count(), cosine))
     reach = connected_components(settle(links(classes, leaves, cosine, thin=True), "vector-links"))
-    keyed = classes.withColumn("node", node_key("cls"))
-    members = settle(keyed.join(reach, "node").select("root", "cls", "n", "v"), "vector-members")
-    linked = counted(members, cosine)
-    known = keyed.join(linked, "cls", "left").join(members.select("cls", "root"), "cls", "left")
-    known = settle(known.select("v", "first", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root")), "vector-known")
-    least = known.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = known.join(least, "root").select("v", "n_links", "component_id")
-    out = rows.select(F.col(key).alias("id"), F.col(vec).cast("array<double>").alias("v")).join(named, "v", "left")
+    keyed = classes.select("cls", "h1", "h2", "n", "first", node_key("cls").alias("node"))
+    rooted = settle(keyed.join(reach, "node", "left").withColumn("fam", F.col("root")).drop("root"), "vector-roots")
+    linked = counted(rooted.filter("fam is not null").select("fam", "cls", "n"), classes, cosine)
+    known = rooted.join(linked, "cls", "left").select("h1", "h2", "n", "first", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("fam", "node").alias("root"))
+    known = settle(known, "vector-known")
+    least = settle(known.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("members")), "vector-components")
+    named = settle(join_spread(known, least, ["root"], "members", F.col("h1")).select("h1", "h2", "n", "n_links", "component_id"), "vector-named")
+    v = F.col(vec).cast("array<double>")
+    asked = rows.select(F.col(key).alias("id"), *(F.when(_sound(v), h).alias(n) for h, n in zip(_keys(v), ("h1", "h2"))))
+    out = join_spread(asked, named, ["h1", "h2"], "n", F.xxhash64("id"))
     return out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
 
 

@@ -1,6 +1,7 @@
 """Embedding near duplicates against a comparison of all pairs."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lectern.llm import vectors
 
@@ -30,7 +31,8 @@ def rows_of(rng):
 
 
 def test_query_equals_all_pairs(spark, write, monkeypatch):
-    monkeypatch.setattr(vectors, "LEAF", 64)
+    monkeypatch.setattr(vectors.forest, "__defaults__", (vectors.TREES, 64, vectors.SPILL))
+    monkeypatch.setattr(vectors.trees_for, "__defaults__", (vectors.COSINE, 64, vectors.SPILL))
     rows = rows_of(np.random.default_rng(2))
     frame = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, cls int")
     got = vectors.op8_embedding_neardup(spark, write(frame, "embeddings")).collect()
@@ -72,13 +74,43 @@ def test_links_of_a_dense_group_are_whole(spark):
 def test_a_component_in_several_blocks_counts_alike(spark):
     rng = np.random.default_rng(6)
     rows = np.vstack([rng.standard_normal(16) + rng.standard_normal((70, 16)) * 0.2 for _ in range(3)])
-    frame = spark.createDataFrame([(i % 3, i, 1 + i % 2, v.tolist()) for i, v in enumerate(rows)], "root long, cls long, n long, v array<double>")
-    small, large = ({r.cls: r.others for r in vectors.counted(frame, block=b).collect()} for b in (16, 512))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    classes = vectors.classes_of(frame, "embedding", "vec_id")
+    members = classes.select((F.col("first") % 3).alias("fam"), "cls", (1 + F.col("first") % 2).alias("n"))
+    small, large = ({r.cls: r.others for r in vectors.counted(members, classes, block=b).collect()} for b in (16, 512))
     assert small == large and len(small) == 210 and sum(small.values()) > 0
 
 
+def test_recall_at_sixteen_levels(spark):
+    rng = np.random.default_rng(11)
+    base = rng.standard_normal((20_000, 32))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.standard_normal((1000, 32))
+    side -= (side * base[:1000]).sum(axis=1, keepdims=True) * base[:1000]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    rows = np.vstack([base, 0.901 * base[:1000] + np.sqrt(1 - 0.901**2) * side])  # lone pairs at the threshold
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    classes = vectors.classes_of(frame, "embedding", "vec_id")
+    leaf = 2
+    assert np.log(len(rows) / leaf) / -np.log(0.5 + vectors.SPILL) > 15
+    leaves = vectors.settle(vectors.forest(classes, vectors.trees_for(len(rows), leaf=leaf), leaf=leaf))
+    ids = {r.cls: r.first for r in classes.select("cls", "first").collect()}
+    got = {tuple(sorted((ids[a], ids[b]))) for a, b in vectors.links(classes, leaves).collect()}
+    near = {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(rows @ rows.T, 1) >= 0.9))}
+    assert got <= near and len(got & {(i, 20_000 + i) for i in range(1000)}) >= 900
+
+
+def test_a_dense_group_is_not_copied_over_and_over(spark):
+    rng = np.random.default_rng(12)
+    rows = np.vstack([rng.standard_normal(32) + rng.standard_normal((3000, 32)) * 0.1, rng.standard_normal((6000, 32))])
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    classes = vectors.classes_of(frame, "embedding", "vec_id")
+    assert vectors.forest(classes, 1, leaf=64).count() < 4 * len(rows)
+
+
 def test_deeper_forests_have_more_trees():
-    assert vectors.trees_for(0) == vectors.trees_for(256) == vectors.TREES < vectors.trees_for(1_000_000) < vectors.trees_for(60_000_000)
+    assert vectors.trees_for(0) == vectors.trees_for(vectors.LEAF) == 1
+    assert vectors.trees_for(vectors.LEAF + 1) == vectors.TREES < vectors.trees_for(1_000_000) < vectors.trees_for(60_000_000)
 
 
 def test_empty_table(spark, write):
