@@ -1,11 +1,16 @@
 """Benchmark decontamination by winnowing.
 
-A window is ``WINDOW`` consecutive words of a benchmark item (an item of fewer words is one window).  The
-smallest hash of the k-grams in a window is its fingerprint, so equal windows have equal fingerprints and
-every shared span of WINDOW words has one in common.  A fixed-size bitmap of the benchmark's fingerprints
-drops most document windows where they are read; the rest meet the benchmark in a join on the fingerprint
-and the window's words, which extends a hit over the whole window.  The bitmap only saves work: if a large
-benchmark fills it, the join still decides.
+A window is ``WINDOW`` consecutive words of a benchmark item (an item of fewer words is one window).  Of the
+``GRAM``-word grams in a window the one with the smallest hash is selected, so a text's selected grams are few, and any
+WINDOW words that a document shares with an item have a selected gram in common at the same place.  (An item of
+fewer words is a gram of that many words, selected as it is.)  The selected grams of documents and items are joined
+by their hash; each brings the hashes of the words around it, and a hit is extended word by word to both sides as
+long as they agree, by at most the rest of a window.  What reaches WINDOW words is a shared span; longer spans
+have more selected grams, whose extensions overlap.  Words are compared by 64-bit hashes.
+
+Two bitmaps of the benchmark's grams and windows keep grams that cannot lead to a hit out of the join.  They have
+at most 2^BITMAP_BITS bits each, whatever the benchmark's size, and only save work: the fuller they are, the more
+grams the join has to turn down (``fill`` says how full).
 
 Null or wordless texts have no windows: as documents they are clean, as items they match nothing.  Rows that
 repeat a document get the same answer each; items with a null id are ignored, repeated items count once.
@@ -17,28 +22,77 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.llm import bytetext
-from lectern.llm.common import for_python, settle, small, table
+from lectern.llm.common import BROADCAST_ROWS, for_python, fresh, join_spread, settle, small, table
 
 WINDOW, GRAM = 13, 5
 #: A document is contaminated if at least one word in this many is hit.
 ONE_IN = 20
-BITMAP_BITS = 24
+#: Bits of a bitmap: so many for each entry, and 2^BITMAP_BITS at most.
+BITS_EACH, BITMAP_BITS = 16, 26
+#: Words that a hit may be extended by to the left; to the right of a gram's start it is WINDOW.
+BEFORE = WINDOW - GRAM
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
 
-_WINDOWS = "array<struct<at:int,words:int,fp:bigint,span:string>>"
-
-
-def _hits_of(column, lengths: list[int], item_windows: bool, bitmap: np.ndarray | None) -> tuple[np.ndarray, list[list[dict]]]:
-    """The word count of each text, and its windows whose fingerprint is in ``bitmap`` (None: all)."""
-    counts, found = np.zeros(len(column), np.int64), [[] for _ in range(len(column))]
+_SEEDS = pa.list_(pa.struct([("at", pa.int32()), ("size", pa.int32()), ("gram", pa.int64()), ("around", pa.list_(pa.int64()))]))
+_WINDOWS = pa.list_(pa.int64())
+_SCHEMA = "id {id}, digest bigint, n_words bigint, seeds array<struct<at:int,size:int,gram:bigint,around:array<bigint>>>, windows array<bigint>"
+
+
+def _in(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    slot = hashes & np.uint64(8 * len(bitmap) - 1)
+    return (bitmap[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def selected(hashes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, gram hashes) of the grams that are smallest in some window of their text."""
+    grams = bytetext.gram_hashes(hashes, GRAM)
+    least = bytetext.sliding_min(grams, BEFORE + 1)
+    if not len(least):
+        return np.zeros(0, np.int64), grams[:0]
+    one_text = text[: len(least)] == text[WINDOW - 1 :]
+    pad = np.full(BEFORE, ~np.uint64(0), np.uint64)  # greatest of the minima of the windows that hold a gram: the complement's least
+    greatest = ~bytetext.sliding_min(np.concatenate([pad, np.where(one_text, ~least, ~np.uint64(0)), pad]), BEFORE + 1)
+    held = np.concatenate([[0], np.cumsum(one_text)])
+    at = np.arange(len(grams))
+    some = held[np.minimum(at + 1, len(least))] > held[np.maximum(at - BEFORE, 0)]
+    at = np.flatnonzero(some & (greatest == grams))
+    return at, grams[at]
+
+
+def _around(hashes: np.ndarray, text: np.ndarray, at: np.ndarray, filler: int) -> np.ndarray:
+    """(grams, BEFORE + WINDOW) hashes of the words around each gram; ``filler`` beyond its text."""
+    where = at[:, None] + np.arange(-BEFORE, WINDOW)
+    inside = (where >= 0) & (where < len(hashes))
+    where = np.clip(where, 0, len(hashes) - 1)
+    return np.where(inside & (text[where] == text[at][:, None]), hashes[where].view(np.int64), np.int64(filler))
+
+
+def _windows_around(hashes: np.ndarray, text: np.ndarray, at: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """For each gram whether some window that holds it is in ``bitmap``."""
+    found = np.zeros(len(at), bool)
+    for back in range(BEFORE + 1):
+        first = at - back
+        ok = np.flatnonzero((first >= 0) & (first + WINDOW <= len(hashes)) & ~found)
+        ok = ok[text[first[ok]] == text[first[ok] + WINDOW - 1]]
+        h = hashes[first[ok]].copy()
+        for j in range(1, WINDOW):
+            h = h * bytetext._P1 + hashes[first[ok] + j]
+        found[ok] = _in(bitmap, bytetext.mix(h))
+    return found
+
+
+def _seeds_of(column, lengths: list[int], bitmaps: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """The word count of each text, its selected grams, and without ``bitmaps``, so for items, the hashes of its windows."""
+    counts, owners, parts = np.zeros(len(column), np.int64), [], []
+    windows, window_owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for first, end, raw, offsets in bytetext.slices(column):
         data = _FOLD[raw]
         starts, ends, text = bytetext.words(_WORD[data], offsets)
@@ -46,63 +100,96 @@ def _hits_of(column, lengths: list[int], item_windows: bool, bitmap: np.ndarray
         counts[first:end] = per
         if not len(starts):
             continue
-        hashes = bytetext.span_hashes(data, starts, ends)
-        at0 = np.concatenate([[0], np.cumsum(per)])
-        for m in range(1, WINDOW) if item_windows else lengths:
-            take = _windows_at(hashes, text, per, m, bitmap, only_whole=item_windows)
-            _emit(take, m, data, starts, ends, text, at0, first, found)
-        if item_windows:
-            _emit(_windows_at(hashes, text, per, WINDOW, bitmap, False), WINDOW, data, starts, ends, text, at0, first, found)
-    return counts, found
-
-
-def _windows_at(hashes, text, per, m, bitmap, only_whole):
-    """(positions, fingerprints) of the windows of m words; only_whole: just texts of m words."""
-    if len(hashes) < m:
-        return np.zeros(0, np.int64), hashes[:0]
-    k = min(GRAM, m)
-    fp = bytetext.sliding_min(bytetext.gram_hashes(hashes, k), m - k + 1)
-    ok = text[: len(text) - m + 1] == text[m - 1 :]
-    if only_whole:
-        ok &= per[text[: len(ok)]] == m
-    if bitmap is not None:
-        slot = fp & np.uint64((1 << BITMAP_BITS) - 1)
-        ok &= (bitmap[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
-    at = np.flatnonzero(ok)
-    return at, fp[at]
-
-
-def _emit(taken, m, data, starts, ends, text, at0, first, found) -> None:
-    for i, fp in zip(taken[0].tolist(), taken[1].view(np.int64).tolist()):
-        span = b" ".join(data[starts[j] : ends[j]].tobytes() for j in range(i, i + m)).decode()
-        owner = int(text[i])
-        found[first + owner].append({"at": i - int(at0[owner]), "words": m, "fp": fp, "span": span})
-
-
-def _windows(rows: DataFrame, key: str, text: str, lengths: list[int], shared=None) -> DataFrame:
-    """(id, digest, n_words, windows) of each row; digest tells apart rows that share an id.
-
-    With ``shared``, a broadcast bitmap, the rows are documents; without, they are benchmark items.
+        hashes, begins = bytetext.span_hashes(data, starts, ends), np.concatenate([[0], np.cumsum(per)])
+        at, grams = selected(hashes, text)
+        if bitmaps is None:
+            whole = bytetext.gram_hashes(hashes, WINDOW)
+            one_text = np.flatnonzero(text[: len(whole)] == text[WINDOW - 1 :]) if len(whole) else np.zeros(0, np.int64)
+            windows.append(whole[one_text])
+            window_owners.append(first + text[one_text])
+        else:
+            near = np.flatnonzero(_in(bitmaps[0], grams))
+            near = near[_windows_around(hashes, text, at[near], bitmaps[1])]
+            at, grams = at[near], grams[near]
+        found = [(at, grams, GRAM)]
+        for m in range(1, WINDOW) if bitmaps is None else lengths:
+            h = bytetext.gram_hashes(hashes, m)
+            ok = text[: len(h)] == text[m - 1 : m - 1 + len(h)]
+            ok &= per[text[: len(h)]] == m if bitmaps is None else _in(bitmaps[0], h + np.uint64(m))
+            p = np.flatnonzero(ok)
+            found.append((p, h[p], -m))  # below zero: a whole item
+        at, grams = np.concatenate([p for p, _, _ in found]), np.concatenate([h for _, h, _ in found])
+        sizes = np.concatenate([np.full(len(p), m, np.int32) for p, _, m in found])
+        owner = text[at]
+        owners.append(first + owner)
+        parts.append((at - begins[owner], sizes, grams, _around(hashes, text, at, 0 if bitmaps else 1)))
+    return counts, _lists(len(column), owners, parts), _hash_lists(len(column), np.concatenate(window_owners), np.concatenate(windows))
+
+
+def _lists(n: int, owners: list, parts: list) -> pa.Array:
+    if not owners:
+        return pa.array([[]] * n, _SEEDS)
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    at, sizes, grams, around = (np.concatenate([p[i] for p in parts])[order] for i in range(4))
+    width = BEFORE + WINDOW
+    lists = pa.ListArray.from_arrays(np.arange(0, around.size + 1, width, dtype=np.int32), pa.array(around.ravel()))
+    seeds = pa.StructArray.from_arrays([pa.array(at.astype(np.int32)), pa.array(sizes), pa.array(grams.view(np.int64)), lists], fields=list(_SEEDS.value_type))
+    return pa.ListArray.from_arrays(np.searchsorted(owner[order], np.arange(n + 1)).astype(np.int32), seeds)
+
+
+def _hash_lists(n: int, owner: np.ndarray, hashes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32), pa.array(hashes.view(np.int64)))
+
+
+def _seeds(rows: DataFrame, key: str, text: str, lengths: list[int], shared=None) -> DataFrame:
+    """(id, digest, n_words, seeds, windows) of each row; digest tells apart rows that share an id.
+
+    With ``shared``, broadcast bitmaps, the rows are documents; without, they are benchmark items.
     """
-    shape = pa.list_(pa.struct([("at", pa.int32()), ("words", pa.int32()), ("fp", pa.int64()), ("span", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, found = _hits_of(b.column(2), lengths, shared is None, shared.value if shared else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(found, shape)], names=["id", "digest", "n_words", "windows"])
+            n, seeds, windows = _seeds_of(b.column(2), lengths, shared.value if shared else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), seeds, windows], names=["id", "digest", "n_words", "seeds", "windows"])
 
     source = rows.select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("digest"), F.col(text).cast("string").alias("text"))
-    return for_python(source).mapInArrow(run, f"id {source.schema[0].dataType.simpleString()}, digest bigint, n_words bigint, windows {_WINDOWS}")
+    return for_python(source).mapInArrow(run, _SCHEMA.format(id=source.schema[0].dataType.simpleString()))
 
 
-def _bitmap(windows: DataFrame) -> np.ndarray:
-    """2^BITMAP_BITS bits, one set for each fingerprint: at most 2 MB, whatever the benchmark's size."""
-    slot = F.col("fp").bitwiseAND((1 << BITMAP_BITS) - 1)
-    parts = windows.groupBy(F.shiftright(slot, 6).alias("part")).agg(F.bit_or(F.expr("shiftleft(1L, cast(fp & 63 as int))")).alias("bits")).collect()
-    bits = np.zeros(1 << (BITMAP_BITS - 6), "<i8")
+def bitmap_of(hashes: DataFrame, most: int = BITMAP_BITS) -> np.ndarray:
+    """A bitmap of the ``h`` of settled ``hashes``: BITS_EACH bits for each, 2^``most`` at most."""
+    bits = max(6, min(most, int(np.ceil(np.log2(max(1, hashes.count() * BITS_EACH))))))
+    slot = F.col("h").bitwiseAND((1 << bits) - 1)
+    parts = hashes.groupBy(F.shiftright(slot, 6).alias("part")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).collect()
+    out = np.zeros(1 << (bits - 6), "<i8")
     for r in parts:
-        bits[r.part] = r.bits
-    return bits.view(np.uint8)
+        out[r.part] = r.bits
+    return out.view(np.uint8)
+
+
+def fill(bitmap: np.ndarray) -> float:
+    """Share of a bitmap's bits that are set, which is the share of other grams that it lets pass."""
+    return float(np.unpackbits(bitmap).mean())
+
+
+def _agreeing(same: Column, most: int) -> Column:
+    """How many of an array of booleans are true before the first that is not."""
+    at = F.array_position(same, False)
+    return F.when(at == 0, F.lit(most)).otherwise(at - 1).cast("int")
+
+
+def _extended(seeds: DataFrame) -> DataFrame:
+    """Joined ``seeds`` that are part of a shared span, with its words: ``lo`` to before ``hi``."""
+    same = F.zip_with("around", "other", lambda a, b: a == b)
+    left = _agreeing(F.reverse(F.slice(same, 1, BEFORE)), BEFORE)
+    right = _agreeing(F.slice(same, BEFORE + 1, WINDOW), WINDOW)
+    seeds = seeds.withColumn("left", left).withColumn("right", right)
+    whole = F.col("size") < 0  # a short item is the gram itself
+    ok = F.when(whole, F.col("right") >= -F.col("size")).otherwise((F.col("right") >= GRAM) & (F.col("left") + F.col("right") >= WINDOW))
+    lo = F.when(whole, F.col("at")).otherwise(F.col("at") - F.col("left"))
+    hi = F.col("at") + F.when(whole, -F.col("size")).otherwise(F.col("right"))
+    return seeds.filter(ok).withColumn("lo", lo).withColumn("hi", hi)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -111,24 +198,34 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", te
     ``items`` are the ids of the items with a window in the document, sorted as strings.
     """
     spark = docs.sparkSession
-    bench = _windows(benchmark.filter(F.col(item).isNotNull()), item, item_text, [])
-    bench = settle(bench.select(F.col("id").cast("string").alias("item"), F.explode("windows").alias("w")).select("item", "w.words", "w.fp", "w.span").distinct(), "bench-windows")
-    lengths = sorted(r.words for r in bench.select("words").distinct().collect())  # at most WINDOW values
-    bitmap = spark.sparkContext.broadcast(_bitmap(bench))
-
-    seen = settle(_windows(docs, doc, text, lengths, bitmap), "doc-windows")
-    hit = seen.filter(F.size("windows") > 0).select("id", "digest", F.explode("windows").alias("w")).select("id", "digest", "w.at", "w.words", "w.fp", "w.span").distinct()
-    spans = small(settle(bench.select("fp", "span").distinct(), "bench-spans"))
-    hit = settle(hit.join(spans, ["fp", "span"], "left_semi"), "hits")
-
-    order = Window.partitionBy("id", "digest").orderBy("at", "words")
-    reach = F.max(F.col("at") + F.col("words")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.col("at") + F.col("words") - F.greatest(F.col("at"), F.coalesce(reach, F.lit(0)))
-    covered = hit.select("id", "digest", F.greatest(new, F.lit(0)).alias("new")).groupBy("id", "digest").agg(F.sum("new").alias("n_hit"))
-    named = hit.select("id", "digest", "fp", "span").distinct().join(small(bench.select("fp", "span", "item")), ["fp", "span"]).select("id", "digest", "item").distinct()
-    items = named.groupBy("id", "digest").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    items = settle(_seeds(benchmark.filter(F.col(item).isNotNull()), item, item_text, []).select(F.col("id").cast("string").alias("item"), "seeds", "windows"), "bench-items")
+    bench = items.select("item", F.explode("seeds").alias("s")).select("item", "s.size", "s.gram", F.col("s.around").alias("other"))
+    bench = settle(bench.withColumn("context", F.xxhash64("size", "gram", "other")).distinct(), "bench-grams")
+    lengths = sorted(-r["size"] for r in bench.filter("size < 0").select("size").distinct().collect())  # at most WINDOW values
+    grams = settle(bench.select(F.when(F.col("size") < 0, F.col("gram") - F.col("size")).otherwise(F.col("gram")).alias("h")).distinct(), "bench-hashes")
+    windows = settle(items.select(F.explode("windows").alias("h")).distinct(), "bench-windows")
+    shared = spark.sparkContext.broadcast((bitmap_of(grams), bitmap_of(windows)))
+
+    seen = settle(_seeds(docs, doc, text, lengths, shared).drop("windows"), "doc-grams")
+    seeds = seen.filter(F.size("seeds") > 0).select("id", "digest", F.explode("seeds").alias("s")).select("id", "digest", "s.*").distinct()
+    contexts = settle(bench.select("size", "gram", "other", "context").distinct(), "bench-contexts")
+    if contexts.count() <= BROADCAST_ROWS:
+        seeds = seeds.join(F.broadcast(contexts), ["size", "gram"])
+    else:
+        seeds = settle(seeds, "doc-seeds")
+        often = settle(seeds.groupBy("size", "gram").agg(F.count(F.lit(1)).alias("n")).join(contexts.groupBy("size", "gram").agg(F.collect_list(F.struct("other", "context")).alias("all")), ["size", "gram"]), "gram-contexts")
+        seeds = join_spread(seeds, often, ["size", "gram"], "n", F.xxhash64("id", "at"), "inner").select("id", "digest", "at", "size", "gram", "around", F.inline("all"))
+    hit = settle(_extended(seeds).select("id", "digest", "lo", "hi", "context").distinct(), "hits")
+
+    order = Window.partitionBy("id", "digest").orderBy("lo", "hi")
+    reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.col("hi") - F.greatest(F.col("lo"), F.coalesce(reach, F.lit(0)))
+    spans = hit.select("id", "digest", "lo", "hi").distinct()
+    covered = spans.select("id", "digest", F.greatest(new, F.lit(0)).alias("new")).groupBy("id", "digest").agg(F.sum("new").alias("n_hit"))
+    named = hit.select("id", "digest", "context").distinct().join(small(settle(bench.select("context", "item").distinct(), "bench-named")), "context").select("id", "digest", "item").distinct()
+    listed = named.groupBy("id", "digest").agg(F.array_sort(F.collect_list("item")).alias("items"))
     same = lambda a, b: F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & F.col(f"{a}.digest").eqNullSafe(F.col(f"{b}.digest"))
-    both = covered.alias("c").join(items.alias("i"), same("c", "i")).select("c.id", "c.digest", "n_hit", "items")
+    both = covered.alias("c").join(listed.alias("i"), same("c", "i")).select("c.id", "c.digest", "n_hit", "items")
     out = seen.select("id", "digest", "n_words").alias("s").join(both.alias("h"), same("s", "h"), "left")
     n_hit, named_items = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
@@ -143,11 +240,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", te
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not contaminated."""
+    """The rows of ``docs`` that are not contaminated; all of them if the benchmark is empty."""
+    digest = fresh(docs.columns, "_digest")
     hit = contamination(docs, benchmark, doc, text).filter("contaminated").select(F.col(doc).alias("_id"), F.col("digest").alias("_d")).distinct()
     hit = small(settle(hit, "contaminated"))
-    marked = docs.withColumn("_digest", F.xxhash64(text)).alias("d")
-    return marked.join(hit.alias("x"), F.col(f"d.{doc}").eqNullSafe(F.col("x._id")) & (F.col("d._digest") == F.col("x._d")), "left_anti").drop("_digest")
+    marked = docs.withColumn(digest, F.xxhash64(text)).alias("d")
+    return marked.join(hit.alias("x"), F.col(f"d.`{doc}`").eqNullSafe(F.col("x._id")) & (F.col(f"d.{digest}") == F.col("x._d")), "left_anti").drop(digest)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
