@@ -183,21 +183,30 @@ def _score(model: dict | None, views) -> list[np.ndarray]:
     return [1 / (1 + np.exp(-np.clip(m, -60, 60))) for m in (*z, margin(np.stack(z, axis=1), model["mix"]))]
 
 
+SCORES = ("p_content", "p_metadata", "score")
+
+
 def scored(docs: DataFrame, model: dict | None, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` columns and _q_content, _q_meta and _q_score, the probabilities of good quality, of every row."""
+    """``keep`` columns as one struct ``row``, and p_content, p_metadata and score, the probabilities of good quality, of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, ROWS_AT_ONCE):
                 part = b.slice(lo, ROWS_AT_ONCE)
-                p = _score(shared.value, _views(part, len(keep)))
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *map(pa.array, p)], names=[*keep, "_q_content", "_q_meta", "_q_score"])
+                p = _score(shared.value, _views(part, 1))
+                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, p)], names=["row", *SCORES])
 
-    schema = T.StructType(list(docs.select(*keep).schema.fields))
-    for name in ("_q_content", "_q_meta", "_q_score"):
+    rows = docs.select(F.struct(*keep).alias("row"), *_inputs(docs, text))
+    schema = T.StructType([rows.schema["row"]])
+    for name in SCORES:
         schema = schema.add(name, "double")
-    return for_python(docs.select(*keep, *_inputs(docs, text))).mapInArrow(run, schema)
+    return for_python(rows).mapInArrow(run, schema)
+
+
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose score is ACCEPT or more."""
+    return scored(docs, fit(docs, labels), docs.columns).filter(F.col("score") >= ACCEPT).select("row.*")
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text") -> dict | None:
@@ -208,7 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "te
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     found = scored(docs, fit(docs, table(spark, sf_dir, "labels")), ["doc_id"])
-    return found.select("doc_id", F.col("_q_content").alias("p_content"), F.col("_q_meta").alias("p_metadata"), F.col("_q_score").alias("score"), (F.col("_q_score") >= ACCEPT).alias("accepted"))
+    return found.select("row.doc_id", *SCORES, (F.col("score") >= ACCEPT).alias("accepted"))
 
 
 QUERIES = {"op3_quality": op3_quality}

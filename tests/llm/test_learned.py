@@ -32,7 +32,7 @@ def test_quality_on_labels_not_used_for_fitting(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(2))
     model = quality.fit(docs, labels.filter(fold == 0))
-    r = quality.scored(docs, model, ["doc_id"]).join(labels.filter(fold == 1), "doc_id").withColumn("ok", F.col("_q_score") >= quality.ACCEPT)
+    r = quality.scored(docs, model, ["doc_id"]).select("row.*", "score").join(labels.filter(fold == 1), "doc_id").withColumn("ok", F.col("score") >= quality.ACCEPT)
     good, bad = (r.filter(f"quality = {q}").agg(F.avg(F.col("ok").cast("int")).alias("kept")).first().kept for q in (1, 0))
     assert good > 0.97 and bad < 0.25
 

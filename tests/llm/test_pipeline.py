@@ -50,7 +50,7 @@ def test_weights_of_the_mix_rule_the_slots_of_the_shards(spark, write, monkeypat
 
 
 def test_clashing_columns(spark, write):
-    names = ["shard", "slot", "block", "bucket", "digest", "fp", "root", "score", "count", "mix_position", "id"]
+    names = ["shard", "slot", "block", "bucket", "digest", "_digest", "fp", "root", "score", "_q_score", "count", "mix_position", "mix_mix_position", "size", "_size", "_s", "_mark", "row", "record", "id", "_id"]
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
     for n in names:
         docs = docs.withColumn(n, docs.doc_id)
