@@ -2,22 +2,39 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lectern.functions.text import collapse_ws
+from lectern.schemas import DROPPED
 
-DROPPED = ("script", "style", "nav", "svg", "noscript")
 BLOCK_OPEN = r"(?i)<(?:p|blockquote|li|h[1-4])(?:\s[^>]*)?>"
 BLOCK_CLOSE = r"(?i)</(?:p|blockquote|li|h[1-4]|ul|ol|div|article|section|body|html)\s*>"
-#: Fixed values, the ampersand last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+_ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+
+def _named() -> Column:
+    """Characters by entity, as the standard library lists them."""
+    names = {f"&{name};": chr(code) for name, code in name2codepoint.items()} | {"&apos;": "'"}
+    return F.create_map(*(F.lit(x) for kv in sorted(names.items()) for x in kv))
+
+
+def _character(entity: Column) -> Column:
+    """What an entity stands for; itself if that is no character."""
+    inner = F.substring(F.replace(entity, F.lit(";"), F.lit("")), 3, 9)
+    code = F.when(entity.rlike("^&#[xX]"), F.conv(F.substring(inner, 2, 9), 16, 10).cast("long")).when(entity.startswith("&#"), inner.cast("long"))
+    sound = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
+    number = F.when(sound, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    return F.coalesce(number, F.try_element_at(_named(), entity), entity)
 
 
 def decode_entities(text: Column) -> Column:
-    for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    """``text`` with named and numbered entities as characters, each decoded once."""
+    pieces, found = F.split(text, _ENTITY, -1), F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(0))
+    decoded = F.array_join(F.zip_with(pieces, F.transform(found, _character), lambda p, c: F.concat(p, F.coalesce(c, F.lit("")))), "")
+    return F.when(text.contains("&"), decoded).otherwise(text)
 
 
 def inline_text(html: Column) -> Column:

@@ -12,8 +12,8 @@ _SPACES = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003
 _SPACE = f"[{_SPACES}]"
 _ODD_SPACE = f"[{_SPACES[1:]}]"
 _LINE_END = "\r\n|[\n\r\x0b\f\x1c\x1d\x1e\x85\u2028\u2029]"
-_MARK = "\u0001"
-_SHORT = "|".join(x[:-1] for x in ABBREVIATIONS)
+#: The end of a sentence, behind the point where it is cut: not the full stop of an abbreviation.
+_END = rf"(?<=[.!?…])(?<!(?:{'|'.join(x[:-1] for x in ABBREVIATIONS)})\.)"
 
 
 def strip(text: Column) -> Column:
@@ -37,19 +37,9 @@ def normalize_text(text: Column) -> Column:
     return F.array_join(normal_lines(text), "\n\n")
 
 
-def _protected(text: Column) -> Column:
-    """Abbreviations with a mark, as long as the full stop it stands for."""
-    return F.regexp_replace(text, rf"({_SHORT})\.", f"$1{_MARK}")
-
-
-def _restored(text: Column) -> Column:
-    return F.when(text.contains(_MARK), F.regexp_replace(text, rf"({_SHORT}){_MARK}", "$1.")).otherwise(text)
-
-
 def split_sentences(text: Column) -> Column:
     """Sentences, cut at white space after . ! ? or an ellipsis, but not after an abbreviation."""
-    parts = F.transform(F.split(_protected(text), rf"(?<=[.!?…]){_SPACE}+"), lambda x: strip(x))
-    return F.transform(F.filter(parts, lambda x: x != ""), lambda x: _restored(x))
+    return F.filter(F.transform(F.split(text, rf"{_END}{_SPACE}+"), lambda x: strip(x)), lambda x: x != "")
 
 
 def hard_split(text: Column, limit: int) -> Column:
@@ -79,10 +69,10 @@ def paragraph_chunks(paragraph: Column, limit: int) -> Column:
     """
     bounded = lambda s: F.when(F.length(s) > limit, hard_split(s, limit)).otherwise(F.array(s))
     packed = pack_units(F.flatten(F.transform(split_sentences(paragraph), bounded)), limit)
-    pattern = rf"(?s)\G ?+(.{{1,{limit}}}\z|.{{0,{limit - 1}}}[.!?…](?= ))"
-    quick = F.array(F.regexp_extract_all(_protected(paragraph), F.lit(pattern), F.lit(1)))
+    pattern = rf"(?s)\G ?+(.{{1,{limit}}}\z|.{{1,{limit}}}{_END}(?= ))"
+    quick = F.array(F.regexp_extract_all(paragraph, F.lit(pattern), F.lit(1)))
     whole = lambda q: (F.length(F.array_join(q, " ")) == F.length(paragraph)) & ~paragraph.rlike(_ODD_SPACE)
-    long = F.get(F.transform(quick, lambda q: F.when(whole(q), F.transform(q, lambda c: _restored(c))).otherwise(packed)), F.lit(0))
+    long = F.get(F.transform(quick, lambda q: F.when(whole(q), q).otherwise(packed)), F.lit(0))
     return F.when(F.length(paragraph) <= limit, F.array(paragraph)).otherwise(long)
 
 

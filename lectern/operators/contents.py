@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from lectern.functions.paths import normalize_path, strip_fragment
 
+#: Numbers in one range of a selector.
+MOST_SELECTED = 100_000
+
 
 def map_toc(toc: DataFrame, chapters: DataFrame) -> DataFrame:
     """``toc`` with the chapter each row's document is, null if none; of equal paths the last chapter counts."""
@@ -57,21 +60,24 @@ def explicit_selection(chapters: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def selector_expand(selector):
-    """``1,3-5,9`` as sorted distinct numbers; null if a part is not a number or range from 1 up, or none is left."""
+    """``1,3-5,9`` as sorted distinct numbers; null if a part is not a number or range from 1 up, or none is left.
+
+    A range of more than MOST_SELECTED numbers is no selection of chapters and gives null too.
+    """
     parts = F.filter(F.transform(F.split(selector, ","), lambda p: F.trim(p)), lambda p: p != "")
     sound = F.forall(parts, lambda p: p.rlike("^[0-9]+( *- *[0-9]+)?$"))
     first = lambda p: F.trim(F.split_part(p, F.lit("-"), F.lit(1))).try_cast("int")
     last = lambda p: F.when(p.contains("-"), F.trim(F.split_part(p, F.lit("-"), F.lit(2))).try_cast("int")).otherwise(first(p))
-    ranges = F.forall(parts, lambda p: (first(p) > 0) & (last(p) >= first(p)))
-    numbers = F.array_sort(F.array_distinct(F.flatten(F.transform(parts, lambda p: F.sequence(first(p), last(p))))))
+    ranges = F.forall(parts, lambda p: (first(p) > 0) & (last(p) >= first(p)) & (last(p) - first(p) < MOST_SELECTED))
+    numbers = F.array_sort(F.array_distinct(F.flatten(F.transform(parts, lambda p: F.sequence(first(p), F.least(last(p), first(p) + (MOST_SELECTED - 1)))))))
     return F.when(sound & (F.size(parts) > 0), F.when(ranges, numbers))
 
 
 def selection_rollup(nodes: DataFrame, depth: int) -> DataFrame:
     """The state of every contents node, all, none or some, from the leaves up.
 
-    ``nodes`` are (book_id, path, parent, chapter_index, selected): rows that name the same chapter share the
-    state of its first row; a node with children takes its state from them, one level per join.
+    ``nodes`` are (book_id, path, parent, chapter_index, selected): rows that name the same chapter
+    move together and are on if any of them is; a node with children takes its state from them, one level per join.
     """
     alias = nodes.filter("chapter_index is not null").groupBy("book_id", "chapter_index").agg(F.bool_or("selected").alias("shared"))
     rows = nodes.join(alias, ["book_id", "chapter_index"], "left").select("book_id", "path", "parent", F.when(F.coalesce("shared", "selected"), "all").otherwise("none").alias("state"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import enforce_limit
@@ -24,18 +25,18 @@ class Engine(Protocol):
         """frames and sample_rate of each text."""
 
 
-class SteadyEngine:
-    """A stand-in without a model: each character takes 60 ms, and the seed adds up to 200 ms."""
+@dataclass(frozen=True)
+class ColumnEngine:
+    """An engine that is a column: ``frames`` of (text, seed), all at one rate; it runs inside the JVM."""
 
-    def load(self) -> None:
-        self.rate = 24000
-
-    def synthesize(self, texts: pd.Series, seeds: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"frames": (texts.str.len() * 60 + seeds % 200) * (self.rate // 1000), "sample_rate": self.rate})
+    frames: Callable[[Column, Column], Column]
+    sample_rate: int
 
 
-def apply_engine(jobs: DataFrame, engine: Engine) -> DataFrame:
-    """RESULT rows of ``jobs`` (task_id, part, text, seed), batch by batch."""
+def apply_engine(jobs: DataFrame, engine: Engine | ColumnEngine) -> DataFrame:
+    """RESULT rows of ``jobs`` (task_id, part, text, seed): as columns, or batch by batch in Python workers."""
+    if isinstance(engine, ColumnEngine):
+        return jobs.select("task_id", "part", engine.frames(F.col("text"), F.col("seed")).cast("long").alias("frames"), F.lit(engine.sample_rate).alias("sample_rate"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         engine.load()
@@ -46,7 +47,7 @@ def apply_engine(jobs: DataFrame, engine: Engine) -> DataFrame:
     return jobs.select("task_id", "part", "text", "seed").mapInPandas(run, RESULT)
 
 
-def guarded_apply(jobs: DataFrame, engine: Engine, limit: int) -> DataFrame:
+def guarded_apply(jobs: DataFrame, engine: Engine | ColumnEngine, limit: int) -> DataFrame:
     """(task_id, frames, sample_rate, seconds) of (task_id, text, seed) rows; texts over the limit go in parts that are merged."""
     parts = jobs.select("task_id", "seed", F.posexplode(enforce_limit(F.array("text"), limit)).alias("part", "text"))
     return merge_parts(apply_engine(parts, engine))

@@ -9,22 +9,27 @@ from lectern.functions.text import escape_metadata
 from lectern.operators.ordered import position_bucket, prefix_sums
 
 
+def _duration():
+    """duration_ms, an error for a job without one: nothing may be put together before all are done."""
+    return F.coalesce("duration_ms", F.raise_error(F.lit("a job has no duration")).cast("long"))
+
+
 def elapsed(jobs: DataFrame) -> DataFrame:
     """``jobs`` with start_ms and end_ms of every chunk in its book."""
-    rows = prefix_sums(jobs, ["book_id"], position_bucket(F.col("sequence")), ["sequence"], {"end_ms": F.col("duration_ms")})
+    rows = prefix_sums(jobs, ["book_id"], position_bucket(F.col("sequence")), ["sequence"], {"end_ms": _duration()})
     return rows.withColumn("start_ms", F.col("end_ms") - F.col("duration_ms"))
 
 
 def chapter_timeline(jobs: DataFrame) -> DataFrame:
     """(book_id, chapter_index, start_ms, end_ms): a chapter ends a millisecond after its start at least."""
-    chapters = jobs.groupBy("book_id", "chapter_index").agg(F.sum("duration_ms").alias("chapter_ms"))
+    chapters = jobs.groupBy("book_id", "chapter_index").agg(F.sum(_duration()).alias("chapter_ms"))
     rows = prefix_sums(chapters, ["book_id"], position_bucket(F.col("chapter_index")), ["chapter_index"], {"upto": F.col("chapter_ms")})
     start = F.col("upto") - F.col("chapter_ms")
     return rows.select("book_id", "chapter_index", start.alias("start_ms"), F.greatest(F.col("upto"), start + 1).alias("end_ms"))
 
 
 def timeline_total(jobs: DataFrame) -> DataFrame:
-    return jobs.groupBy("book_id").agg(F.sum("duration_ms").alias("total_ms"), F.count(F.lit(1)).alias("n_chunks"))
+    return jobs.groupBy("book_id").agg(F.sum(_duration()).alias("total_ms"), F.count(F.lit(1)).alias("n_chunks"))
 
 
 def chapter_metadata_doc(timings: DataFrame, title, author) -> DataFrame:

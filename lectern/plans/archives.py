@@ -16,20 +16,24 @@ PAGES_PER_BOOK = 20
 
 
 def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One archive of at most PAGES_PER_BOOK pages."""
+    """One archive of at most PAGES_PER_BOOK pages; books differ in how they name contents and cover, and some have no cover."""
     pdf = pdf.sort_values("page_id")
-    out, ids = io.BytesIO(), pdf["page_id"].tolist()
+    out, ids, number = io.BytesIO(), pdf["page_id"].tolist(), int(pdf["number"].iloc[0])
+    ncx, up = ("toc.ncx", "") if number % 2 == 0 else ("nav/t.ncx", "../")
+    cover = {0: ("cv", "c.PNG", "image/png", ""), 1: ("img", "art/c.jpeg", "image/jpeg", ' properties="cover-image"')}.get(number % 3)
     items = "".join(f'<item id="p{i}" href="text/p{i}.xhtml" media-type="application/xhtml+xml"/>' for i in ids)
-    points = "".join(f'<navPoint><navLabel><text>Page {i}</text></navLabel><content src="text/p{i}.xhtml#top"/><navPoint><navLabel><text>Part of {i}</text></navLabel><content src="text/p{i}.xhtml#part"/></navPoint></navPoint>' for i in ids)
+    if cover:
+        items = f'<item id="{cover[0]}" href="{cover[1]}" media-type="{cover[2]}"{cover[3]}/>' + items
+    points = "".join(f'<navPoint><navLabel><text>Page {i}</text></navLabel><content src="{up}text/p{i}.xhtml#top"/><navPoint><navLabel><text>Part of {i}</text></navLabel><content src="{up}text/p{i}.xhtml#part"/></navPoint></navPoint>' for i in ids)
     opf = (
-        f'<package xmlns:dc="http://purl.org/dc/elements/1.1/"><metadata><dc:title>{escape(pdf["book"].iloc[0])}</dc:title><dc:language>xx</dc:language><meta name="cover" content="cv"/></metadata>'
-        f'<manifest><item id="cv" href="c.PNG" media-type="image/png"/><item id="ncx" href="toc.ncx" media-type="{A.NCX_TYPE}"/>{items}</manifest>'
-        f'<spine toc="ncx">{"".join(f"<itemref idref={chr(34)}p{i}{chr(34)}/>" for i in ids)}<itemref idref="gone"/></spine></package>'
+        f'<package xmlns:dc="http://purl.org/dc/elements/1.1/"><metadata><dc:title>{escape(pdf["book"].iloc[0])}</dc:title><dc:language>xx</dc:language><meta name="cover" content="{"cv" if number % 3 == 0 else "gone"}"/></metadata>'
+        f'<manifest><item id="ncx" href="{ncx}" media-type="{A.NCX_TYPE}"/>{items}</manifest>'
+        f'<spine{" toc=" + chr(34) + "ncx" + chr(34) if number % 2 == 0 else ""}>{"".join(f"<itemref idref={chr(34)}p{i}{chr(34)}/>" for i in ids)}<itemref idref="gone"/></spine></package>'
     )
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for name, body in (
             (A.CONTAINER, '<container><rootfiles><rootfile full-path="OEBPS/content.opf"/></rootfiles></container>'),
-            ("OEBPS/content.opf", opf), ("OEBPS/toc.ncx", f"<ncx><navMap>{points}</navMap></ncx>"), ("OEBPS/c.PNG", "png"),
+            ("OEBPS/content.opf", opf), (f"OEBPS/{ncx}", f"<ncx><navMap>{points}</navMap></ncx>"), *([(f"OEBPS/{cover[1]}", f"cover {number}")] if cover else []),
             *((f"OEBPS/text/p{i}.xhtml", html or "") for i, html in zip(ids, pdf["html"])),
         ):
             z.writestr(zipfile.ZipInfo(name), body)
@@ -37,8 +41,8 @@ def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _files(spark, d):
-    book = F.format_string("books/b%d", F.floor(F.col("page_id") / PAGES_PER_BOOK))
-    packed = table(spark, d, "pages").select("page_id", "html", book.alias("book")).groupBy("book").applyInPandas(_pack, "path string, content binary")
+    number = F.floor(F.col("page_id") / PAGES_PER_BOOK)
+    packed = table(spark, d, "pages").select("page_id", "html", number.alias("number"), F.format_string("books/b%d", number).alias("book")).groupBy("book").applyInPandas(_pack, "path string, content binary")
     return A.members(packed)
 
 
@@ -63,16 +67,17 @@ QUERIES = {
     "a1_book_chapters": lambda s, d: A.chapters(_files(s, d)),
 }
 
-_B = f"b AS (SELECT page_id, coalesce(html, '') AS html, 'books/b' || (page_id // {PAGES_PER_BOOK}) || '.epub' AS path, row_number() OVER (PARTITION BY page_id // {PAGES_PER_BOOK} ORDER BY page_id) - 1 AS i FROM pages)"
-_P = f"WITH {_B}, p AS (SELECT DISTINCT path FROM b)"
+_B = f"b AS (SELECT page_id, coalesce(html, '') AS html, page_id // {PAGES_PER_BOOK} AS number, 'books/b' || (page_id // {PAGES_PER_BOOK}) || '.epub' AS path, row_number() OVER (PARTITION BY page_id // {PAGES_PER_BOOK} ORDER BY page_id) - 1 AS i FROM pages)"
+_P = f"WITH {_B}, p AS (SELECT DISTINCT path, number, CASE WHEN number % 2 = 0 THEN 'toc.ncx' ELSE 'nav/t.ncx' END AS ncx FROM b)"
 
 ORACLES = {
     "a2_opf_tables": f"""{_P} SELECT path, 'p' || page_id AS item_id, 'text/p' || page_id || '.xhtml' AS href, 'application/xhtml+xml' AS media_type, 'OEBPS/text/p' || page_id || '.xhtml' AS member FROM b
-      UNION ALL SELECT path, 'cv', 'c.PNG', 'image/png', 'OEBPS/c.PNG' FROM p UNION ALL SELECT path, 'ncx', 'toc.ncx', 'application/x-dtbncx+xml', 'OEBPS/toc.ncx' FROM p""",
+      UNION ALL SELECT path, 'cv', 'c.PNG', 'image/png', 'OEBPS/c.PNG' FROM p WHERE number % 3 = 0 UNION ALL SELECT path, 'img', 'art/c.jpeg', 'image/jpeg', 'OEBPS/art/c.jpeg' FROM p WHERE number % 3 = 1
+      UNION ALL SELECT path, 'ncx', ncx, 'application/x-dtbncx+xml', 'OEBPS/' || ncx FROM p""",
     "a4_ncx_points": f"""WITH {_B} SELECT path, CAST(i AS VARCHAR) AS node, 1 AS depth, 'Page ' || page_id AS title, 'OEBPS/text/p' || page_id || '.xhtml#top' AS href FROM b
       UNION ALL SELECT path, i || '.0', 2, 'Part of ' || page_id, 'OEBPS/text/p' || page_id || '.xhtml#part' FROM b""",
     "d1_spine_manifest": f"WITH {_B} SELECT path, CAST(i AS INTEGER) AS spine_pos, 'p' || page_id AS item_id, 'OEBPS/text/p' || page_id || '.xhtml' AS member FROM b",
     "d2_member_lookup": f"WITH {_B} SELECT path, CAST(i AS INTEGER) AS spine_pos, 'OEBPS/text/p' || page_id || '.xhtml' AS member, sha256(html) AS sha256 FROM b",
-    "d12_cover_pick": f"{_P} SELECT path, '.png' AS suffix, 3 AS bytes FROM p",
-    "d13_ncx_pick": f"{_P} SELECT path, 'OEBPS/toc.ncx' AS member FROM p",
+    "d12_cover_pick": f"{_P} SELECT path, CASE WHEN number % 3 = 0 THEN '.png' ELSE '.jpeg' END AS suffix, CAST(length('cover ' || number) AS INTEGER) AS bytes FROM p WHERE number % 3 < 2",
+    "d13_ncx_pick": f"{_P} SELECT path, 'OEBPS/' || ncx AS member FROM p",
 }

@@ -10,6 +10,7 @@ from lectern.operators.ordered import numbered, position_bucket
 from lectern.plans import sql
 from lectern.plans.tables import ENGINE, artifacts, chapters, jobs, options, requests, table, toc
 from lectern.schemas import UNKNOWN_AUTHOR
+from lectern.sources.sinks import settled
 
 
 def _chapters(spark, d):
@@ -20,6 +21,12 @@ def _mapped(spark, d):
     return contents.map_toc(toc(spark, d), chapters(spark, d))
 
 
+def _contents(spark, d):
+    """Chapters without their texts, and the contents mapped onto them, each worked out once."""
+    slim = settled(chapters(spark, d).withColumn("chars", F.length("text").cast("long")).drop("text"), "chapters")
+    return slim, settled(contents.map_toc(toc(spark, d), slim), "mapped")
+
+
 def _plain(rows):
     return rows.select("book_id", "chapter_index", "title", "source_href")
 
@@ -42,9 +49,9 @@ def nonempty_chapters(spark, d):
 
 
 def selection_summary(spark, d):
-    ch, m = chapters(spark, d), _mapped(spark, d)
+    ch, m = _contents(spark, d)
     chosen = contents.default_selection(ch, m).select("doc_id", F.lit(True).alias("on"))
-    rows = ch.select("book_id", "doc_id", F.length("text").cast("long").alias("chars")).join(chosen, "doc_id", "left")
+    rows = ch.select("book_id", "doc_id", "chars").join(chosen, "doc_id", "left")
     on = F.col("on").isNotNull()
     return rows.groupBy("book_id").agg(F.count_if(on).alias("selected"), F.count(F.lit(1)).alias("chapters"), F.sum(F.when(on, F.col("chars")).otherwise(0)).alias("selected_chars"))
 
@@ -56,23 +63,25 @@ def book_profile(spark, d):
 
 def analyze_report(spark, d):
     """The analysis lines: number, title, size, where the chapter comes from, and whether it is on."""
-    ch, m = chapters(spark, d), _mapped(spark, d)
+    ch, m = _contents(spark, d)
     listed = contents.represented(ch, m).select("doc_id", F.lit(True).alias("listed"))
     rows = ch.join(listed, "doc_id", "left").join(contents.usable(ch, m), "book_id")
     is_listed = F.coalesce("listed", F.lit(False))
     origin = F.when(is_listed, "TOC").when(F.col("has_toc"), "Spine/TOC disi").otherwise("Spine (TOC yok)")
     on = F.when(is_listed | ~F.col("has_toc"), "secili").otherwise("atlanir")
-    line = F.format_string("%03d. %s (%d karakter) [%s; %s]", F.col("chapter_index"), F.col("title"), F.length("text"), origin, on)
+    line = F.format_string("%03d. %s (%d karakter) [%s; %s]", F.col("chapter_index"), F.col("title"), F.col("chars"), origin, on)
     return rows.select("book_id", "chapter_index", line.alias("line"))
 
 
 def _toc_nodes(spark, d):
-    """A two-level contents tree: ten chapters to a part."""
-    m = _mapped(spark, d)
-    part = F.concat(F.lit("part"), F.floor(F.col("pos") / 10))
-    leaves = m.select("book_id", F.col("pos").cast("string").alias("path"), part.alias("parent"), "chapter_index", (F.col("pos") % 3 != 0).alias("selected"))
-    parts = leaves.select("book_id", F.col("parent").alias("path"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("long").alias("chapter_index"), F.lit(False).alias("selected")).distinct()
-    return leaves.unionByName(parts)
+    """A contents tree of three levels: ten chapters to a section, ten sections to a part."""
+    m = _contents(spark, d)[1]
+    named = lambda kind, size: F.concat(F.lit(kind), F.floor(F.col("pos") / size))
+    leaves = m.select("book_id", F.col("pos").cast("string").alias("path"), named("section", 10).alias("parent"), "chapter_index", (F.col("pos") % 3 != 0).alias("selected"))
+    none = [F.lit(None).cast("long").alias("chapter_index"), F.lit(False).alias("selected")]
+    sections = m.select("book_id", named("section", 10).alias("path"), named("part", 100).alias("parent"), *none).distinct()
+    parts = m.select("book_id", named("part", 100).alias("path"), F.lit(None).cast("string").alias("parent"), *none).distinct()
+    return settled(leaves.unionByName(sections).unionByName(parts), "contents-nodes")
 
 
 def cache_probe(spark, d):
@@ -127,14 +136,14 @@ def _numbered(spark, d):
 QUERIES = {
     "c1_readable_docs": readable_docs,
     "c5_explicit_selection": explicit_selection,
-    "c6_default_selection": lambda s, d: _plain(contents.default_selection(_chapters(s, d), _mapped(s, d))),
+    "c6_default_selection": lambda s, d: _plain(contents.default_selection(*_contents(s, d))),
     "c7_nonempty_chapters": nonempty_chapters,
     "c9_valid_artifact": lambda s, d: cache.valid_artifacts(artifacts(jobs(s, d))).select("book_id", "task_id", "size"),
     "a6_artifact_inventory": lambda s, d: artifacts(jobs(s, d)).groupBy("book_id").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"), F.max("size").alias("largest")),
     "d3_toc_chapter_map": lambda s, d: _mapped(s, d).select("book_id", "pos", "href", "chapter_index"),
-    "d4_toc_represented": lambda s, d: _plain(contents.represented(_chapters(s, d), _mapped(s, d))),
-    "d5_spine_only": lambda s, d: contents.fallback(_chapters(s, d), _mapped(s, d)),
-    "d6_toc_usable": lambda s, d: contents.usable(_chapters(s, d), _mapped(s, d)),
+    "d4_toc_represented": lambda s, d: _plain(contents.represented(*_contents(s, d))),
+    "d5_spine_only": lambda s, d: contents.fallback(*_contents(s, d)),
+    "d6_toc_usable": lambda s, d: contents.usable(*_contents(s, d)),
     "d9_cache_probe": cache_probe,
     "d10_resume_pending": lambda s, d: (lambda j: cache.pending(j, artifacts(j)).select("book_id", "sequence", "task_id"))(jobs(s, d)),
     "e1_book_profile": book_profile,
@@ -147,9 +156,9 @@ QUERIES = {
     "f3_elapsed": lambda s, d: timeline.elapsed(jobs(s, d)).select("book_id", "sequence", "start_ms", "end_ms"),
     "f4_chapter_timeline": lambda s, d: timeline.chapter_timeline(jobs(s, d)),
     "g2_restore_order": _numbered,
-    "h3_missing_set": lambda s, d: _plain(contents.missing(_chapters(s, d), _mapped(s, d))),
-    "h4_toc_append": lambda s, d: contents.full_contents(_chapters(s, d), _mapped(s, d)),
-    "h5_selection_rollup": lambda s, d: contents.selection_rollup(_toc_nodes(s, d), 1).select("book_id", "path", "state"),
+    "h3_missing_set": lambda s, d: _plain(contents.missing(*_contents(s, d))),
+    "h4_toc_append": lambda s, d: contents.full_contents(*_contents(s, d)),
+    "h5_selection_rollup": lambda s, d: contents.selection_rollup(_toc_nodes(s, d), 2).select("book_id", "path", "state"),
     "j4_chunk_key": lambda s, d: job_key_rows(s, d).select("book_id", "sequence", "key"),
     "j5_run_fingerprint": run_fingerprint,
     "j6_stable_seed": stable_seed,
@@ -198,10 +207,11 @@ ORACLES = {
     "g2_restore_order": "SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS n FROM conversations",
     "h3_missing_set": f"WITH {_TC} SELECT {_SEL} FROM state WHERE NOT listed",
     "h4_toc_append": f"WITH {_TC} SELECT book_id, title, href, chapter_index, 'toc' AS source, true AS default_selected FROM mapped WHERE book_id IN (SELECT book_id FROM usable WHERE has_toc) UNION ALL {_FALLBACK}",
-    "h5_selection_rollup": f"""WITH {_TC}, leaf AS (SELECT book_id, CAST(pos AS VARCHAR) AS path, 'part' || (pos // 10) AS parent, chapter_index, pos % 3 <> 0 AS selected FROM mapped),
+    "h5_selection_rollup": f"""WITH {_TC}, leaf AS (SELECT book_id, CAST(pos AS VARCHAR) AS path, pos, chapter_index, pos % 3 <> 0 AS selected FROM mapped),
       shared AS (SELECT *, CASE WHEN chapter_index IS NULL THEN selected ELSE bool_or(selected) OVER (PARTITION BY book_id, chapter_index) END AS on_ FROM leaf)
       SELECT book_id, path, CASE WHEN on_ THEN 'all' ELSE 'none' END AS state FROM shared UNION ALL
-      SELECT book_id, parent, CASE WHEN bool_and(on_) THEN 'all' WHEN bool_or(on_) THEN 'some' ELSE 'none' END FROM shared GROUP BY book_id, parent""",
+      SELECT book_id, 'section' || (pos // 10), CASE WHEN bool_and(on_) THEN 'all' WHEN bool_or(on_) THEN 'some' ELSE 'none' END FROM shared GROUP BY ALL UNION ALL
+      SELECT book_id, 'part' || (pos // 100), CASE WHEN bool_and(on_) THEN 'all' WHEN bool_or(on_) THEN 'some' ELSE 'none' END FROM shared GROUP BY ALL""",
     "j4_chunk_key": f"{_J} SELECT book_id, sequence, key FROM jobs",
     "j5_run_fingerprint": "SELECT page_id, substr(sha256(url || '|' || length(html) || '|' || (page_id * 7) || '|xtts'), 1, 16) AS run_id FROM pages",
     "j6_stable_seed": """SELECT item_id, CAST(('0x' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2)) AS BIGINT) & 2147483647 AS seed

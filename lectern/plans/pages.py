@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lectern.functions import markup
 from lectern.functions.text import collapse_ws
 from lectern.plans.tables import table
-from lectern.schemas import CHAPTER_PREFIX, DEFAULT_LANGUAGE, UNKNOWN_TITLE
+from lectern.schemas import CHAPTER_PREFIX, DEFAULT_LANGUAGE, DROPPED, UNKNOWN_TITLE
 
 
 def html_blocks(spark, d):
@@ -32,8 +32,8 @@ def metadata_fallback(spark, d):
 QUERIES = {"a3_nav_links": nav_links, "a5_html_blocks": html_blocks, "c3_title_fallback": title_fallback, "c4_metadata_fallback": metadata_fallback}
 
 _DECODE = "{x}"
-for _name, _char in markup.ENTITIES:
-    _DECODE = f"replace({_DECODE}, '{_name}', " + ("chr(39)" if _char == "'" else f"'{_char}'") + ")"
+for _name, _code in (("lt", 60), ("gt", 62), ("quot", 34), ("#39", 39), ("apos", 39), ("nbsp", 160), ("middot", 183), ("copy", 169), ("amp", 38)):  # those that pages hold, the ampersand last
+    _DECODE = f"replace({_DECODE}, '&{_name};', chr({_code}))"
 
 
 def _inline(x: str) -> str:
@@ -43,7 +43,7 @@ def _inline(x: str) -> str:
 
 def _kept(x: str) -> str:
     x = f"regexp_replace({x}, '(?s)<!--.*?-->', ' ', 'g')"
-    for tag in markup.DROPPED:
+    for tag in DROPPED:
         x = rf"regexp_replace({x}, '(?is)<{tag}(?:\s[^>]*)?>.*?</{tag}\s*>', ' ', 'g')"
     return x
 

@@ -2,24 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.operators.engine import SteadyEngine, apply_engine, guarded_apply
+from lectern.operators.engine import ColumnEngine, apply_engine, guarded_apply
 from lectern.operators.telemetry import micros, ratio
 from lectern.plans import runs, sql
 from lectern.plans.tables import jobs, messages, table
-from lectern.sources.sinks import publish, publish_batch
+from lectern.sources.sinks import publish, publish_batch, shared_dir
 from lectern.streaming import telemetry as S
 from lectern.streaming.observers import observed
 
 
 def _shared(spark: SparkSession) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(named or 'file://' + tempfile.mkdtemp(prefix='lectern-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
@@ -76,14 +74,18 @@ def dedupe_completions(spark, d):
     return finished(S.dedupe_completions(twice)).select("run_id", "task_id")
 
 
+#: Narration estimated by length: 60 ms for each character, and up to 200 ms by the seed.
+ESTIMATE = ColumnEngine(lambda text, seed: (F.length(text) * 60 + seed % 200) * 24, 24_000)
+
+
 def engine_plugin(spark, d):
     rows = jobs(spark, d).select(F.concat("book_id", F.lit("/"), "task_id").alias("task_id"), F.lit(0).alias("part"), "text", "seed")
-    return apply_engine(rows, SteadyEngine()).drop("part")
+    return apply_engine(rows, ESTIMATE).drop("part")
 
 
 def guarded(spark, d):
     rows = table(spark, d, "conversations").select(F.concat(F.col("conv_id"), F.lit("-"), F.col("turn"), F.lit("-"), F.col("role")).alias("task_id"), "text", F.lit(7).alias("seed"))
-    return guarded_apply(rows, SteadyEngine(), 220).select("task_id", "sample_rate", (F.col("frames") > 0).alias("voiced"))
+    return guarded_apply(rows, ESTIMATE, 220).select("task_id", "sample_rate", (F.col("frames") > 0).alias("voiced"))
 
 
 def atomic_publish(spark, d):

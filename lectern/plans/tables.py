@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import keys, text
 from lectern.operators.ordered import numbered, position_bucket, prefix_sums
 from lectern.schemas import CHAPTER_PREFIX, MIN_CHAPTER_CHARS
+from lectern.sources.sinks import settled
 
 LIMIT, ENGINE = 220, "xtts"
 OPTIONS = {"voice_mode": "builtin", "speed": "1.0", "performance_mode": "optimized", "worker_count": "4"}
@@ -48,7 +49,7 @@ def options():
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per chunk: its place in the book, key, seed and the stand-in duration of its narration."""
-    chunked = spine(spark, sf_dir).select("book_id", "doc_id", text.chunk_text(F.col("text"), LIMIT).alias("chunks"))
+    chunked = settled(spine(spark, sf_dir).select("book_id", "doc_id", text.chunk_text(F.col("text"), LIMIT).alias("chunks")), "chunked")
     filled = (F.size("chunks") > 0).cast("long")
     placed = prefix_sums(chunked, ["book_id"], position_bucket(F.col("doc_id")), ["doc_id"], {"chapter_index": filled, "upto": F.size("chunks").cast("long")})
     rows = placed.select("book_id", "doc_id", "chapter_index", F.size("chunks").cast("long").alias("chapter_chunks"), "upto", F.posexplode("chunks").alias("i", "text"))

@@ -71,8 +71,8 @@ def min_text(spark, d):
 
 
 def prepare_summary(spark, d):
-    """Chunks, characters, the longest chunk and the chunks added by the limit guard, per book."""
-    raw = spine(spark, d).select("book_id", T.chunk_text(F.col("text"), LIMIT).alias("raw"))
+    """Chunks, characters, the longest chunk and the chunks added by the limit guard, per book, of texts chunked for a wider engine."""
+    raw = spine(spark, d).select("book_id", T.chunk_text(F.col("text"), WIDE).alias("raw"))
     rows = raw.select("book_id", F.size("raw").alias("n_raw"), T.enforce_limit(F.col("raw"), LIMIT).alias("chunks"))
     n = F.size("chunks")
     chars = F.aggregate("chunks", F.lit(0).cast("long"), lambda a, c: a + F.length(c))
@@ -131,7 +131,8 @@ ORACLES = {
     "i12_chunk_shape": f"""WITH {sql.CHUNKED}, c AS (SELECT book_id, length(unnest(chunks)) AS size FROM chunked)
       SELECT book_id, least(size // 22, 9) AS band, count(*) AS n_chunks, max(size) AS max_chars, min(size) AS min_chars FROM c GROUP BY ALL""",
     "c2_min_text": f"WITH {sql.SPINE} SELECT book_id, doc_id, length(text) AS n_chars FROM spine",
-    "e2_prepare_summary": f"""WITH {sql.CHUNKED}, c AS (SELECT book_id, length(unnest(chunks)) AS size FROM chunked)
-      SELECT book_id, count(*) AS total_chunks, CAST(sum(size) AS BIGINT) AS total_chars, max(size) AS max_chunk_chars, CAST(0 AS BIGINT) AS repaired_chunks FROM c GROUP BY book_id""",
+    "e2_prepare_summary": f"""WITH {sql.SPINE}, c AS (SELECT book_id, len({sql.chunks('text', WIDE)}) AS n_raw, list_transform({_WIDE_CUT}, lambda c: length(c)) AS sizes FROM spine)
+      SELECT book_id, CAST(sum(len(sizes)) AS BIGINT) AS total_chunks, CAST(coalesce(sum(list_sum(sizes)), 0) AS BIGINT) AS total_chars, max(list_max(sizes)) AS max_chunk_chars,
+        CAST(sum(greatest(len(sizes) - n_raw, 0)) AS BIGINT) AS repaired_chunks FROM c GROUP BY book_id""",
     "a9_table_scan": "SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice > 100000",
 }

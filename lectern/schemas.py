@@ -15,8 +15,11 @@ TARGET_REALTIME, TIE_RATIO = 4.0, 0.03
 VRAM_RESERVE_GB, VRAM_WORKER_GB, MAX_WORKERS = 2.0, 2.5, 4
 VOICE_MODES, PERFORMANCE_MODES = ("builtin", "clone"), ("optimized", "deepspeed", "compatibility")
 MIN_SPEED, MAX_SPEED = 0.7, 1.6
+DROPPED = ("script", "style", "nav", "svg", "noscript")
+NO_TITLE = "Alt bolumler"
 COVER_SUFFIXES = (".jpg", ".jpeg", ".png", ".webp")
 
+# Fixed values too.
 #: id, chunk limit, needs a reference recording, needs a licence acknowledgement, has built-in speakers
 ENGINES = (("trendyol", 760, False, False, False), ("xtts", 220, False, True, True), ("mms", 320, False, True, False))
 #: key, bitrate, sample rate

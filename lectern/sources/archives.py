@@ -18,10 +18,10 @@ from lectern.functions.markup import heading, html_blocks, nav_links
 from lectern.functions.paths import resolve_href, strip_fragment, suffix_pick
 from lectern.functions.text import collapse_ws, strip
 from lectern.operators.ordered import numbered, position_bucket
-from lectern.schemas import CHAPTER_PREFIX, DEFAULT_LANGUAGE, MIN_CHAPTER_CHARS, UNKNOWN_AUTHOR
+from lectern.schemas import CHAPTER_PREFIX, DEFAULT_LANGUAGE, MIN_CHAPTER_CHARS, NO_TITLE, UNKNOWN_AUTHOR
 
 CONTAINER = "META-INF/container.xml"
-NCX_TYPE, NO_TITLE, NCX_DEPTH = "application/x-dtbncx+xml", "Alt bolumler", 6
+NCX_TYPE, NCX_DEPTH = "application/x-dtbncx+xml", 6
 XML = {"ignoreNamespace": "true", "mode": "PERMISSIVE"}
 _CONTAINER = "rootfiles struct<rootfile:array<struct<`_full-path`:string>>>"
 _PACKAGE = (

@@ -1,11 +1,36 @@
-"""Sinks that only ever show complete output."""
+"""Sinks that only ever show complete output, and the folder for tables between jobs."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share, as ``spark.checkpoint.dir`` names it.
+
+    Where none is set, a new folder serves a local master, whose executors are this machine; a cluster has no
+    folder that could be guessed, so that is an error.
+    """
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_lectern_shared", None)
+    if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = sc._lectern_shared = "file://" + tempfile.mkdtemp(prefix="lectern-")
+    return named.rstrip("/")
+
+
+def settled(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table in the shared folder: what is used several times is worked out once, and survives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def publish(df: DataFrame, path: str, partition: str) -> None:
     """Replace just the partitions that ``df`` holds; each appears when all of it is written."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)

@@ -3,6 +3,8 @@
 import hashlib
 import json
 
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import keys, markup, paths
@@ -22,7 +24,7 @@ def test_toc_policy(spark):
 
 
 def test_selector(spark):
-    cases = {"1,3-5,9": [1, 3, 4, 5, 9], " 2 , 2-3": [2, 3], "5-3": None, "": None, "0": None, "a": None, "3,,1": [1, 3]}
+    cases = {"1,3-5,9": [1, 3, 4, 5, 9], " 2 , 2-3": [2, 3], "5-3": None, "": None, "0": None, "a": None, "1-2000000000": None, "5,7-100007": None, "3,,1": [1, 3]}
     rows = spark.createDataFrame([(k,) for k in cases], "x string").select("x", contents.selector_expand(F.col("x")).alias("y"))
     assert {r.x: r.y for r in rows.collect()} == cases
 
@@ -74,6 +76,19 @@ def test_names_and_fallbacks(spark):
     assert [r.name for r in got] == ["A", "Z", "M", "D"]
 
 
+def test_entities(spark):
+    cases = {"a&amp;lt;b": "a&lt;b", "&eacute;&Ccedil;": "éÇ", "&#231;&#x1F600;&#X41;": "ç😀A", "&#0;&#xD800;&nosuch;& &": "&#0;&#xD800;&nosuch;& &", "x &lt;&gt;&quot;&apos;&#39;": "x <>\"''", "": ""}
+    rows = spark.createDataFrame([(k,) for k in cases] + [(None,)], "x string").select("x", markup.decode_entities(F.col("x")).alias("y"))
+    assert {r.x: r.y for r in rows.collect()} == {**cases, None: None}
+
+
+def test_no_duration_is_an_error(spark):
+    jobs = spark.createDataFrame([("b", 1, 1, 5), ("b", 2, 1, None)], "book_id string, sequence long, chapter_index long, duration_ms long")
+    for made in (timeline.elapsed, timeline.chapter_timeline, timeline.timeline_total):
+        with pytest.raises(Exception, match="no duration"):
+            made(jobs).collect()
+
+
 def test_timeline_and_metadata(spark):
     jobs = spark.createDataFrame([("b", 1, 1, 12_345), ("b", 2, 2, 0), ("b", 3, 3, 17_655)], "book_id string, sequence long, chapter_index long, duration_ms long")
     t = timeline.chapter_timeline(jobs)
@@ -108,9 +123,20 @@ def test_prefix_sums_do_not_depend_on_buckets(spark):
     assert all(r == results[0] for r in results)
 
 
-def test_guarded_engine(spark):
+class SteadyEngine:
+    """A stand-in without a model: each character takes 60 ms, and the seed adds up to 200 ms."""
+
+    def load(self):
+        self.rate = 24000
+
+    def synthesize(self, texts, seeds):
+        return pd.DataFrame({"frames": (texts.str.len() * 60 + seeds % 200) * (self.rate // 1000), "sample_rate": self.rate})
+
+
+@pytest.mark.parametrize("made", [SteadyEngine(), engine.ColumnEngine(lambda text, seed: (F.length(text) * 60 + seed % 200) * 24, 24_000)])
+def test_guarded_engine(spark, made):
     jobs = spark.createDataFrame([("t", "x" * 150, 0), ("u", "short", 5)], "task_id string, text string, seed long")
-    got = {r.task_id: (r.frames, r.seconds) for r in engine.guarded_apply(jobs, engine.SteadyEngine(), 100).collect()}
+    got = {r.task_id: (r.frames, r.seconds) for r in engine.guarded_apply(jobs, made, 100).collect()}
     assert got == {"t": (150 * 60 * 24, 9.0), "u": ((5 * 60 + 5) * 24, 0.305)}
 
 
