@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.sources.sinks import shared_dir
+
 #: Bytes of rows that Spark hands to a Python worker at once.
 ARROW_BYTES = 16 << 20
 #: Rows of a side that may be broadcast; beyond it the join shuffles.
@@ -21,21 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as ``spark.checkpoint.dir`` names it.
-
-    Where none is set, a new folder serves a local master, whose executors are this machine; a cluster has no
-    folder that could be guessed, so that is an error.
-    """
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_lectern_shared", None)
-    if not named:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = sc._lectern_shared = "file://" + tempfile.mkdtemp(prefix="lectern-")
-    return named.rstrip("/")
-
-
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 

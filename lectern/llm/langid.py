@@ -2,8 +2,9 @@
 
 A text's vector counts the byte bigrams and trigrams of its lower-cased letters (all else is a blank), hashed
 into ``BUCKETS``, square-rooted, weighted by the inverse document frequency over all training rows, and
-normalised.  Each language has up to ``CENTROIDS`` centroids, from spherical k-means over a sample of at most
-``SAMPLE`` training rows in all (documented bound; frequencies use every training row).  A text gets the
+normalised.  Each language has up to ``CENTROIDS`` centroids, from spherical k-means over a sample of about
+``PER_LANGUAGE`` training rows of each, ``SAMPLE`` in all, but ``LEAST`` of each however many languages there are
+(documented bound; the model itself grows with the number of languages; frequencies use every training row).  A text gets the
 language of the centroid with the highest cosine; ``rejected`` says that it lies farther from it than nearly
 all sampled texts of that language.
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from lectern.llm import bytetext
 from lectern.llm.common import for_python, table
 
-BUCKETS, CENTROIDS, SAMPLE, PER_LANGUAGE = 4096, 4, 4800, 600
+BUCKETS, CENTROIDS, SAMPLE, PER_LANGUAGE, LEAST = 4096, 4, 4800, 600, 32
 #: Share of a language's sampled texts that may lie beyond its rejection distance.
 BEYOND = 0.005
 ROWS_AT_ONCE = 256
@@ -79,7 +80,7 @@ def document_frequencies(rows: DataFrame, text: str) -> np.ndarray:
 def sampled_vectors(rows: DataFrame, text: str, idf: np.ndarray) -> dict[str, np.ndarray]:
     """Vectors of a bounded sample of ``rows`` (with ``lang``), chosen by a hash of ``pick``."""
     sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
-    each = max(32, min(PER_LANGUAGE, SAMPLE // max(1, len(sizes))))
+    each = max(LEAST, min(PER_LANGUAGE, SAMPLE // max(1, len(sizes))))
     shares = rows.sparkSession.createDataFrame([(k, int(min(1.0, each / n) * 1_000_000)) for k, n in sizes.items()] or [("", 0)], "lang string, share int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -34,5 +34,12 @@ def test_repeated_rows_lose_the_same_lines(spark, write):
     assert sorted((r.doc_id, r.text) for r in got)[0] == (1, "a\nb\nc\nd") and len({r.text for r in got if r.doc_id == 2}) == 1 and len(got) == 3
 
 
+def test_long_texts_and_a_block_of_lines_in_a_third_of_all_rows(spark, write):
+    block = "licence one\nlicence two\nlicence three\nlicence four"
+    rows = [(i, (block + "\n" if i % 3 == 0 else "") + f"own {i}\nline {i}") for i in range(600)] + [(700 + i, "\n".join(f"{i} {n % 9000}" for n in range(10_000))) for i in range(2)]
+    got = linededup.op5_linededup(spark, write(spark.createDataFrame(rows, "doc_id long, text string"), "documents")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(expected(rows), key=str)
+
+
 def test_empty_table(spark, write):
     assert linededup.op5_linededup(spark, write(spark.createDataFrame([], "doc_id long, text string"), "documents")).collect() == []

@@ -59,6 +59,23 @@ def test_the_method_adds_checked_spans(spark, write):
     assert all(got[i].n_card == 0 for i in range(5))
 
 
+def test_words_near_a_number_decide(spark, write):
+    card = "12 4111111111111111 77"
+    texts = [f"call {card}", f"order {card}", f"order of the visa card {card}", "discard " + "x" * 3 + f" {card}", f"reorder {card}", f"{'far ' * 20}order{' far' * 20} {card}", "taxi 078-05-1120", "tax 078-05-1120"]
+    got = answers(spark, write, texts)
+    assert [got[i].spans != "" for i in range(len(texts))] == [True, False, True, True, True, True, False, True]
+    assert (got[0].scores, got[2].scores, got[3].scores) == ("0.7", "0.6", "0.7")
+
+
+def test_ibans_end_by_country_and_extras_do_not_overlap(spark, write):
+    texts = ["IBAN GB82 WEST 1234 5698 7654 32 PLEASE PAY", "GB82WEST12345698765432X", "DE89370400440532013000 AND MORE", "NO9386011117947", "ZZ82 WEST 1234 5698 7654 32", "bank NL91 ABNA 0417 1643 00, BE68539007547034"]
+    got = answers(spark, write, texts)
+    assert [got[i].spans for i in range(6)] == ["iban:5:32", "", "iban:0:22", "iban:0:15", "", "iban:5:27,iban:29:45"]
+    inside = "MT31 MALT 0110 0001 2345 MTLC AST0 01S FR14 2004 1010 0505 0001 3M02 606 4111111111111111"
+    ends = [tuple(map(int, s.split(":")[1:])) for s in answers(spark, write, [inside, inside * 3])[1].spans.split(",") if s]
+    assert ends == sorted(ends) and all(a[1] <= b[0] for a, b in zip(ends, ends[1:]))
+
+
 def test_empty_table_and_repeated_rows(spark, write):
     assert answers(spark, write, []) == {}
     rows = spark.createDataFrame([(None, "a@b.c"), (3, "a@b.c"), (3, "a@b.c")], "doc_id long, text string")

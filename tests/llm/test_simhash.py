@@ -83,5 +83,16 @@ def test_one_row_stays_of_each_component(spark):
     assert kept == [(False, 2, "a b c d e f"), (False, 7, None), (False, 9, "other words are here now"), (True, None, "null id text alone")]
 
 
+def test_long_texts_and_copies_in_a_third_of_all_rows(spark, write):
+    rnd = random.Random(2)
+    long = " ".join(f"w{rnd.randrange(3000)}" for _ in range(40_000))
+    rows = [(i, "the same boilerplate text again and again" if i % 3 == 0 else f"own words of row {i} " + str(rnd.random())) for i in range(3000)]
+    rows += [(5000, long), (5001, long + " end"), (5002, "x" * 200_000), (5003, " " * 100_000)]
+    got = {r.doc_id: r for r in simhash.op9_simhash(spark, write(spark.createDataFrame(rows, "doc_id long, text string"), "documents")).collect()}
+    assert len(got) == len(rows) and all(got[i].component_id == 0 for i in range(0, 3000, 3))
+    for i in (5000, 5001, 5002, 5003, 1):
+        assert got[i].fingerprint == f"{fingerprint(dict(rows)[i]):016x}"
+
+
 def test_empty_table(spark, write):
     assert simhash.op9_simhash(spark, write(spark.createDataFrame([], "doc_id long, text string"), "documents")).collect() == []
