@@ -2,20 +2,22 @@
 
 The content view is a text's hashed byte bigrams and trigrams with case and symbols kept, and the shares of
 its words that repeat the one before, are single letters or end in a mark; the metadata view is the document's source, language, size and line layout.  Each is a logistic regression fitted on a sample of at
-most about ``LABELLED`` labelled rows.  In each of ``ROUNDS`` rounds a view labels the rows it is surest of in
-a pool of about ``POOL`` unlabelled ones, and the other view learns from those.  Labelled rows held back from
-training calibrate each view and weigh the calibrated views against each other; the result scores every
-document, and those with a score below ``ACCEPT`` are rejected.
-
-The samples, both documented bounds, are taken by a hash of the id; scoring uses every whole text.  Labels of
-a repeated id are averaged, null ones ignored.  With no labels, or labels of one kind only, every document is
-accepted with the score 1.  Null texts and null metadata are empty; repeated rows are scored each by itself.
+most about ``LABELLED`` labelled ids.  In each of ``ROUNDS`` rounds both views label every other document of
+the corpus; of those that a view is sure of, a share that holds about ``PASSED_ON`` of each kind is dealt by hash
+and taught to the other view.  Labelled rows held back from training calibrate each view and weigh the calibrated
+views against each other; the result scores every document, and those with a score below ``ACCEPT`` are rejected.
+
+``LABELLED`` and ``PASSED_ON`` bound what a classifier is fitted on, given labels and pseudo-labels; what is
+labelled in a round, and what is scored, is every whole text.  Labels of a repeated id are averaged, null ones
+ignored, and one of its rows is learned from; rows alike in all inputs are one pseudo-label.  With no labels, or
+labels of one kind only, every document is accepted with the score 1.  Null texts and null metadata are empty;
+repeated rows are scored each by itself.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +26,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm import bytetext
-from lectern.llm.common import for_python, table
+from lectern.llm.common import for_python, settle, table
 
-LABELLED, POOL, ROUNDS, SURE = 5000, 3000, 4, 0.95
-#: Pseudo-labels of each kind that a view passes on in a round, at most.
+LABELLED, ROUNDS, SURE = 5000, 4, 0.95
+#: Pseudo-labels of each kind that a view passes on in a round, as expected; fewer if it is sure of fewer.
 PASSED_ON = 150
 ACCEPT = 0.3
 BUCKETS, SHAPES, SOURCES, LANGS = 1024, 3, 32, 16
@@ -121,56 +123,101 @@ def _views(b: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray]:
     return content_view(b.column(at)), metadata_view(b.column(at + 1).to_pylist(), b.column(at + 2).to_pylist(), size, lines)
 
 
-def sample(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "quality"):
-    """(y, content, metadata) of the labelled sample and the unlabelled pool; y is nan in the pool."""
-    n, marked = docs.count(), labels.filter(F.col(label).isNotNull() & F.col(doc).isNotNull())
-    share = lambda want, have: int(min(1.0, want / max(1, have)) * 1_000_000)
-    draw = lambda c, salt: F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(1_000_000))
-    chosen = marked.filter(draw(F.col(doc), "labelled") < share(LABELLED, marked.count()))
-    chosen = chosen.groupBy(F.col(doc).alias("_q_doc")).agg((F.avg(label) >= 0.5).cast("double").alias("_q_y"))
-    rows = docs.select(F.col(doc).alias("_q_id"), *_inputs(docs, text))
-    rows = rows.join(F.broadcast(chosen), F.col("_q_id") == F.col("_q_doc"), "left")  # LABELLED rows
-    rows = rows.filter(F.col("_q_y").isNotNull() | (draw(F.col("_q_id"), "pool") < share(POOL, n)))
-    rows = rows.select(F.col("_q_y").alias("y"), draw(F.col("_q_id"), "fold").alias("fold"), *(c for c in rows.columns if c not in ("_q_id", "_q_doc", "_q_y")))
+def _probability(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+
+
+def _features(rows: DataFrame) -> tuple[list, np.ndarray, np.ndarray]:
+    """The first column and both views of bounded ``rows``, (key, the inputs), in the order of keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            content, meta = _views(b, 2)
-            packed = [pa.array([v.tobytes() for v in x], pa.binary()) for x in (content, meta)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *packed], names=["y", "fold", "content", "meta"])
+            packed = [pa.array([v.tobytes() for v in x], pa.binary()) for x in _views(b, 1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *packed], names=["key", "content", "meta"])
 
-    got = sorted((r for r in for_python(rows).mapInArrow(run, "y double, fold bigint, content binary, meta binary").collect()), key=lambda r: (r.fold is None, r.fold or 0, r.content))
-    y = np.array([np.nan if r.y is None else r.y for r in got], float)
+    got = for_python(rows).mapInArrow(run, f"key {rows.schema[0].dataType.simpleString()}, content binary, meta binary").collect()
+    got.sort(key=lambda r: (r.key, r.content))
     unpack = lambda name, width: np.frombuffer(b"".join(r[name] for r in got), np.float32).reshape(len(got), width)
-    return y, unpack("content", BUCKETS + SHAPES), unpack("meta", SOURCES + LANGS + 3)
+    return [r.key for r in got], unpack("content", BUCKETS + SHAPES), unpack("meta", SOURCES + LANGS + 3)
+
+
+def chosen_labels(labels: DataFrame, doc: str = "doc_id", label: str = "quality") -> DataFrame:
+    """A settled (_q_doc, _q_y) of the ids, about LABELLED, whose labels are learned from."""
+    marked = labels.filter(F.col(label).isNotNull() & F.col(doc).isNotNull())
+    share = int(min(1.0, LABELLED / max(1, marked.count())) * 1_000_000)
+    drawn = marked.filter(F.pmod(F.xxhash64(F.col(doc), F.lit("labelled")), F.lit(1_000_000)) < share)
+    return settle(drawn.groupBy(F.col(doc).alias("_q_doc")).agg((F.avg(label) >= 0.5).cast("double").alias("_q_y")), "quality-labels")
+
+
+def sample(rows: DataFrame, chosen: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(y, content, metadata) of the ``chosen`` ids, one row of each id, in an order drawn by hash."""
+    inputs = [c for c in rows.columns if c not in ("_q_id", "_q_mark")]
+    found = rows.join(F.broadcast(chosen), F.col("_q_id") == F.col("_q_doc")).groupBy("_q_id", "_q_y").agg(F.min(F.struct(*inputs)).alias("one"))
+    fold = F.pmod(F.xxhash64("_q_id", F.lit("fold")), F.lit(1_000_000))
+    keys, *views = _features(found.select(F.struct(fold.alias("fold"), F.col("_q_y").alias("y")).alias("key"), "one.*"))
+    return np.array([k.y for k in keys], float), *views
+
 
+def confident(rows: DataFrame, weights: list[np.ndarray], turn: int) -> list[dict[int, tuple[float, np.ndarray]]]:
+    """What each view is told by the other in round ``turn``: the kind and its own features, by a row's mark.
 
-def cotrain(y: np.ndarray, views: tuple[np.ndarray, np.ndarray]) -> dict | None:
-    """The calibrated, combined model of two views, or None if there are not two kinds of labels."""
-    labelled = np.flatnonzero(~np.isnan(y))
-    if len(set(y[labelled].tolist())) < 2:
+    Both views label all of ``rows``.  Of the rows of a kind that a view is sure of, those are passed on whose
+    hash falls in a share of PASSED_ON of their number.
+    """
+    shared, inputs = rows.sparkSession.sparkContext.broadcast(weights), [c for c in rows.columns if c not in ("_q_id", "_q_mark")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, ROWS_AT_ONCE):
+                part = b.slice(lo, ROWS_AT_ONCE)
+                p = [_probability(margin(v, w)) for v, w in zip(_views(part, 1), shared.value)]
+                kinds = [pa.array(np.where(x >= SURE, 1, 0), pa.int32(), mask=(x < SURE) & (x > 1 - SURE)) for x in p]
+                yield pa.RecordBatch.from_arrays([part.column(0), *kinds], names=["mark", "k0", "k1"])
+
+    said = for_python(rows.select("_q_mark", *inputs)).mapInArrow(run, "mark bigint, k0 int, k1 int")
+    said = settle(said.filter("k0 IS NOT NULL OR k1 IS NOT NULL"), "quality-sure")
+    groups = [(i, kind) for i in (0, 1) for kind in (0, 1)]
+    n = said.agg(*(F.count_if(F.col(f"k{i}") == kind) for i, kind in groups)).first()
+    draw = lambda i: F.shiftrightunsigned(F.xxhash64("mark", F.lit(turn), F.lit(i)), 1)
+    limit = [min((1 << 63) - 1, (PASSED_ON << 63) // max(1, c)) for c in n]
+    picks = [F.max(F.when((F.col(f"k{i}") == kind) & (draw(i) <= limit[g]), kind)) for g, (i, kind) in enumerate(groups)]
+    picked = said.groupBy("mark").agg(F.coalesce(picks[0], picks[1]).alias("k0"), F.coalesce(picks[2], picks[3]).alias("k1"))
+    picked = {r.mark: (r.k0, r.k1) for r in picked.filter("k0 IS NOT NULL OR k1 IS NOT NULL").collect()}  # about 4 * PASSED_ON
+    told: list[dict] = [{}, {}]
+    if picked:
+        marks = F.broadcast(rows.sparkSession.createDataFrame([(m,) for m in picked], "_q_mark bigint"))
+        keys, *views = _features(rows.join(marks, "_q_mark").dropDuplicates(["_q_mark"]).select("_q_mark", *inputs))
+        for at, mark in enumerate(keys):
+            for i in (0, 1):
+                if picked[mark][i] is not None:
+                    told[1 - i][mark] = (float(picked[mark][i]), views[1 - i][at])
+    return told
+
+
+def cotrain(y: np.ndarray, views: tuple[np.ndarray, np.ndarray], ask: Callable[[list, int], list[dict]]) -> dict | None:
+    """The calibrated, combined model of two views, or None if there are not two kinds of labels.
+
+    ``ask`` gives what each view is told by the other, as ``confident`` does, for weights and a round.
+    """
+    at = np.arange(len(y))
+    if len(set(y.tolist())) < 2:
         return None
-    held = labelled[2::3] if len(labelled) >= 60 else labelled
-    training = np.setdiff1d(labelled, held) if len(labelled) >= 60 else labelled
+    held = at[2::3] if len(y) >= 60 else at
+    training = np.setdiff1d(at, held) if len(y) >= 60 else at
     if len(set(y[training].tolist())) < 2 or len(set(y[held].tolist())) < 2:
-        held = training = labelled
-    pool = np.flatnonzero(np.isnan(y))
-    told: list[dict[int, float]] = [{}, {}]  # what each view has been told by the other
-
-    def fit(i: int) -> np.ndarray:
-        extra = np.array(sorted(told[i]), int)
-        rows = np.concatenate([training, extra])
-        return logistic(views[i][rows], np.concatenate([y[training], [told[i][r] for r in extra]]))
-
-    weights = [fit(0), fit(1)]
-    for _ in range(ROUNDS if len(pool) else 0):
-        for i in (0, 1):
-            p = 1 / (1 + np.exp(-margin(views[i][pool], weights[i])))
-            for kind, sure in ((1.0, p), (0.0, 1 - p)):
-                best = np.argsort(-sure, kind="stable")
-                best = [int(pool[j]) for j in best if sure[j] >= SURE and int(pool[j]) not in told[1 - i]][:PASSED_ON]
-                told[1 - i].update(dict.fromkeys(best, kind))
-        weights = [fit(0), fit(1)]
+        held = training = at
+    told: list[dict[int, tuple[float, np.ndarray]]] = [{}, {}]
+
+    def fit_view(i: int) -> np.ndarray:
+        extra = [told[i][m] for m in sorted(told[i])]
+        x = np.concatenate([views[i][training], *(v[None, :] for _, v in extra)])
+        return logistic(x, np.concatenate([y[training], [kind for kind, _ in extra]]))
+
+    weights = [fit_view(0), fit_view(1)]
+    for turn in range(ROUNDS):
+        for mine, more in zip(told, ask(weights, turn)):
+            mine.update({m: v for m, v in more.items() if m not in mine})
+        weights = [fit_view(0), fit_view(1)]
     scales = [logistic(margin(views[i][held], weights[i])[:, None], y[held], 1e-3) for i in (0, 1)]
     calibrated = np.stack([margin(margin(views[i][held], weights[i])[:, None], scales[i]) for i in (0, 1)], axis=1)
     return {"weights": weights, "scales": scales, "mix": logistic(calibrated, y[held], 1e-3)}
@@ -180,7 +227,7 @@ def _score(model: dict | None, views) -> list[np.ndarray]:
     if model is None:
         return [np.ones(len(views[0]))] * 3
     z = [margin(margin(v, w)[:, None], s) for v, w, s in zip(views, model["weights"], model["scales"])]
-    return [1 / (1 + np.exp(-np.clip(m, -60, 60))) for m in (*z, margin(np.stack(z, axis=1), model["mix"]))]
+    return [_probability(m) for m in (*z, margin(np.stack(z, axis=1), model["mix"]))]
 
 
 SCORES = ("p_content", "p_metadata", "score")
@@ -210,8 +257,13 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text") -> dict | None:
-    y, *views = sample(docs, labels, doc, text)
-    return cotrain(y, tuple(views))
+    """The model learned from ``labels`` and, round by round, from every other row of ``docs``; None without two kinds of labels."""
+    rows = docs.select(F.col(doc).alias("_q_id"), *_inputs(docs, text))
+    rows = rows.withColumn("_q_mark", F.xxhash64("_q_id", "_q_text", "_q_source", "_q_lang"))
+    chosen = chosen_labels(labels, doc)
+    y, *views = sample(rows, chosen)
+    others = rows.join(F.broadcast(chosen), F.col("_q_id") == F.col("_q_doc"), "left_anti")
+    return cotrain(y, tuple(views), lambda weights, turn: confident(others, weights, turn))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,12 +124,22 @@ def test_views_teach_each_other_and_scores_are_calibrated(monkeypatch):
     n, labelled = 4000, 80
     truth = rng.random(n) < 0.5
     views = tuple((np.where(truth, 1, -1)[:, None] * 0.45 + rng.standard_normal((n, 12))).astype(np.float32) for _ in range(2))
-    y = np.where(np.arange(n) < labelled, truth.astype(float), np.nan)
     rest = slice(labelled, None)
+    known = truth[:labelled].astype(float), tuple(v[:labelled] for v in views)
+
+    def ask(weights, turn):
+        told = [{}, {}]
+        for i in (0, 1):
+            p = 1 / (1 + np.exp(-quality.margin(views[i][rest], weights[i])))
+            for kind, sure in ((1.0, p >= quality.SURE), (0.0, 1 - p >= quality.SURE)):
+                for m in rng.permutation(np.flatnonzero(sure))[: quality.PASSED_ON]:
+                    told[1 - i][int(m)] = (kind, views[1 - i][rest][m])
+        return told
+
     right = lambda model: [float(((s[rest] > 0.5) == truth[rest]).mean()) for s in quality._score(model, views)]
-    taught = quality.cotrain(y, views)
+    taught = quality.cotrain(*known, ask)
     monkeypatch.setattr(quality, "ROUNDS", 0)
-    alone = quality.cotrain(y, views)
+    alone = quality.cotrain(*known, ask)
     assert right(taught)[0] > right(alone)[0] and right(taught)[1] > right(alone)[1]
     assert right(taught)[2] > max(right(taught)[:2])  # the views together beat each one
     score = quality._score(taught, views)[2][rest]
@@ -148,15 +158,46 @@ def test_quality_query_equals_the_model_fitted_on_all_rows_here(spark, write):
     bodies = [r.text or "" for r in docs]
     views = (quality.content_view(pa.array(bodies, pa.string())), quality.metadata_view([r.source for r in docs], [r.lang for r in docs], np.array([len(b) for b in bodies]), np.array([b.count("\n") + 1 for b in bodies])))
     fold = {r[0]: r[1] for r in spark.createDataFrame([(r.doc_id,) for r in docs], "i long").select("i", F.pmod(F.xxhash64("i", F.lit("fold")), F.lit(1_000_000))).collect()}
-    order = sorted(range(len(docs)), key=lambda i: (fold[docs[i].doc_id], views[0][i].tobytes()))
-    y = np.array([known.get(docs[i].doc_id, np.nan) for i in order], float)
-    want = quality._score(quality.cotrain(y, tuple(v[order] for v in views)), views)
+    order = sorted((i for i in range(len(docs)) if docs[i].doc_id in known), key=lambda i: (fold[docs[i].doc_id], known[docs[i].doc_id], views[0][i].tobytes()))
+    pool = [i for i in range(len(docs)) if docs[i].doc_id not in known]
+    marks = dict(spark.createDataFrame([(docs[i].doc_id, docs[i].text or "", docs[i].source, docs[i].lang) for i in pool], "i long, t string, s string, l string").select("i", F.xxhash64("i", "t", "s", "l")).collect())
+
+    def ask(weights, turn):  # all that a view is sure of: there are fewer than PASSED_ON here
+        told = [{}, {}]
+        for i in (0, 1):
+            p = 1 / (1 + np.exp(-quality.margin(views[i], weights[i])))
+            for d in pool:
+                if not 1 - quality.SURE < p[d] < quality.SURE:
+                    told[1 - i][marks[docs[d].doc_id]] = (float(p[d] > 0.5), views[1 - i][d])
+        assert all(sum(kind == k for kind, _ in t.values()) < quality.PASSED_ON for t in told for k in (0, 1))
+        return told
+
+    want = quality._score(quality.cotrain(np.array([known[docs[i].doc_id] for i in order], float), tuple(v[order] for v in views), ask), views)
     got = {r.doc_id: r for r in quality.op3_quality(spark, folder).collect()}
     for i, r in enumerate(docs):
         assert np.allclose([got[r.doc_id].p_content, got[r.doc_id].p_metadata, got[r.doc_id].score], [w[i] for w in want], atol=1e-3)
         assert got[r.doc_id].accepted == (got[r.doc_id].score >= quality.ACCEPT)
 
 
+def test_pseudo_labels_come_from_a_bounded_share_of_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(quality, "PASSED_ON", 40)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = docs.unionByName(docs.filter("doc_id % 3 = 0")).select(F.col("doc_id").alias("_q_id"), *quality._inputs(docs, "text"))
+    rows = docs.withColumn("_q_mark", F.xxhash64("_q_id", "_q_text", "_q_source", "_q_lang"))
+    weights = [np.zeros(w + 1) for w in (quality.BUCKETS + quality.SHAPES, quality.SOURCES + quality.LANGS + 3)]
+    assert quality.confident(rows, weights, 0) == [{}, {}]  # sure of none
+    weights[0][-1], weights[1][-1] = 9, -9  # sure of all
+    marks = {r._q_mark for r in rows.select("_q_mark").collect()}
+    seen = []
+    for turn in (0, 1):
+        by_meta, by_content = quality.confident(rows, weights, turn)
+        for told, kind, width in ((by_meta, 0.0, len(weights[0]) - 1), (by_content, 1.0, len(weights[1]) - 1)):
+            assert 15 <= len(told) <= 75 and set(told) <= marks
+            assert all(k == kind and v.shape == (width,) for k, v in told.values())
+        seen.append(set(by_content))
+    assert len(seen[0] & seen[1]) < 20  # each round draws anew
+
+
 def test_quality_on_labels_not_used_for_fitting(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(2))
