@@ -8,9 +8,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from lectern.llm import decontaminate, langid, linededup, mixing, pii, quality, sharding, simhash, vectors, warc
+    from lectern.llm import aligned, decontaminate, langid, linededup, mixing, pii, quality, sharding, simhash, tokens, vectors, warc, whiten
 
-    return (langid, pii, quality, decontaminate, linededup, warc, mixing, vectors, simhash, sharding)
+    return (langid, pii, quality, decontaminate, linededup, warc, mixing, vectors, simhash, sharding, tokens, whiten, aligned)
 
 
 def queries() -> dict:
