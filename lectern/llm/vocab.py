@@ -58,10 +58,15 @@ def strings(column: pa.Array) -> list[str]:
 
 
 class Units:
-    """Encodes texts as little-endian 32-bit ids, unit by unit."""
+    """Encodes texts as little-endian 32-bit ids, unit by unit.
 
-    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], Iterator], whole: Callable[[str], bytes | None] = lambda t: None):
-        self.split, self.encode, self.whole, self.known, self.held = split, encode, whole, {}, 0
+    ``whole`` gives the ids of a text that must not be cut, else None; ``spaced`` says that the library puts a space before each unit.
+    """
+
+    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], Iterator], whole: Callable[[str], bytes | None], spaced: bool):
+        self.split, self.encode, self.whole, self.spaced = split, encode, whole, spaced
+        self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def _encoded(self, text: list[str]) -> list[bytes]:
         units = [self.split(t) for t in text]
@@ -88,8 +93,8 @@ class Units:
             if (ids := self.whole(text)) is not None:
                 out[i].append(ids)
                 continue
-            for run in runs(text):
-                waiting.append((i, run))
+            for n, run in enumerate(runs(text)):
+                waiting.append((i, run[1:] if n and self.spaced else run))
                 size += len(run)
                 if size >= RUN:
                     flush()
@@ -117,7 +122,7 @@ def byte_level(name: str, plain: bool) -> Units:
         def whole(text: str) -> bytes | None:
             return array("I", next(encode([text]))).tobytes() if any(s in text for s in special) else None
 
-        _loaded[name, plain] = Units(re.compile(CUT_BYTES).findall, encode, whole)
+        _loaded[name, plain] = Units(re.compile(CUT_BYTES).findall, encode, whole, False)
     return _loaded[name, plain]
 
 
@@ -138,7 +143,7 @@ def pieces(name: str) -> Units:
         def whole(text: str) -> bytes | None:
             return array("I", made.encode(text)).tobytes() if inner else None
 
-        _loaded[name] = Units(re.compile(CUT_PIECES).split, encode, whole)
+        _loaded[name] = Units(re.compile(CUT_PIECES).split, encode, whole, True)
     return _loaded[name]
 
 
