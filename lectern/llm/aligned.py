@@ -44,7 +44,7 @@ class Vocabularies:
     """What ids of the two sides are: their bytes, lengths, and how they are written in groups."""
 
     def __init__(self, a: str, b: str):
-        self.encode_a, self.encode_b = vocab.byte_level(a, plain=True), vocab.pieces(b)
+        self.encode_a, self.encode_b = vocab.byte_level(a, plain=True, spaced=True), vocab.pieces(b)
         self.bytes_a, self.bytes_b = vocab.byte_level_bytes(a), vocab.piece_bytes(b)
         self.long_a, self.long_b = (np.array([len(t) for t in side]) for side in (self.bytes_a, self.bytes_b))
         ids = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
@@ -52,9 +52,9 @@ class Vocabularies:
 
     def tokens(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
         """The ids of both sides of each text; None where they do not give the text back."""
-        spaced, out = [" " + t for t in texts], []
-        for text, s, a, b in zip(texts, spaced, self.encode_a(spaced), self.encode_b(texts)):
-            a, b, want = vocab.numbers(a), vocab.numbers(b), s.encode()
+        out = []
+        for text, a, b in zip(texts, self.encode_a(texts), self.encode_b(texts)):
+            a, b, want = vocab.numbers(a), vocab.numbers(b), f" {text}".encode()
             joined = lambda ids, side: b"".join(map(side.__getitem__, ids.tolist()))
             out.append((a, b) if text and joined(a, self.bytes_a) == want == joined(b, self.bytes_b) else None)
         return out

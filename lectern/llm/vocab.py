@@ -1,10 +1,10 @@
 """Public tokenizers inside tasks: each distinct piece of text is encoded by the library once.
 
 Both vocabularies can be cut where no token ever crosses: the byte-level one between its own pre-tokens, the
-one of pieces before a space or a line end that follows another character.  So a text is split into short units at
-places that are certain (``CUT_BYTES``, ``CUT_PIECES``), the library encodes the units not seen before in one
-batch, and the ids of a text are those of its units in a row.  Units seen are kept from task to task, up to
-``KEPT_BYTES`` of them, and a text is worked on in runs of about ``RUN`` characters, so memory does not grow with it.
+one of pieces at a space between two other characters.  So a text is split into short units at places that are certain
+(``CUT_BYTES``, ``CUT_PIECES``), the library encodes the units not seen before in one batch, and the ids of a text are those of
+its units in a row.  Units seen are kept from task to task, up to about ``KEPT_BYTES``, then those of the latest texts only;
+a text is worked on in runs of about ``RUN`` characters, so memory does not grow with it.
 
 A null text is empty; bytes that are not UTF-8 count as U+FFFD.
 """
@@ -14,7 +14,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,8 @@ RUN, KEPT_BYTES = 1 << 20, 128 << 20
 #: Bytes counted for a remembered unit besides its own.
 UNIT_BYTES = 150
 
-_CALM = re.compile(r"\S \S")
+#: Where runs may be cut, and what a text holds that is not split at all its spaces.
+_CALM, _ODD = re.compile(r"\S \S"), re.compile(r"\A | (?=\s|\Z)")
 
 
 def path_of(name: str) -> str:
@@ -57,44 +58,53 @@ def strings(column: pa.Array) -> list[str]:
     return [b.decode("utf-8", "replace") if b else "" for b in column.cast(pa.binary()).to_pylist()]
 
 
-class Units:
-    """Encodes texts as little-endian 32-bit ids, unit by unit.
+class Known:
+    """What a process remembers of units: their ids as little-endian 32-bit numbers."""
 
-    ``whole`` gives the ids of a text that must not be cut, else None; ``spaced`` says that the library puts a space before each unit.
-    """
+    def __init__(self, encode: Callable[[list[str]], Iterable]):
+        self.encode, self.ids, self.held = encode, {}, 0
 
-    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], Iterator], whole: Callable[[str], bytes | None], spaced: bool):
-        self.split, self.encode, self.whole, self.spaced = split, encode, whole, spaced
-        self.known: dict[str, bytes] = {}
-        self.held = 0
-
-    def _encoded(self, text: list[str]) -> list[bytes]:
-        units = [self.split(t) for t in text]
-        wanted = set().union(*units)
+    def learn(self, units: set[str]) -> None:
+        """Have the ids of all ``units``."""
         if self.held > KEPT_BYTES:
-            self.known, self.held = {}, 0
-        new = list(wanted.difference(self.known))
+            self.ids = {u: self.ids[u] for u in units if u in self.ids}
+            self.held = sum(len(u) + len(i) + UNIT_BYTES for u, i in self.ids.items())
+        new = list(units.difference(self.ids))
         for unit, ids in zip(new, self.encode(new)):
-            self.known[unit] = array("I", ids).tobytes()
+            self.ids[unit] = array("I", ids).tobytes()
             self.held += len(unit) + 4 * len(ids) + UNIT_BYTES
-        return [b"".join(map(self.known.__getitem__, u)) for u in units]
+
+    def of(self, units: list[str]) -> bytes:
+        return b"".join(map(self.ids.__getitem__, units))
+
+
+class Units:
+    """Encodes texts as little-endian 32-bit ids, unit by unit.
+
+    ``split`` gives the units of a run of a text, of which it is told whether it is the first; ``whole`` gives the ids of a text that
+    must not be cut, else None.
+    """
+
+    def __init__(self, split: Callable[[str, bool], list[str]], encode: Callable[[list[str]], Iterable], whole: Callable[[str], bytes | None]):
+        self.split, self.known, self.whole = split, Known(encode), whole
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
         out: list[list[bytes]] = [[] for _ in texts]
-        waiting: list[tuple[int, str]] = []
+        waiting: list[tuple[int, list[str]]] = []
         size = 0
 
         def flush():
-            for (i, _), ids in zip(waiting, self._encoded([t for _, t in waiting])):
-                out[i].append(ids)
+            self.known.learn(set().union(*(u for _, u in waiting)))
+            for i, units in waiting:
+                out[i].append(self.known.of(units))
 
         for i, text in enumerate(texts):
             if (ids := self.whole(text)) is not None:
                 out[i].append(ids)
                 continue
             for n, run in enumerate(runs(text)):
-                waiting.append((i, run[1:] if n and self.spaced else run))
+                waiting.append((i, self.split(run, not n)))
                 size += len(run)
                 if size >= RUN:
                     flush()
@@ -103,27 +113,36 @@ class Units:
         return [b"".join(o) for o in out]
 
 
-_loaded: dict[tuple, object] = {}
+_loaded: dict[tuple, Units] = {}
+
 
+def byte_level(name: str, plain: bool = False, spaced: bool = False) -> Units:
+    """The encoder of a byte-level vocabulary of the tokenizers library.
 
-def byte_level(name: str, plain: bool) -> Units:
-    """The encoder of a byte-level vocabulary of the tokenizers library; ``plain`` takes special strings as text."""
-    if (name, plain) not in _loaded:
+    ``plain`` takes special strings as text; ``spaced`` puts a space before each text.
+    """
+    if (name, plain, spaced) not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
         from tokenizers import Tokenizer
 
         made = Tokenizer.from_file(path_of(name))
         made.encode_special_tokens = plain
         special = [] if plain else [t.content for t in made.get_added_tokens_decoder().values()]
+        cut = re.compile(CUT_BYTES).findall
+
+        def split(run: str, first: bool) -> list[str]:
+            return cut(f" {run}" if first and spaced else run)
 
         def encode(units: list[str]) -> Iterator[list[int]]:
             return (e.ids for e in made.encode_batch_fast(units, add_special_tokens=False))
 
         def whole(text: str) -> bytes | None:
-            return array("I", next(encode([text]))).tobytes() if any(s in text for s in special) else None
+            if not any(s in text for s in special):
+                return None
+            return array("I", made.encode(" " * spaced + text, add_special_tokens=False).ids).tobytes()
 
-        _loaded[name, plain] = Units(re.compile(CUT_BYTES).findall, encode, whole, False)
-    return _loaded[name, plain]
+        _loaded[name, plain, spaced] = Units(split, encode, whole)
+    return _loaded[name, plain, spaced]
 
 
 def pieces(name: str) -> Units:
@@ -131,20 +150,26 @@ def pieces(name: str) -> Units:
 
     Where a piece of it has a space after another character, texts are encoded whole.
     """
-    if name not in _loaded:
+    if (name,) not in _loaded:
         import sentencepiece
 
         made = sentencepiece.SentencePieceProcessor(model_file=path_of(name))
         inner = any("▁" in made.id_to_piece(i).lstrip("▁") for i in range(made.get_piece_size()))
 
+        odd = re.compile(CUT_PIECES).split
+
+        def split(run: str, first: bool) -> list[str]:
+            run = run if first else run[1:]
+            return odd(run) if _ODD.search(run) else run.split(" ")
+
         def encode(units: list[str]) -> list[list[int]]:
             return made.encode(units, num_threads=1) if units else []
 
         def whole(text: str) -> bytes | None:
-            return array("I", made.encode(text)).tobytes() if inner else None
+            return array("I", made.encode(text)).tobytes() if inner or "▁" in text else None  # which the library takes for a space
 
-        _loaded[name] = Units(re.compile(CUT_PIECES).split, encode, whole, True)
-    return _loaded[name]
+        _loaded[name,] = Units(split, encode, whole)
+    return _loaded[name,]
 
 
 def byte_level_bytes(name: str) -> list[bytes]:

@@ -103,10 +103,10 @@ def test_long_texts_in_ranges_and_rare_pairs_by_join(spark, write, some_texts, m
 
 def test_texts_of_many_runs(spark, monkeypatch):
     text = "some words, and others. " * 500
-    whole = (vocab.byte_level(aligned.A, plain=True)([text])[0], vocab.pieces(aligned.B)([text])[0])
+    whole = (vocab.byte_level(aligned.A, plain=True, spaced=True)([text])[0], vocab.pieces(aligned.B)([text])[0])
     monkeypatch.setattr(vocab, "RUN", 50)
     monkeypatch.setattr(vocab.runs, "__defaults__", (50,))
-    assert whole == (vocab.byte_level(aligned.A, plain=True)([text])[0], vocab.pieces(aligned.B)([text])[0])
+    assert whole == (vocab.byte_level(aligned.A, plain=True, spaced=True)([text])[0], vocab.pieces(aligned.B)([text])[0])
     assert vocab.numbers(whole[1]).tolist() == B.encode(text)
 
 
@@ -114,7 +114,7 @@ def test_texts_of_many_runs(spark, monkeypatch):
 @given(st.text(st.sampled_from("ab'sé β漢1, .\n\t\x1c |<>▁🙂"), max_size=60))
 def test_units_are_as_the_whole(text):
     assert vocab.numbers(vocab.pieces(aligned.B)([text])[0]).tolist() == B.encode(text)
-    assert vocab.numbers(vocab.byte_level(aligned.A, plain=True)([" " + text])[0]).tolist() == A.encode(" " + text, add_special_tokens=False).ids
+    assert vocab.numbers(vocab.byte_level(aligned.A, plain=True, spaced=True)([text])[0]).tolist() == A.encode(" " + text, add_special_tokens=False).ids
 
 
 @settings(max_examples=100, deadline=None)

@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
@@ -46,6 +46,9 @@ def test_a_slice_opens_only_its_blocks(monkeypatch):
 
 
 @settings(max_examples=300, deadline=None)
+@example(" a")
+@example("a  b")
+@example("a b ")
 @given(st.text(st.sampled_from("ab'sé β漢1, .\n\t\x1c |<>endoftx🙂"), max_size=60))
 def test_units_are_as_the_whole(text):
     assert vocab.byte_level("byte_bpe_50k.json", plain=False)([text])[0] == np.array(LIBRARY.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
