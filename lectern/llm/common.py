@@ -7,6 +7,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.sources.sinks import shared_dir
 
@@ -49,6 +50,34 @@ def fresh(taken: Iterable[str], name: str) -> str:
     return name
 
 
+def limit63(wanted: int, total: int) -> int:
+    """The highest ``hash63`` of a share that holds about ``wanted`` of ``total``; the share is never empty, and whole if they are no more."""
+    return min((1 << 63) - 1, (wanted << 63) // max(1, total))
+
+
+def hash63(*of: Column | str) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(*of), 1)
+
+
+def _hashable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _hashable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_hashable(f.dataType) for f in kind.fields)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
+def unordered(df: DataFrame) -> list[str]:
+    """The columns of ``df`` that hold maps, which have neither hash nor order."""
+    return [f.name for f in df.schema.fields if not _hashable(f.dataType)]
+
+
+def comparable(df: DataFrame) -> list[Column]:
+    """The columns of ``df`` for a hash or an order; those that have neither as their JSON."""
+    maps = unordered(df)
+    return [F.to_json(F.struct(F.col(f"`{c}`"))).alias(c) if c in maps else F.col(f"`{c}`") for c in df.columns]
+
+
 def join_spread(rows: DataFrame, facts: DataFrame, on: list[str], weight: str, salt: Column, how: str = "left", merge: bool = False, total: int | None = None) -> DataFrame:
     """``rows`` with the columns of ``facts``, a settled table with one row for each key, by the keys ``on``.
 

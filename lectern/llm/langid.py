@@ -3,8 +3,8 @@
 A text's vector counts the byte bigrams and trigrams of its lower-cased letters (all else is a blank), hashed
 into ``BUCKETS``, square-rooted, weighted by the inverse document frequency over all training rows, and
 normalised.  Each language has up to ``CENTROIDS`` centroids, from spherical k-means over a sample of about
-``PER_LANGUAGE`` training rows of each, ``SAMPLE`` in all, but ``LEAST`` of each however many languages there are
-(documented bound; the model itself grows with the number of languages; frequencies use every training row).  A text gets the
+``PER_LANGUAGE`` training rows of each, ``SAMPLE`` in all, but ``LEAST`` of each, of the ``LANGUAGES`` with the most training
+rows (documented bounds; frequencies use every training row).  A text gets the
 language of the centroid with the highest cosine; ``rejected`` says that it lies farther from it than nearly
 all sampled texts of that language.
 
@@ -22,9 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import bytetext
-from lectern.llm.common import for_python, table
+from lectern.llm.common import for_python, hash63, limit63, table
 
 BUCKETS, CENTROIDS, SAMPLE, PER_LANGUAGE, LEAST = 4096, 4, 4800, 600, 32
+#: Languages that are learned, those with the most training rows; so the sample is LEAST * LANGUAGES vectors at most.
+LANGUAGES = 256
 #: Share of a language's sampled texts that may lie beyond its rejection distance.
 BEYOND = 0.005
 ROWS_AT_ONCE = 256
@@ -79,9 +81,9 @@ def document_frequencies(rows: DataFrame, text: str) -> np.ndarray:
 
 def sampled_vectors(rows: DataFrame, text: str, idf: np.ndarray) -> dict[str, np.ndarray]:
     """Vectors of a bounded sample of ``rows`` (with ``lang``), chosen by a hash of ``pick``."""
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     each = max(LEAST, min(PER_LANGUAGE, SAMPLE // max(1, len(sizes))))
-    shares = rows.sparkSession.createDataFrame([(k, int(min(1.0, each / n) * 1_000_000)) for k, n in sizes.items()] or [("", 0)], "lang string, share int")
+    shares = rows.sparkSession.createDataFrame([(k, limit63(each, n)) for k, n in sizes.items()], "lang string, last bigint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -89,7 +91,7 @@ def sampled_vectors(rows: DataFrame, text: str, idf: np.ndarray) -> dict[str, np
                 packed = [v.tobytes() for v in vectors(counts, idf)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, end - first), pa.array(packed, pa.binary())], names=["lang", "v"])
 
-    chosen = rows.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64("pick", F.lit("sample")), F.lit(1_000_000)) < F.col("share"))
+    chosen = rows.join(F.broadcast(shares), "lang").filter(hash63("pick", F.lit("sample")) <= F.col("last"))
     found: dict[str, list] = {}
     for r in for_python(chosen.select("lang", F.col(text).cast("string").alias("text"))).mapInArrow(run, "lang string, v binary").collect():
         found.setdefault(r.lang, []).append(np.frombuffer(r.v, np.float32))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm import bytetext
-from lectern.llm.common import for_python, settle, table
+from lectern.llm.common import for_python, hash63, limit63, settle, table
 
 LABELLED, ROUNDS, SURE = 5000, 4, 0.95
 #: Pseudo-labels of each kind that a view passes on in a round, as expected; fewer if it is sure of fewer.
@@ -144,8 +144,7 @@ def _features(rows: DataFrame) -> tuple[list, np.ndarray, np.ndarray]:
 def chosen_labels(labels: DataFrame, doc: str = "doc_id", label: str = "quality") -> DataFrame:
     """A settled (_q_doc, _q_y) of the ids, about LABELLED, whose labels are learned from."""
     marked = labels.filter(F.col(label).isNotNull() & F.col(doc).isNotNull())
-    share = int(min(1.0, LABELLED / max(1, marked.count())) * 1_000_000)
-    drawn = marked.filter(F.pmod(F.xxhash64(F.col(doc), F.lit("labelled")), F.lit(1_000_000)) < share)
+    drawn = marked.filter(hash63(F.col(doc), F.lit("labelled")) <= limit63(LABELLED, marked.count()))
     return settle(drawn.groupBy(F.col(doc).alias("_q_doc")).agg((F.avg(label) >= 0.5).cast("double").alias("_q_y")), "quality-labels")
 
 
@@ -178,8 +177,8 @@ def confident(rows: DataFrame, weights: list[np.ndarray], turn: int) -> list[dic
     said = settle(said.filter("k0 IS NOT NULL OR k1 IS NOT NULL"), "quality-sure")
     groups = [(i, kind) for i in (0, 1) for kind in (0, 1)]
     n = said.agg(*(F.count_if(F.col(f"k{i}") == kind) for i, kind in groups)).first()
-    draw = lambda i: F.shiftrightunsigned(F.xxhash64("mark", F.lit(turn), F.lit(i)), 1)
-    limit = [min((1 << 63) - 1, (PASSED_ON << 63) // max(1, c)) for c in n]
+    draw = lambda i: hash63("mark", F.lit(turn), F.lit(i))
+    limit = [limit63(PASSED_ON, c) for c in n]
     picks = [F.max(F.when((F.col(f"k{i}") == kind) & (draw(i) <= limit[g]), kind)) for g, (i, kind) in enumerate(groups)]
     picked = said.groupBy("mark").agg(F.coalesce(picks[0], picks[1]).alias("k0"), F.coalesce(picks[2], picks[3]).alias("k1"))
     picked = {r.mark: (r.k0, r.k1) for r in picked.filter("k0 IS NOT NULL OR k1 IS NOT NULL").collect()}  # about 4 * PASSED_ON

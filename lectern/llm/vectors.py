@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import for_python, join_spread, settle, table
+from lectern.llm.common import for_python, hash63, join_spread, limit63, settle, table
 from lectern.llm.graph import connected_components, node_key
 
 COSINE, TREES, LEAF, SPILL, SEED = 0.9, 3, 2048, 0.05, 42
@@ -99,10 +99,9 @@ def classes_of(rows: DataFrame, vec: str, key: str) -> DataFrame:
 
 def _cuts(classes: DataFrame, trees: int, spill: float) -> dict[int, np.ndarray]:
     """For each width in the sample the (trees, 3, DEPTH) low end, middle and high end of the spill."""
-    n = classes.count()
-    share = int(min(1.0, SAMPLE / max(1, n)) * 1_000_000)
+    last = limit63(SAMPLE, classes.count())
     drawn: dict[int, list] = {}
-    for r in classes.filter(F.pmod(F.xxhash64("h1", F.lit("sample")), F.lit(1_000_000)) < share).select("width", "u").collect():
+    for r in classes.filter(hash63("h1", F.lit("sample")) <= last).select("width", "u").collect():
         drawn.setdefault(r.width, []).append(r.u)
     out = {}
     for width, us in drawn.items():

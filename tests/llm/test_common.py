@@ -65,3 +65,9 @@ def test_a_cluster_needs_a_named_folder():
 
 def test_fresh_names():
     assert common.fresh(["a", "_Digest", "__digest"], "_digest") == "___digest"
+
+
+def test_shares_never_vanish():
+    for wanted, n in ((32, 10**12), (600, 7 * 10**8), (8192, 10**13), (5000, 10**10)):
+        assert abs((common.limit63(wanted, n) + 1) / 2**63 * n / wanted - 1) < 1e-6
+    assert common.limit63(10, 7) == common.limit63(10, 10) == 2**63 - 1 and common.limit63(10, 0) == 2**63 - 1
