@@ -172,8 +172,8 @@ ORACLES = {
     "f8_take_while": f"{_CF} SELECT config, workers FROM cf c WHERE NOT EXISTS (SELECT 1 FROM cf p WHERE p.config = c.config AND p.workers < c.workers AND (p.factor >= 4 OR greatest(24.0 - (4.0 + p.workers * 3 + p.config % 4), 0) < 4.5))",
     "f9_latest_per_key": f"{_M} SELECT run_id, worker, kind, task_id FROM (SELECT *, row_number() OVER (PARTITION BY run_id, worker ORDER BY ts DESC, task_id DESC) AS n FROM messages) WHERE n = 1",
     "f10_throttle_samples": f"""WITH RECURSIVE {sql.GPU}, s AS (SELECT device, epoch_us(ts) AS at_, min(event_id) AS event_id FROM gpu_lines GROUP BY ALL),
-      n AS (SELECT a.device, a.at_, b.at_ AS next FROM s a ASOF JOIN s b ON a.device = b.device AND a.at_ + {GAP * 1_000_000} <= b.at_),
-      k(device, at_) AS (SELECT device, min(at_) FROM s GROUP BY device UNION ALL SELECT k.device, n.next FROM k JOIN n ON k.device = n.device AND k.at_ = n.at_)
+      n AS (SELECT device, at_, min(at_) OVER (PARTITION BY device ORDER BY at_ RANGE BETWEEN {GAP * 1_000_000} FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM s),
+      k(device, at_) AS (SELECT device, min(at_) FROM s GROUP BY device UNION ALL SELECT k.device, n.next FROM k JOIN n ON k.device = n.device AND k.at_ = n.at_ WHERE n.next IS NOT NULL)
       SELECT device, s.event_id FROM k JOIN s USING (device, at_)""",
     "f11_chapter_change_log": f"{_M} SELECT run_id, task_id, kind FROM (SELECT *, lag(kind) OVER (PARTITION BY run_id ORDER BY ts, task_id) AS b FROM messages) WHERE kind IS DISTINCT FROM b",
     "g1_longest_first": f"WITH {_TASKS} SELECT * FROM ranked",

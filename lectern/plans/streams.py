@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from lectern.operators.engine import ColumnEngine, apply_engine, guarded_apply
 from lectern.operators.telemetry import micros, ratio
 from lectern.plans import runs, sql
-from lectern.plans.tables import jobs, messages, table
+from lectern.plans.tables import gpu_lines, jobs, messages, table
 from lectern.sources.sinks import publish, publish_batch, shared_dir
 from lectern.streaming import telemetry as S
 from lectern.streaming.observers import observed
+from lectern.streaming.replay import delivered
 
 
 def _shared(spark: SparkSession) -> str:
@@ -52,16 +53,19 @@ def stream_messages(spark, d):
     return finished(S.routed(_events(spark, d).select(F.col("task_id").alias("event_id"), line.alias("line")), "line").select("event_id", "route", "m.k"))
 
 
+def _delivered(events, key):
+    """The given events as a stream of files that overlap in time."""
+    return delivered(events.withColumn("at", micros(F.col("ts"))).drop("ts"), key)[0]
+
+
 def stream_throughput(spark, d):
-    e = _events(spark, d)
-    totals = table(spark, d, "events").groupBy(F.col("user_id").alias("run_id")).agg(F.sum(F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0)) + 1).alias("total"))
-    rows = e.join(totals, "run_id").select("run_id", "task_id", micros(F.col("ts")).alias("at"), "cached", "chars", "audio_ms", "wall_ms", "total")
-    return finished(S.tracked(rows)).select("run_id", "task_id", "processed", "made_audio", "fresh", "realtime_factor", "eta_seconds", "eta_warmup")
+    events = messages(spark, d).select("run_id", "task_id", "ts", "cached", "chars", "audio_ms", "wall_ms")
+    totals = events.groupBy("run_id").agg(F.sum("chars").alias("total"))
+    return finished(S.tracked(_delivered(events.join(totals, "run_id"), "task_id")))
 
 
 def stream_throttle(spark, d):
-    samples = _events(spark, d).select((F.col("run_id") % 5).alias("device"), micros(F.col("ts")).alias("at"), F.col("task_id").alias("event_id"))
-    return finished(S.throttled(samples, runs.GAP))
+    return finished(S.throttled(_delivered(gpu_lines(spark, d).select("device", "event_id", "ts"), "event_id"), runs.GAP))
 
 
 def stream_worker_stats(spark, d):

@@ -1,4 +1,8 @@
-"""Streams of completion events: routing, running statistics, throttling, deduplication."""
+"""Streams of completion events: routing, running statistics, throttling, deduplication.
+
+What depends on the order of events (``throttled``, ``tracked``) takes them in event time, whatever files or batches they
+come in: a key's events wait in its state until the watermark has passed them, and a timer hands them over.
+"""
 
 from __future__ import annotations
 
@@ -31,68 +35,136 @@ def dedupe_completions(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["run_id", "task_id"])
 
 
-class _Throttle(StatefulProcessor):
+def _shape(fields: str) -> T.StructType:
+    """A state's columns, all long but those with a kind."""
+    out = T.StructType()
+    for field in fields.split():
+        name, _, kind = field.partition(":")
+        out = out.add(name, kind or "long")
+    return out
+
+
+class _InOrder(StatefulProcessor):
+    """Holds a key's events until the watermark has passed them, then hands them to ``released`` by time and ``tie``.
+
+    Events later than the watermark's delay are dropped by Spark; so are those without a time.
+    """
+
+    fields, tie = "at", "at"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.names = handle, _shape(self.fields).names
+        self.waiting = handle.getListState("waiting", _shape(self.fields))
+        self.due = handle.getValueState("due", _shape("at"))
+
+    def _wake(self, at: int) -> None:
+        """Have a timer for the event at ``at``, in microseconds; a key has one, for its earliest event."""
+        due = -(-at // 1000)
+        if self.due.exists():
+            if self.due.get()[0] <= due:
+                return
+            self.handle.deleteTimer(self.due.get()[0])
+        self.handle.registerTimer(due)
+        self.due.update((due,))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        earliest = None
+        for part in rows:
+            part = part[~part["closing"].astype(bool)]
+            if len(part):
+                columns = ([None if pd.isna(v) else v for v in part[c].tolist()] for c in self.names)
+                self.waiting.appendList(list(zip(*columns)))
+                first = int(part["at"].min())
+                earliest = first if earliest is None else min(earliest, first)
+        if earliest is not None:
+            self._wake(earliest)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        self.due.clear()
+        events = sorted((dict(zip(self.names, e)) for e in self.waiting.get()), key=lambda e: (e["at"], e[self.tie]))
+        ready = [e for e in events if e["at"] <= passed]
+        rest = events[len(ready) :]
+        self.waiting.clear()
+        if rest:
+            self.waiting.put([tuple(e[n] for n in self.names) for e in rest])
+            self._wake(rest[0]["at"])
+        if ready:
+            yield self.released(key, ready)
+
+    def released(self, key, events: list[dict]) -> pd.DataFrame:
+        raise NotImplementedError
+
+    def close(self) -> None:
+        pass
+
+
+class _Throttle(_InOrder):
     """Keeps a device's sample if the last kept one is ``gap`` microseconds ago."""
 
+    fields, tie = "at event_id", "event_id"
+
     def __init__(self, gap: int):
         self.gap = gap
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", T.StructType().add("at", "long"))
+        super().init(handle)
+        self.last = handle.getValueState("last", _shape("at"))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["at", "event_id"])
+    def released(self, key, events: list[dict]) -> pd.DataFrame:
         last = self.last.get()[0] if self.last.exists() else None
         kept = []
-        for at, event in zip(batch["at"].tolist(), batch["event_id"].tolist()):
-            if last is None or at - last >= self.gap:
-                last = at
-                kept.append(event)
+        for e in events:
+            if last is None or e["at"] - last >= self.gap:
+                last = e["at"]
+                kept.append(e["event_id"])
         self.last.update((last,))
-        yield pd.DataFrame({"device": [key[0]] * len(kept), "event_id": kept}).astype({"device": "int64", "event_id": "int64"})
+        return pd.DataFrame({"device": pd.array([key[0]] * len(kept), "Int64"), "event_id": pd.array(kept, "Int64")})
 
-    def close(self) -> None:
-        pass
+
+def _ordered(events: DataFrame, key: str, processor: _InOrder, output: str) -> DataFrame:
+    return events.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=output, outputMode="Append", timeMode="EventTime")
 
 
 def throttled(samples: DataFrame, seconds: float) -> DataFrame:
-    """(device, event_id) of the samples kept, of a stream of (device, at in microseconds, event_id)."""
-    return samples.groupBy("device").transformWithStateInPandas(statefulProcessor=_Throttle(int(seconds * 1_000_000)), outputStructType="device long, event_id long", outputMode="Append", timeMode="None")
+    """(device, event_id) of the samples kept, of a watermarked stream of (device, at in microseconds, event_id, closing)."""
+    return _ordered(samples, "device", _Throttle(int(seconds * 1_000_000)), "device long, event_id long")
 
 
 _FIELDS = ("processed", "audio", "made_chars", "made_audio", "worked", "hits", "fresh", "first_at", "first_audio", "total", "started")
 TRACKED = "run_id long, task_id long, processed long, made_audio long, fresh long, realtime_factor double, eta_seconds double, eta_warmup boolean"
 
 
-class _Tracker(StatefulProcessor):
+class _Tracker(_InOrder):
     """The throughput counters of a run, kept between batches; one row after each event."""
 
+    fields, tie = "at task_id cached:boolean chars audio_ms wall_ms total", "task_id"
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        shape = T.StructType()
-        for name in _FIELDS:
-            shape = shape.add(name, "long")
-        self.state = handle.getValueState("counters", shape)
+        super().init(handle)
+        self.state = handle.getValueState("counters", _shape(" ".join(_FIELDS)))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["at", "task_id"])
-        s = dict(zip(_FIELDS, self.state.get())) if self.state.exists() else dict.fromkeys(_FIELDS, 0) | {"first_at": None, "started": int(batch["at"].iloc[0])}
+    def released(self, key, events: list[dict]) -> pd.DataFrame:
+        s = dict(zip(_FIELDS, self.state.get())) if self.state.exists() else dict.fromkeys(_FIELDS, 0) | {"first_at": None, "started": events[0]["at"]}
         out = []
-        for e in batch.itertuples():
-            s["total"] = int(e.total)
-            s["processed"] += int(e.chars)
-            s["audio"] += int(e.audio_ms)
-            if e.cached:
+        for e in events:
+            s["total"] = e["total"]
+            s["processed"] += e["chars"]
+            s["audio"] += e["audio_ms"]
+            if e["cached"]:
                 s["hits"] += 1
             else:
                 s["fresh"] += 1
-                s["made_chars"] += int(e.chars)
-                s["made_audio"] += int(e.audio_ms)
-                s["worked"] += max(0, int(e.wall_ms))
+                s["made_chars"] += e["chars"]
+                s["made_audio"] += e["audio_ms"]
+                s["worked"] += max(0, e["wall_ms"])
                 if s["first_at"] is None:
-                    s["first_at"], s["first_audio"] = int(e.at), int(e.audio_ms)
-            out.append((int(key[0]), int(e.task_id), s["processed"], s["made_audio"], s["fresh"], *self.estimate(s, int(e.at))))
+                    s["first_at"], s["first_audio"] = e["at"], e["audio_ms"]
+            out.append((key[0], e["task_id"], s["processed"], s["made_audio"], s["fresh"], *self.estimate(s, e["at"])))
         self.state.update(tuple(s[f] for f in _FIELDS))
-        yield pd.DataFrame(out, columns=["run_id", "task_id", "processed", "made_audio", "fresh", "realtime_factor", "eta_seconds", "eta_warmup"]).astype({"eta_seconds": "float64"})
+        found = pd.DataFrame(out, columns=["run_id", "task_id", "processed", "made_audio", "fresh", "realtime_factor", "eta_seconds", "eta_warmup"])
+        return found.astype({"run_id": "Int64", "eta_seconds": "float64"})
 
     @staticmethod
     def estimate(s: dict, now: int) -> tuple[float, float | None, bool]:
@@ -103,10 +175,7 @@ class _Tracker(StatefulProcessor):
         eta = 0.0 if left == 0 else left * s["made_audio"] / s["made_chars"] / 1000 / factor if factor > 0 and s["made_chars"] > 0 and warm else None
         return round(factor, 6), None if eta is None else round(eta, 4), not warm and left > 0
 
-    def close(self) -> None:
-        pass
-
 
 def tracked(events: DataFrame) -> DataFrame:
-    """TRACKED rows of a stream of (run_id, task_id, at, cached, chars, audio_ms, wall_ms, total)."""
-    return events.groupBy("run_id").transformWithStateInPandas(statefulProcessor=_Tracker(), outputStructType=TRACKED, outputMode="Append", timeMode="None")
+    """TRACKED rows of a watermarked stream of (run_id, task_id, at, cached, chars, audio_ms, wall_ms, total, closing)."""
+    return _ordered(events, "run_id", _Tracker(), TRACKED)
