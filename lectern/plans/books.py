@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lectern.functions import keys
@@ -9,8 +11,12 @@ from lectern.operators import cache, contents, timeline
 from lectern.operators.ordered import numbered, position_bucket
 from lectern.plans import sql
 from lectern.plans.tables import ENGINE, artifacts, chapters, jobs, options, requests, table, toc
-from lectern.schemas import UNKNOWN_AUTHOR
-from lectern.sources.sinks import settled
+from lectern.schemas import MIN_ARTIFACT_SECONDS, UNKNOWN_AUTHOR
+from lectern.sources import store
+from lectern.sources.sinks import settled, shared_dir
+
+#: Samples a second of the audio that stands in for narration.
+AUDIO_RATE = 100
 
 
 def _chapters(spark, d):
@@ -84,9 +90,30 @@ def _toc_nodes(spark, d):
     return settled(leaves.unionByName(sections).unionByName(parts), "contents-nodes")
 
 
+def _runs(spark, d):
+    """The jobs of this run without their texts, and the table of artifacts that an earlier run over the same books kept."""
+    j = settled(jobs(spark, d).select("book_id", "sequence", "task_id", "seed", "duration_ms"), "jobs")
+    path = f"{shared_dir(spark)}/artifacts-{uuid.uuid4().hex}"
+    store.save(artifacts(j), path)
+    return j, store.stored(spark, path)
+
+
 def cache_probe(spark, d):
-    j = jobs(spark, d)
-    return cache.probe(j, artifacts(j)).select("book_id", "task_id", "cached", "seconds")
+    return cache.probe(*_runs(spark, d)).select("book_id", "task_id", "cached", "seconds")
+
+
+def resume_pending(spark, d):
+    return cache.pending(*_runs(spark, d)).select("book_id", "sequence", "task_id")
+
+
+def artifact_inventory(spark, d):
+    """Files of every third chapter, published as audio and then listed: how many, their bytes, and how long those that count are."""
+    chapters_ms = jobs(spark, d).groupBy("book_id", "chapter_index").agg(F.sum("duration_ms").alias("duration_ms"))
+    path = f"{shared_dir(spark)}/audio-{uuid.uuid4().hex}"
+    store.save_audio(chapters_ms.filter("chapter_index % 3 = 0"), path, AUDIO_RATE)
+    found = store.listing(spark, path).groupBy("book_id").agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"), F.max("length").alias("largest"))
+    long = store.measured(spark, path).filter(F.col("seconds") > MIN_ARTIFACT_SECONDS).groupBy("book_id").agg(F.count(F.lit(1)).alias("valid"), F.round(F.sum("seconds"), 2).alias("seconds"))
+    return found.join(long, "book_id", "left").select("book_id", "files", "bytes", "largest", F.coalesce("valid", F.lit(0)).alias("valid"), F.coalesce("seconds", F.lit(0.0)).alias("seconds"))
 
 
 def job_key_rows(spark, d):
@@ -116,9 +143,9 @@ def manifest(spark, d):
 
 
 def cleanup(spark, d):
-    j = jobs(spark, d)
+    j, kept = _runs(spark, d)
     finished = j.select("book_id").distinct().withColumn("keep", F.length("book_id") % 2 == 0)
-    return cache.removable(artifacts(j), finished).select("book_id", "task_id")
+    return cache.removable(kept, finished).select("book_id", "task_id")
 
 
 def merge_parts(spark, d):
@@ -139,13 +166,13 @@ QUERIES = {
     "c6_default_selection": lambda s, d: _plain(contents.default_selection(*_contents(s, d))),
     "c7_nonempty_chapters": nonempty_chapters,
     "c9_valid_artifact": lambda s, d: cache.valid_artifacts(artifacts(jobs(s, d))).select("book_id", "task_id", "size"),
-    "a6_artifact_inventory": lambda s, d: artifacts(jobs(s, d)).groupBy("book_id").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"), F.max("size").alias("largest")),
+    "a6_artifact_inventory": artifact_inventory,
     "d3_toc_chapter_map": lambda s, d: _mapped(s, d).select("book_id", "pos", "href", "chapter_index"),
     "d4_toc_represented": lambda s, d: _plain(contents.represented(*_contents(s, d))),
     "d5_spine_only": lambda s, d: contents.fallback(*_contents(s, d)),
     "d6_toc_usable": lambda s, d: contents.usable(*_contents(s, d)),
     "d9_cache_probe": cache_probe,
-    "d10_resume_pending": lambda s, d: (lambda j: cache.pending(j, artifacts(j)).select("book_id", "sequence", "task_id"))(jobs(s, d)),
+    "d10_resume_pending": resume_pending,
     "e1_book_profile": book_profile,
     "e3_chapter_chunk_count": lambda s, d: jobs(s, d).select("book_id", "sequence", "chapter_index", "chapter_chunks"),
     "e4_selection_summary": selection_summary,
@@ -186,7 +213,9 @@ ORACLES = {
     "c6_default_selection": f"WITH {_TC} SELECT {_SEL} FROM state WHERE NOT has_toc OR listed",
     "c7_nonempty_chapters": f"{_J} SELECT book_id, chapter_index, count(*) AS n_chunks, max(chapter_chunks) AS chapter_chunks FROM jobs GROUP BY ALL",
     "c9_valid_artifact": f"{_J} SELECT book_id, task_id, size FROM artifacts WHERE size > 1024 AND seconds > 0.05",
-    "a6_artifact_inventory": f"{_J} SELECT book_id, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, max(size) AS largest FROM artifacts GROUP BY book_id",
+    "a6_artifact_inventory": f"""{_J}, w AS (SELECT book_id, CAST(sum(duration_ms) AS BIGINT) * {AUDIO_RATE} // 1000 AS n FROM jobs WHERE chapter_index % 3 = 0 GROUP BY book_id, chapter_index)
+      SELECT book_id, count(*) AS files, CAST(sum(n + 45) AS BIGINT) AS bytes, max(n + 45) AS largest, count(*) FILTER (n + 45 > 1024 AND n / {AUDIO_RATE} > 0.05) AS valid,
+      round(coalesce(sum(n / {AUDIO_RATE}) FILTER (n + 45 > 1024 AND n / {AUDIO_RATE} > 0.05), 0), 2) AS seconds FROM w GROUP BY book_id""",
     "d3_toc_chapter_map": f"WITH {_TC} SELECT book_id, pos, href, chapter_index FROM mapped",
     "d4_toc_represented": f"WITH {_TC} SELECT {_SEL} FROM state WHERE listed",
     "d5_spine_only": f"WITH {_TC} {_FALLBACK}",
