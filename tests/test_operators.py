@@ -146,6 +146,26 @@ def test_markup(spark):
     assert (r.b, r.h, r.w) == (["He&ad line", "a b", "c", "d", "e"], "He&ad line", ["no blocks here"])
 
 
+def test_markup_as_a_parser_reads_it(spark):
+    cases = {
+        '<p title="a>b" class=\'x>y\'>one</p><p data=5>2 < 3 &amp; 4</p>': ["one", "2 < 3 & 4"],
+        "<p>kept</p><script>var t = '<p>no</p>'": ["kept"],
+        "<p>kept</p><SCRIPT type='a>b'>no</SCRIPT ><p>too</p>": ["kept", "too"],
+        "<nav>a<nav>b</nav>c<p>no</p></nav><p>kept</p>": ["kept"],
+        "<div><nav><ul><li>no</div><p>kept</p>": ["kept"],
+        "<nav><p>no</p>": [],
+        "<svg/><p>kept</p></nav></p><p>too": ["kept", "too"],
+        "<!-- <p>no</p> --><p>kept<!-- > --> on</p><!-- <p>no": ["kept on"],
+        "a <b>lone</b> text <br/> here": ["a lone text here"],
+        "<p>" + "<b>x</b> " * 1500 + "</p><noscript><p>no</p></noscript>": [" ".join("x" * 1500)],
+        "": [],
+    }
+    rows = spark.createDataFrame([(k,) for k in cases] + [(None,)], "x string").select("x", markup.html_blocks(F.col("x")).alias("b"))
+    assert {r.x: r.b or [] for r in rows.collect()} == {**cases, None: []}
+    page = "<h1 id='a>b'></h1><h2 title='>'>Name</h2><nav><h1>no</h1></nav>"
+    assert spark.createDataFrame([(page,)], "x string").select(markup.heading(F.col("x"))).first()[0] == "Name"
+
+
 def test_eligibility_names_the_first_broken_rule(spark):
     columns = "request_id long, engine_id string, voice_mode string, output string, has_reference boolean, consent boolean, licence_ok boolean, n_chapters int, n_chunks int, max_chars int"
     rows = [(1, "xtts", "clone", "o.m4b", True, False, False, 1, 1, 0), (2, "mms", "builtin", "o.M4B", False, False, True, 1, 1, 0), (3, "xtts", "builtin", "o.mp3", True, True, True, 1, 1, 0), (4, "who", "builtin", "o.m4b", True, True, True, 1, 1, 0)]
