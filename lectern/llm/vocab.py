@@ -15,6 +15,7 @@ import os
 import re
 from array import array
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -55,7 +56,10 @@ def runs(text: str, limit: int = RUN) -> Iterator[str]:
 
 def strings(column: pa.Array) -> list[str]:
     """The texts of a string column; null is empty."""
-    return [b.decode("utf-8", "replace") if b else "" for b in column.cast(pa.binary()).to_pylist()]
+    try:
+        return [s or "" for s in column.to_pylist()]
+    except UnicodeDecodeError:
+        return [b.decode("utf-8", "replace") if b else "" for b in column.cast(pa.binary()).to_pylist()]
 
 
 class Known:
@@ -64,12 +68,12 @@ class Known:
     def __init__(self, encode: Callable[[list[str]], Iterable]):
         self.encode, self.ids, self.held = encode, {}, 0
 
-    def learn(self, units: set[str]) -> None:
-        """Have the ids of all ``units``."""
+    def learn(self, texts: list[list[str]]) -> None:
+        """Have the ids of all units of ``texts``."""
         if self.held > KEPT_BYTES:
-            self.ids = {u: self.ids[u] for u in units if u in self.ids}
+            self.ids = {u: self.ids[u] for u in set().union(*texts) if u in self.ids}
             self.held = sum(len(u) + len(i) + UNIT_BYTES for u, i in self.ids.items())
-        new = list(units.difference(self.ids))
+        new = list(dict.fromkeys(filterfalse(self.ids.__contains__, chain.from_iterable(texts))))
         for unit, ids in zip(new, self.encode(new)):
             self.ids[unit] = array("I", ids).tobytes()
             self.held += len(unit) + 4 * len(ids) + UNIT_BYTES
@@ -95,7 +99,7 @@ class Units:
         size = 0
 
         def flush():
-            self.known.learn(set().union(*(u for _, u in waiting)))
+            self.known.learn([u for _, u in waiting])
             for i, units in waiting:
                 out[i].append(self.known.of(units))
 

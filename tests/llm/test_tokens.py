@@ -86,3 +86,9 @@ def test_one_repeated_row_is_dealt_to_many_tasks(spark, tmp_path):
 
 def test_empty_table(spark, write):
     assert tokens.op11_token_ids(spark, write(spark.createDataFrame([], "doc_id long, text string"), "documents")).collect() == []
+
+
+def test_bytes_that_are_not_text(spark, tmp_path):
+    frame = spark.sql("SELECT 1L AS k, cast(x'61FF62' AS string) AS t UNION ALL SELECT 2L, 'fine'")
+    tokens.write_ids(frame, f"{tmp_path}/ids", "k", "t")
+    assert sorted(tuple(r) for r in tokens.read_ids(spark, f"{tmp_path}/ids").collect()) == want([(1, "a�b"), (2, "fine")])
