@@ -33,7 +33,7 @@ from lectern.llm.common import for_python, settle, table
 
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of a range, fragments composed by one task, bytes of texts aligned together.
-RANGE, FAN, SLICE = 1 << 18, 8, 1 << 20
+RANGE, FAN, SLICE = 1 << 16, 8, 1 << 20
 #: Pairs that are sent to every task at most, 17 bytes each.
 SENT = 1 << 20
 
@@ -46,6 +46,7 @@ class Vocabularies:
     def __init__(self, a: str, b: str):
         self.encode_a, self.encode_b = vocab.byte_level(a, plain=True, spaced=True), vocab.pieces(b)
         self.bytes_a, self.bytes_b = vocab.byte_level_bytes(a), vocab.piece_bytes(b)
+        self.whole_a = {bytes([i]) for i in range(256)} <= set(self.bytes_a)  # then it can write any text
         self.long_a, self.long_b = (np.array([len(t) for t in side]) for side in (self.bytes_a, self.bytes_b))
         ids = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
         self.width, self.shown = len(ids), [i + mark for mark in ",|;" for i in ids]
@@ -56,7 +57,7 @@ class Vocabularies:
         for text, a, b in zip(texts, self.encode_a(texts), self.encode_b(texts)):
             a, b, want = vocab.numbers(a), vocab.numbers(b), f" {text}".encode()
             joined = lambda ids, side: b"".join(map(side.__getitem__, ids.tolist()))
-            out.append((a, b) if text and joined(a, self.bytes_a) == want == joined(b, self.bytes_b) else None)
+            out.append((a, b) if text and joined(b, self.bytes_b) == want and (self.whole_a or joined(a, self.bytes_a) == want) else None)
         return out
 
 
@@ -96,29 +97,38 @@ def both(x: tuple, y: tuple) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([x[0], y[0]]), np.concatenate([x[1], y[1]])
 
 
+def _common(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the rising ends of each side are the other side's, too."""
+    in_a, in_b = np.zeros(len(ends_a), bool), np.zeros(len(ends_b), bool)
+    if len(ends_a) and len(ends_b):
+        at = np.minimum(np.searchsorted(ends_b, ends_a), len(ends_b) - 1)
+        in_a = ends_b[at] == ends_a
+        in_b[at[in_a]] = True
+    return in_a, in_b
+
+
 def closed(v: Vocabularies, a: np.ndarray, b: np.ndarray) -> Groups:
     """The groups of tokens that cover the same bytes on both sides."""
     ends_a, ends_b = np.cumsum(v.long_a[a]), np.cumsum(v.long_b[b])
-    stops = np.union1d(ends_a, ends_b)
-    last_a, last_b = np.searchsorted(ends_a, stops), np.searchsorted(ends_b, stops)
-    pairs = a[last_a].astype(np.int64) << 32 | b[last_b]
-    common = np.intersect1d(ends_a, ends_b, assume_unique=True)
-    group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
-    many_a, many_b = np.bincount(group_a, minlength=len(common)), np.bincount(group_b, minlength=len(common))
+    in_a, in_b = _common(ends_a, ends_b)
+    stops = np.sort(np.concatenate([ends_a, ends_b[~in_b]]), kind="stable")  # two runs, merged
+    pairs = a[np.searchsorted(ends_a, stops)].astype(np.int64) << 32 | b[np.searchsorted(ends_b, stops)]
+    group_a, group_b = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b
+    n = int(in_a.sum())
+    many_a, many_b = np.bincount(group_a, minlength=n), np.bincount(group_b, minlength=n)
     codes = np.empty(len(a) + len(b), np.int64)
-    codes[np.arange(len(a)) + (np.cumsum(many_b) - many_b)[group_a]] = a + v.width * np.isin(ends_a, common)
-    codes[np.arange(len(b)) + np.cumsum(many_a)[group_b]] = b + v.width * 2 * np.isin(ends_b, common)
-    return Groups(len(a), len(b), len(common), "".join(map(v.shown.__getitem__, codes.tolist())), pairs)
+    codes[np.arange(len(a)) + (np.cumsum(many_b) - many_b)[group_a]] = a + v.width * in_a
+    codes[np.arange(len(b)) + np.cumsum(many_a)[group_b]] = b + v.width * 2 * in_b
+    return Groups(len(a), len(b), n, "".join(map(v.shown.__getitem__, codes.tolist())), pairs)
 
 
 def fragment(v: Vocabularies, a: np.ndarray, b: np.ndarray, start_a: int, start_b: int) -> tuple[Fragment, Groups | None]:
     """The open ends and the closed groups of the tokens that end in a range; its first ones start at these bytes."""
-    ends_a, ends_b = start_a + np.cumsum(v.long_a[a]), start_b + np.cumsum(v.long_b[b])
-    common = np.intersect1d(ends_a, ends_b, assume_unique=True)
-    if not len(common):
+    cuts = [np.flatnonzero(c) for c in _common(start_a + np.cumsum(v.long_a[a]), start_b + np.cumsum(v.long_b[b]))]
+    if not len(cuts[0]):
         return Fragment(False, (a, b), NONE), None
-    (first_a, last_a), (first_b, last_b) = (np.searchsorted(e, common[[0, -1]]) + 1 for e in (ends_a, ends_b))
-    inner = closed(v, a[first_a:last_a], b[first_b:last_b]) if len(common) > 1 else None
+    (first_a, last_a), (first_b, last_b) = (c[[0, -1]] + 1 for c in cuts)
+    inner = closed(v, a[first_a:last_a], b[first_b:last_b]) if len(cuts[0]) > 1 else None
     return Fragment(True, (a[:first_a], b[:first_b]), (a[last_a:], b[last_b:])), inner
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 
 import public_tokenizers
@@ -55,8 +56,11 @@ def want(rows):
             continue
         a, b = found
         ends = sorted({e for _, e, _ in a} & {e for _, e, _ in b})
-        group = lambda side, lo, hi: ",".join(str(i) for s, e, i in side if lo <= s and e <= hi)
-        listed = ";".join(group(a, lo, hi) + "|" + group(b, lo, hi) for lo, hi in zip([0, *ends], ends))
+        groups = [([], []) for _ in ends]
+        for n, side in enumerate(found):
+            for _, e, i in side:
+                groups[bisect_left(ends, e)][n].append(str(i))
+        listed = ";".join(",".join(x) + "|" + ",".join(y) for x, y in groups)
         links, j0 = [], 0
         for s, e, i in a:
             while b[j0][1] <= s:
@@ -93,7 +97,7 @@ def test_query(spark, write, some_texts):
 
 
 def test_long_texts_in_ranges_and_rare_pairs_by_join(spark, write, some_texts, monkeypatch):
-    rows = [(i, t) for i, t in enumerate(some_texts[:20])] + [(100, " ".join(t or "" for t in some_texts)), (101, "x" * 3000 + " tail"), (102, "漢字🙂" * 400)]
+    rows = [(i, t) for i, t in enumerate(some_texts[:20])] + [(100, " ".join(t or "" for t in some_texts)[:9000]), (101, "x" * 3000 + " tail"), (102, "漢字🙂" * 400)]
     path = write(spark.createDataFrame(rows, "doc_id long, text string"), "documents")
     query, score = aligned.aligned, aligned.scored
     monkeypatch.setattr(aligned, "aligned", lambda docs: query(docs, size=64))
