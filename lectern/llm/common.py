@@ -15,6 +15,10 @@ from lectern.sources.sinks import shared_dir
 ARROW_BYTES = 16 << 20
 #: Rows of a side that may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
+#: Their bytes, written out, at most.
+BROADCAST_BYTES = 128 << 20
+#: Parts that the rows of a heavy key are dealt to where each of them meets many rows.
+SALTS = 64
 #: Keys with more than one in so many rows of a side are broadcast; there are fewer of them than this.
 SPREAD = 1000
 
@@ -37,9 +41,16 @@ def settle(df: DataFrame, label: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A settled ``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is."""
-    return F.broadcast(df) if df.count() <= rows else df
+def is_small(df: DataFrame) -> bool:
+    """Whether a settled ``df`` has at most BROADCAST_ROWS rows and BROADCAST_BYTES bytes."""
+    if df.count() > BROADCAST_ROWS:
+        return False
+    return (df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))).alias("n")).first().n or 0) <= BROADCAST_BYTES
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A settled ``df`` with a broadcast hint if it is small, else as it is."""
+    return F.broadcast(df) if is_small(df) else df
 
 
 def fresh(taken: Iterable[str], name: str) -> str:
@@ -101,6 +112,21 @@ def join_spread(rows: DataFrame, facts: DataFrame, on: list[str], weight: str, s
     return joined.select(*(F.col(c) for c in rows.columns), *(found[c].alias(c) for c in facts.columns if c not in on))
 
 
+def join_salted(rows: DataFrame, facts: DataFrame, on: list[str], salt: Column) -> DataFrame:
+    """The inner join of settled ``rows`` with ``facts``, any number of rows a key, by the keys ``on``, none of them null.
+
+    Keys with more than one in SPREAD of ``rows``, so fewer than SPREAD keys, are dealt to SALTS parts by ``salt``, and their
+    facts are there in each of them; nothing but those keys is broadcast.
+    """
+    sizes = settle(rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")), "key-sizes")
+    total = sizes.agg(F.sum("_n").alias("n")).first().n or 0
+    heavy = F.broadcast(sizes.filter(F.col("_n") * SPREAD > total).select(*on, F.lit(True).alias("_heavy")))
+    dealt = rows.join(heavy, on, "left").withColumn("_salt", F.when(F.col("_heavy"), F.pmod(salt, F.lit(SALTS)).cast("int")).otherwise(0)).drop("_heavy")
+    parts = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    copied = facts.join(heavy, on, "left").withColumn("_salt", F.explode(parts)).drop("_heavy")
+    return dealt.join(copied, [*on, "_salt"]).drop("_salt")
+
+
 def for_python(rows: DataFrame) -> DataFrame:
     """``rows`` for a mapInArrow: from here on the session's batches hold at most ARROW_BYTES, or one row."""
     rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{ARROW_BYTES}b")

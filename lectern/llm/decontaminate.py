@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.llm import bytetext
-from lectern.llm.common import BROADCAST_ROWS, for_python, fresh, join_spread, settle, small, table
+from lectern.llm.common import for_python, fresh, is_small, join_salted, settle, small, table
 
 WINDOW, GRAM = 13, 5
 #: A document is contaminated if at least one word in this many is hit.
@@ -209,12 +209,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", te
     seen = settle(_seeds(docs, doc, text, lengths, shared).drop("windows"), "doc-grams")
     seeds = seen.filter(F.size("seeds") > 0).select("id", "digest", F.explode("seeds").alias("s")).select("id", "digest", "s.*").distinct()
     contexts = settle(bench.select("size", "gram", "other", "context").distinct(), "bench-contexts")
-    if contexts.count() <= BROADCAST_ROWS:
+    if is_small(contexts):
         seeds = seeds.join(F.broadcast(contexts), ["size", "gram"])
     else:
-        seeds = settle(seeds, "doc-seeds")
-        often = settle(seeds.groupBy("size", "gram").agg(F.count(F.lit(1)).alias("n")).join(contexts.groupBy("size", "gram").agg(F.collect_list(F.struct("other", "context")).alias("all")), ["size", "gram"]), "gram-contexts")
-        seeds = join_spread(seeds, often, ["size", "gram"], "n", F.xxhash64("id", "at"), "inner").select("id", "digest", "at", "size", "gram", "around", F.inline("all"))
+        seeds = join_salted(settle(seeds, "doc-seeds"), contexts, ["size", "gram"], F.xxhash64("id", "at"))
     hit = settle(_extended(seeds).select("id", "digest", "lo", "hi", "context").distinct(), "hits")
 
     order = Window.partitionBy("id", "digest").orderBy("lo", "hi")
@@ -222,7 +220,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", te
     new = F.col("hi") - F.greatest(F.col("lo"), F.coalesce(reach, F.lit(0)))
     spans = hit.select("id", "digest", "lo", "hi").distinct()
     covered = spans.select("id", "digest", F.greatest(new, F.lit(0)).alias("new")).groupBy("id", "digest").agg(F.sum("new").alias("n_hit"))
-    named = hit.select("id", "digest", "context").distinct().join(small(settle(bench.select("context", "item").distinct(), "bench-named")), "context").select("id", "digest", "item").distinct()
+    named, of = settle(bench.select("context", "item").distinct(), "bench-named"), hit.select("id", "digest", "context").distinct()
+    named = of.join(F.broadcast(named), "context") if is_small(named) else join_salted(settle(of, "hit-contexts"), named, ["context"], F.xxhash64("id", "digest"))
+    named = named.select("id", "digest", "item").distinct()
     listed = named.groupBy("id", "digest").agg(F.array_sort(F.collect_list("item")).alias("items"))
     same = lambda a, b: F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & F.col(f"{a}.digest").eqNullSafe(F.col(f"{b}.digest"))
     both = covered.alias("c").join(listed.alias("i"), same("c", "i")).select("c.id", "c.digest", "n_hit", "items")

@@ -71,3 +71,21 @@ def test_shares_never_vanish():
     for wanted, n in ((32, 10**12), (600, 7 * 10**8), (8192, 10**13), (5000, 10**10)):
         assert abs((common.limit63(wanted, n) + 1) / 2**63 * n / wanted - 1) < 1e-6
     assert common.limit63(10, 7) == common.limit63(10, 10) == 2**63 - 1 and common.limit63(10, 0) == 2**63 - 1
+
+
+def test_salted_join_equals_a_plain_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "SPREAD", 5)
+    rows = common.settle(spark.range(500).selectExpr("IF(id % 3 = 0, 7, id % 50) AS k", "id"))
+    facts = spark.range(200).selectExpr("IF(id < 20, 7, id) AS k", "id AS f")
+    want = sorted((r.k, r.id, r.f) for r in rows.join(facts, "k").collect())
+    joined = common.join_salted(rows, facts, ["k"], F.xxhash64("id"))
+    assert joined.columns == ["k", "id", "f"] and sorted((r.k, r.id, r.f) for r in joined.collect()) == want
+
+
+def test_a_table_is_small_by_rows_and_by_bytes(spark, monkeypatch):
+    rows = spark.range(100).selectExpr("repeat('x', 100) AS t")
+    assert common.is_small(rows)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 9999)
+    assert not common.is_small(rows)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 99)
+    assert not common.is_small(rows)

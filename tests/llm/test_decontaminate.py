@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import bytetext, decontaminate
+from lectern.llm import bytetext, common, decontaminate
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -100,12 +100,11 @@ def test_every_shared_span_is_found_in_long_texts_and_common_passages(spark, wri
                 hit |= set(range(at, at + 13))
                 names |= found
         want[i] = (len(w), len(hit), sorted(names))
-    for most in (200_000, 0):  # the joins with and without a broadcast
-        decontaminate.BROADCAST_ROWS, old = most, decontaminate.BROADCAST_ROWS
-        try:
+    for most, spread in ((200_000, 1000), (0, 1000), (0, 3)):  # the joins with a broadcast, with all keys salted, and with few
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(common, "BROADCAST_ROWS", most)
+            patch.setattr(common, "SPREAD", spread)
             got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontaminate.contamination(*tables).collect()}
-        finally:
-            decontaminate.BROADCAST_ROWS = old
         assert got == want
 
 
