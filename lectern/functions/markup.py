@@ -154,16 +154,25 @@ def nav_part(html: Column) -> Column:
 
 
 def nav_links(html: Column) -> Column:
-    """(depth, href, title) of every link in a page's contents list, in order.
+    """(depth, node, href, title) of every link in a page's contents list, in order.
 
-    The list is cut at its list tags and links; the depth is the number of lists open at that point.
+    The list is cut at its list tags and links; the depth is the number of lists open at that point.  ``node`` is the path of
+    ordinals from 0 of the link: a list's links are below the link before the list, -1 if there is none.
     """
     tokens = F.regexp_extract_all(nav_part(html), F.lit(r"(?is)(<[ou]l(?:\s[^>]*)?>|</[ou]l\s*>|<a\s[^>]*>.*?</a\s*>)"), F.lit(1))
     step = lambda t: F.when(t.rlike(r"(?i)^</[ou]l"), -1).when(t.rlike(r"(?i)^<[ou]l"), 1).otherwise(0)
-    start = F.struct(F.lit(0).alias("depth"), F.expr("cast(array() as array<struct<depth:int,href:string,title:string>>)").alias("links"))
+    links = F.expr("cast(array() as array<struct<depth:int,node:array<int>,href:string,title:string>>)")
+    start = F.struct(F.lit(0).alias("depth"), F.array(F.lit(0)).alias("counts"), links.alias("links"))
 
     def add(a: Column, t: Column) -> Column:
-        link = F.struct(a["depth"].alias("depth"), decode_entities(F.regexp_extract(t, r"(?is)\shref\s*=\s*[\"']([^\"']*)", 1)).alias("href"), inline_text(t).alias("title"))
-        return F.struct((a["depth"] + step(t)).alias("depth"), F.when(step(t) == 0, F.array_append(a["links"], link)).otherwise(a["links"]).alias("links"))
+        counts, depth, by = a["counts"], F.greatest(a["depth"] + step(t), F.lit(0)), step(t)
+        size = F.size(counts)
+        node = F.transform(counts, lambda c, i: F.when(i + 1 < size, c - 1).otherwise(c))
+        link = F.struct(a["depth"].alias("depth"), node.alias("node"), decode_entities(F.regexp_extract(t, r"(?is)\shref\s*=\s*[\"']([^\"']*)", 1)).alias("href"), inline_text(t).alias("title"))
+        counted = F.transform(counts, lambda c, i: F.when(i + 1 == size, c + 1).otherwise(c))  # links so far in each open list
+        opened = F.when(a["depth"] > 0, F.array_append(counts, F.lit(0))).otherwise(counts)
+        closed = F.when(size > 1, F.slice(counts, F.lit(1), size - 1)).otherwise(counts)
+        counts = F.when(by == 0, counted).when(by == 1, opened).otherwise(closed)
+        return F.struct(depth.cast("int").alias("depth"), counts.alias("counts"), F.when(by == 0, F.array_append(a["links"], link)).otherwise(a["links"]).alias("links"))
 
     return F.aggregate(tokens, start, add, lambda a: a["links"])

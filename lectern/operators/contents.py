@@ -73,15 +73,18 @@ def selector_expand(selector):
     return F.when(sound & (F.size(parts) > 0), F.when(ranges, numbers))
 
 
-def selection_rollup(nodes: DataFrame, depth: int) -> DataFrame:
-    """The state of every contents node, all, none or some, from the leaves up.
+def selection_rollup(nodes: DataFrame) -> DataFrame:
+    """(book_id, path, state) of every contents node and of all nodes above: all, none or some, from the leaves up.
 
-    ``nodes`` are (book_id, path, parent, chapter_index, selected): rows that name the same chapter
-    move together and are on if any of them is; a node with children takes its state from them, one level per join.
+    ``nodes`` are (book_id, path, chapter_index, selected), a path being the ordinals from the root.  Rows that name the same chapter
+    move together and are on if any of them is; a node with others below takes its state from the leaves there.  Each leaf is counted
+    for all nodes above it in one aggregation, however deep the tree is.
     """
+    above = lambda n: F.slice("path", F.lit(1), n)
+    inner = nodes.filter(F.size("path") > 1).select("book_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("path") - 1), above)).alias("path")).distinct()
     alias = nodes.filter("chapter_index is not null").groupBy("book_id", "chapter_index").agg(F.bool_or("selected").alias("shared"))
-    rows = nodes.join(alias, ["book_id", "chapter_index"], "left").select("book_id", "path", "parent", F.when(F.coalesce("shared", "selected"), "all").otherwise("none").alias("state"))
-    for _ in range(depth):
-        kids = rows.filter("parent is not null").groupBy("book_id", F.col("parent").alias("path")).agg(F.min("state").alias("low"), F.max("state").alias("high"))
-        rows = rows.join(kids, ["book_id", "path"], "left").select("book_id", "path", "parent", F.when(F.col("low").isNull(), F.col("state")).when(F.col("low") == F.col("high"), F.col("low")).otherwise("some").alias("state"))
-    return rows
+    leaves = nodes.join(inner, ["book_id", "path"], "left_anti").join(alias, ["book_id", "chapter_index"], "left")
+    leaves = leaves.select("book_id", "path", F.coalesce("shared", "selected").alias("on"))
+    each = leaves.select("book_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), above)).alias("path"), "on")
+    state = F.when(F.bool_and("on"), "all").when(F.bool_or("on"), "some").otherwise("none")
+    return each.groupBy("book_id", "path").agg(state.alias("state"))

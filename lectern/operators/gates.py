@@ -63,3 +63,20 @@ def resolve_name(requested: Column, listed: Column, default: str) -> Column:
     fallback = F.when(F.array_contains(listed, default), F.lit(default))
     missing = F.when(requested == default, F.get(listed, F.lit(0))).otherwise(fallback)
     return F.when(requested.isNull() | (requested == ""), F.coalesce(fallback, F.get(listed, F.lit(0)), F.lit(default))).when(some & ~has, missing).otherwise(requested)
+
+
+def _must(found: Column, what: str, key: Column) -> Column:
+    """True, or an error that names ``key`` where ``found`` is not true."""
+    return F.when(F.coalesce(found, F.lit(False)), True).otherwise(F.raise_error(F.concat(F.lit(what + ": "), F.coalesce(key.cast("string"), F.lit("null")))).cast("boolean"))
+
+
+def known_only(results: DataFrame, jobs: DataFrame, key: str = "task_id") -> DataFrame:
+    """``results`` joined with their jobs; a result of an unknown task is an error when it is reached."""
+    rows = results.join(jobs.withColumn("_known", F.lit(True)), key, "left")
+    return rows.filter(_must(F.col("_known"), "result of an unknown task", F.col(key))).drop("_known")
+
+
+def require_each(parents: DataFrame, children: DataFrame, key: str, what: str) -> DataFrame:
+    """``parents``, each of which must have a row in ``children``; one without is an error that says ``what`` it lacks."""
+    some = children.select(key).distinct().withColumn("_some", F.lit(True))
+    return parents.join(some, key, "left").filter(_must(F.col("_some"), what, F.col(key))).drop("_some")

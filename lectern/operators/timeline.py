@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import escape_metadata
@@ -28,8 +28,20 @@ def chapter_timeline(jobs: DataFrame) -> DataFrame:
     return rows.select("book_id", "chapter_index", start.alias("start_ms"), F.greatest(F.col("upto"), start + 1).alias("end_ms"))
 
 
-def timeline_total(jobs: DataFrame) -> DataFrame:
-    return jobs.groupBy("book_id").agg(F.sum(_duration()).alias("total_ms"), F.count(F.lit(1)).alias("n_chunks"))
+#: Chunks of a segment of a book's list of paths.
+SEGMENT = 4096
+
+
+def timeline_total(jobs: DataFrame, path: Column) -> DataFrame:
+    """(book_id, total_ms, n_chunks, paths): how long a book is, and the paths of its chunks in order.
+
+    The list is put in order in segments, many tasks for a long book; one row of segments makes the book's.
+    """
+    rows = jobs.select("book_id", position_bucket(F.col("sequence"), SEGMENT).alias("segment"), "sequence", _duration().alias("ms"), path.alias("path"))
+    parts = rows.groupBy("book_id", "segment").agg(F.sum("ms").alias("ms"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("sequence", "path"))).alias("paths"))
+    parts = parts.select("book_id", "segment", "ms", "n", F.transform("paths", lambda p: p["path"]).alias("paths"))
+    books = parts.groupBy("book_id").agg(F.sum("ms").alias("total_ms"), F.sum("n").alias("n_chunks"), F.array_sort(F.collect_list(F.struct("segment", "paths"))).alias("all"))
+    return books.select("book_id", "total_ms", "n_chunks", F.flatten(F.transform("all", lambda s: s["paths"])).alias("paths"))
 
 
 def chapter_metadata_doc(timings: DataFrame, title, author) -> DataFrame:
@@ -50,6 +62,8 @@ def manifest_lines(jobs: DataFrame, path) -> DataFrame:
 
 
 def merge_parts(parts: DataFrame) -> DataFrame:
-    """(task_id, frames, sample_rate, seconds) of tasks done in parts; null seconds if their rates differ."""
-    rows = parts.groupBy("task_id").agg(F.sum("frames").alias("frames"), F.min("sample_rate").alias("sample_rate"), (F.min("sample_rate") == F.max("sample_rate")).alias("same"))
-    return rows.select("task_id", "frames", "sample_rate", F.when(F.col("same"), F.round(F.col("frames") / F.col("sample_rate"), 6)).alias("seconds"))
+    """(task_id, frames, sample_rate, seconds) of tasks done in parts; parts of different rates are an error."""
+    rows = parts.groupBy("task_id").agg(F.sum("frames").alias("frames"), F.min("sample_rate").alias("sample_rate"), F.max("sample_rate").alias("other"))
+    mismatch = F.raise_error(F.concat(F.lit("parts of different sample rates: "), F.col("task_id").cast("string"))).cast("int")
+    rate = F.when(F.col("sample_rate") == F.col("other"), F.col("sample_rate")).when(F.col("sample_rate") != F.col("other"), mismatch)
+    return rows.select("task_id", "frames", rate.alias("sample_rate")).select("*", F.round(F.col("frames") / F.col("sample_rate"), 6).alias("seconds"))

@@ -79,15 +79,20 @@ def analyze_report(spark, d):
     return rows.select("book_id", "chapter_index", line.alias("line"))
 
 
+#: Levels of the contents tree, and entries below each of its nodes.
+TREE_DEPTH, TREE_FAN = 6, 4
+
+
 def _toc_nodes(spark, d):
-    """A contents tree of three levels: ten chapters to a section, ten sections to a part."""
+    """The contents as the leaves of a tree of TREE_DEPTH levels; a node's ordinal is that of its first entry over its size."""
     m = _contents(spark, d)[1]
-    named = lambda kind, size: F.concat(F.lit(kind), F.floor(F.col("pos") / size))
-    leaves = m.select("book_id", F.col("pos").cast("string").alias("path"), named("section", 10).alias("parent"), "chapter_index", (F.col("pos") % 3 != 0).alias("selected"))
-    none = [F.lit(None).cast("long").alias("chapter_index"), F.lit(False).alias("selected")]
-    sections = m.select("book_id", named("section", 10).alias("path"), named("part", 100).alias("parent"), *none).distinct()
-    parts = m.select("book_id", named("part", 100).alias("path"), F.lit(None).cast("string").alias("parent"), *none).distinct()
-    return settled(leaves.unionByName(sections).unionByName(parts), "contents-nodes")
+    path = F.array(*(F.floor(F.col("pos") / TREE_FAN**n).cast("long") for n in reversed(range(TREE_DEPTH))))
+    return m.select("book_id", path.alias("path"), "chapter_index", (F.col("pos") % 3 != 0).alias("selected"))
+
+
+def selection_rollup(spark, d):
+    path = F.array_join(F.transform("path", lambda n: n.cast("string")), ".")
+    return contents.selection_rollup(_toc_nodes(spark, d)).select("book_id", path.alias("path"), "state")
 
 
 def _runs(spark, d):
@@ -150,7 +155,7 @@ def cleanup(spark, d):
 
 def merge_parts(spark, d):
     j = jobs(spark, d)
-    rate = F.when((F.col("chapter_index") % 50 == 0) & (F.col("chunk_index") == 2), 22050).otherwise(24000)
+    rate = F.when(F.col("chapter_index") % 50 == 0, 22050).otherwise(24000)
     parts = j.select(F.concat("book_id", F.lit("/"), "chapter_index").alias("task_id"), (F.col("duration_ms") * 24).alias("frames"), rate.alias("sample_rate"))
     return timeline.merge_parts(parts)
 
@@ -176,7 +181,7 @@ QUERIES = {
     "e1_book_profile": book_profile,
     "e3_chapter_chunk_count": lambda s, d: jobs(s, d).select("book_id", "sequence", "chapter_index", "chapter_chunks"),
     "e4_selection_summary": selection_summary,
-    "e12_timeline_total": lambda s, d: timeline.timeline_total(jobs(s, d)),
+    "e12_timeline_total": lambda s, d: timeline.timeline_total(jobs(s, d), keys.artifact_name(F.col("chapter_index"), F.col("chunk_index"), F.col("key"))).select("book_id", "total_ms", "n_chunks", F.sha2(F.array_join("paths", "\n"), 256).alias("paths_sha256")),
     "e13_merge_parts": merge_parts,
     "f1_chapter_numbering": lambda s, d: _plain(_chapters(s, d)),
     "f2_job_sequence": lambda s, d: jobs(s, d).select("book_id", "doc_id", "sequence", "chapter_index", "chunk_index"),
@@ -185,7 +190,7 @@ QUERIES = {
     "g2_restore_order": _numbered,
     "h3_missing_set": lambda s, d: _plain(contents.missing(*_contents(s, d))),
     "h4_toc_append": lambda s, d: contents.full_contents(*_contents(s, d)),
-    "h5_selection_rollup": lambda s, d: contents.selection_rollup(_toc_nodes(s, d), 2).select("book_id", "path", "state"),
+    "h5_selection_rollup": selection_rollup,
     "j4_chunk_key": lambda s, d: job_key_rows(s, d).select("book_id", "sequence", "key"),
     "j5_run_fingerprint": run_fingerprint,
     "j6_stable_seed": stable_seed,
@@ -226,9 +231,10 @@ ORACLES = {
     "e3_chapter_chunk_count": f"{_J} SELECT book_id, sequence, chapter_index, count(*) OVER (PARTITION BY book_id, chapter_index) AS chapter_chunks FROM jobs",
     "e4_selection_summary": f"""WITH {_TC} SELECT book_id, count(*) FILTER (NOT has_toc OR listed) AS selected, count(*) AS chapters,
       CAST(coalesce(sum(length(text)) FILTER (NOT has_toc OR listed), 0) AS BIGINT) AS selected_chars FROM state GROUP BY book_id""",
-    "e12_timeline_total": f"{_J} SELECT book_id, CAST(sum(duration_ms) AS BIGINT) AS total_ms, count(*) AS n_chunks FROM jobs GROUP BY book_id",
-    "e13_merge_parts": f"""{_J}, p AS (SELECT book_id || '/' || chapter_index AS task_id, duration_ms * 24 AS frames, CASE WHEN chapter_index % 50 = 0 AND chunk_index = 2 THEN 22050 ELSE 24000 END AS r FROM jobs)
-      SELECT task_id, CAST(sum(frames) AS BIGINT) AS frames, min(r) AS sample_rate, CASE WHEN min(r) = max(r) THEN round(sum(frames) / min(r), 6) END AS seconds FROM p GROUP BY task_id""",
+    "e12_timeline_total": f"""{_J} SELECT book_id, CAST(sum(duration_ms) AS BIGINT) AS total_ms, count(*) AS n_chunks,
+      sha256(string_agg(printf('%04d_%04d_%s.wav', chapter_index, chunk_index, key), chr(10) ORDER BY sequence)) AS paths_sha256 FROM jobs GROUP BY book_id""",
+    "e13_merge_parts": f"""{_J}, p AS (SELECT book_id || '/' || chapter_index AS task_id, duration_ms * 24 AS frames, CASE WHEN chapter_index % 50 = 0 THEN 22050 ELSE 24000 END AS r FROM jobs)
+      SELECT task_id, CAST(sum(frames) AS BIGINT) AS frames, min(r) AS sample_rate, round(sum(frames) / min(r), 6) AS seconds FROM p GROUP BY task_id""",
     "f1_chapter_numbering": f"WITH {sql.CHAPTERS} SELECT {_SEL} FROM chapters",
     "f2_job_sequence": f"{_J} SELECT book_id, doc_id, row_number() OVER (PARTITION BY book_id ORDER BY chapter_index, chunk_index) AS sequence, chapter_index, chunk_index FROM jobs",
     "f3_elapsed": f"{_J} SELECT book_id, sequence, CAST(sum(duration_ms) OVER w - duration_ms AS BIGINT) AS start_ms, CAST(sum(duration_ms) OVER w AS BIGINT) AS end_ms FROM jobs WINDOW w AS (PARTITION BY book_id ORDER BY sequence)",
@@ -236,11 +242,9 @@ ORACLES = {
     "g2_restore_order": "SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS n FROM conversations",
     "h3_missing_set": f"WITH {_TC} SELECT {_SEL} FROM state WHERE NOT listed",
     "h4_toc_append": f"WITH {_TC} SELECT book_id, title, href, chapter_index, 'toc' AS source, true AS default_selected FROM mapped WHERE book_id IN (SELECT book_id FROM usable WHERE has_toc) UNION ALL {_FALLBACK}",
-    "h5_selection_rollup": f"""WITH {_TC}, leaf AS (SELECT book_id, CAST(pos AS VARCHAR) AS path, pos, chapter_index, pos % 3 <> 0 AS selected FROM mapped),
-      shared AS (SELECT *, CASE WHEN chapter_index IS NULL THEN selected ELSE bool_or(selected) OVER (PARTITION BY book_id, chapter_index) END AS on_ FROM leaf)
-      SELECT book_id, path, CASE WHEN on_ THEN 'all' ELSE 'none' END AS state FROM shared UNION ALL
-      SELECT book_id, 'section' || (pos // 10), CASE WHEN bool_and(on_) THEN 'all' WHEN bool_or(on_) THEN 'some' ELSE 'none' END FROM shared GROUP BY ALL UNION ALL
-      SELECT book_id, 'part' || (pos // 100), CASE WHEN bool_and(on_) THEN 'all' WHEN bool_or(on_) THEN 'some' ELSE 'none' END FROM shared GROUP BY ALL""",
+    "h5_selection_rollup": f"""WITH {_TC}, leaf AS (SELECT book_id, pos, CASE WHEN chapter_index IS NULL THEN pos % 3 <> 0 ELSE bool_or(pos % 3 <> 0) OVER (PARTITION BY book_id, chapter_index) END AS on_ FROM mapped),
+      each AS (SELECT book_id, on_, unnest([{", ".join("concat_ws('.', " + ", ".join(f"pos // {TREE_FAN**n}" for n in reversed(range(at, TREE_DEPTH))) + ")" for at in range(TREE_DEPTH))}]) AS path FROM leaf)
+      SELECT book_id, path, CASE WHEN bool_and(on_) THEN 'all' WHEN bool_or(on_) THEN 'some' ELSE 'none' END AS state FROM each GROUP BY ALL""",
     "j4_chunk_key": f"{_J} SELECT book_id, sequence, key FROM jobs",
     "j5_run_fingerprint": "SELECT page_id, substr(sha256(url || '|' || length(html) || '|' || (page_id * 7) || '|xtts'), 1, 16) AS run_id FROM pages",
     "j6_stable_seed": """SELECT item_id, CAST(('0x' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2)) AS BIGINT) & 2147483647 AS seed

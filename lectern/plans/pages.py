@@ -15,7 +15,7 @@ def html_blocks(spark, d):
 
 
 def nav_links(spark, d):
-    return table(spark, d, "pages").select("page_id", F.posexplode(markup.nav_links(F.col("html"))).alias("pos", "link")).select("page_id", "pos", "link.depth", "link.href", "link.title")
+    return table(spark, d, "pages").select("page_id", F.posexplode(markup.nav_links(F.col("html"))).alias("pos", "link")).select("page_id", "pos", "link.depth", F.array_join(F.transform("link.node", lambda n: n.cast("string")), ".").alias("node"), "link.href", "link.title")
 
 
 def title_fallback(spark, d):
@@ -60,6 +60,7 @@ ORACLES = {
       t AS (SELECT page_id, unnest(range(0, len(ts))) AS i, unnest(ts) AS t FROM (SELECT page_id, regexp_extract_all(nav, {_TOKENS}) AS ts FROM n)),
       d AS (SELECT *, sum(CASE WHEN regexp_matches(t, '(?i)^</[ou]l') THEN -1 WHEN regexp_matches(t, '(?i)^<[ou]l') THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) AS depth FROM t)
       SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INTEGER) AS pos, CAST(depth AS INTEGER) AS depth,
+        CASE WHEN depth = 1 THEN CAST(count(*) FILTER (depth = 1) OVER (PARTITION BY page_id ORDER BY i) - 1 AS VARCHAR) END AS node,
         {_DECODE.format(x="regexp_extract(t, '(?is)[ ]href=.([^" + chr(34) + "]*)', 1)")} AS href, {_inline('t')} AS title FROM d WHERE regexp_matches(t, '(?i)^<a')""",
     "c3_title_fallback": rf"""WITH b AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN regexp_replace(html, '(?is)<h1.*?</h1>|<title.*?</title>', '', 'g') WHEN 1 THEN regexp_replace(html, '(?is)<h1.*?</h1>', '<h1> </h1>', 'g') ELSE html END AS html FROM pages),
       k AS (SELECT page_id, {_kept('html')} AS k FROM b) SELECT page_id, coalesce({_FIRST}, 'Bolum ' || page_id) AS title FROM k""",

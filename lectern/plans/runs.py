@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions import paths
-from lectern.operators import contents, gates, placement, telemetry
+from lectern.operators import cache, contents, gates, placement, telemetry
 from lectern.plans import sql
 from lectern.plans.tables import gpu_lines, measurements, messages, requests, table
 from lectern.sources import feeds
@@ -42,9 +42,11 @@ def _latest(spark, d):
 
 
 def result_match(spark, d):
-    rows = messages(spark, d)
-    known = rows.filter("not failed").select("task_id", F.col("run_id").alias("job_run"))
-    return rows.select("task_id", "run_id").join(known, "task_id", "left").select("task_id", "run_id", F.col("job_run").isNotNull().alias("known"))
+    """Finished lines against the orders still known as jobs: with their job's owner, or as results of unknown tasks."""
+    results = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("task_id"), F.col("l_linenumber").alias("part"))
+    jobs = table(spark, d, "orders").filter("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("task_id"), F.col("o_custkey").alias("run_id"))
+    known, lost = cache.match_results(results, jobs)
+    return known.withColumn("known", F.lit(True)).unionByName(lost.withColumn("known", F.lit(False)), allowMissingColumns=True)
 
 
 def _eligible(spark, d):
@@ -155,7 +157,7 @@ ORACLES = {
       WHEN performance_mode NOT IN ('optimized', 'deepspeed', 'compatibility') THEN 'performance mode' WHEN max_chars < 80 THEN 'chunk limit' END AS reject_reason FROM requests""",
     "d7_engine_lookup": f"WITH {sql.ENGINES}, {sql.REQUESTS} SELECT request_id, engine_id, e.max_chars, e.max_chars IS NOT NULL AS known FROM requests LEFT JOIN engines e USING (engine_id)",
     "d8_preset_lookup": f"WITH {sql.PRESETS}, {sql.REQUESTS} SELECT request_id, bitrate, sample_rate FROM requests JOIN presets USING (quality_key)",
-    "d11_result_match": f"{_M} SELECT task_id, run_id, NOT failed AS known FROM messages",
+    "d11_result_match": "SELECT l_orderkey AS task_id, l_linenumber AS part, o_custkey AS run_id, o_orderkey IS NOT NULL AS known FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey AND o_orderstatus <> 'F'",
     "e5_run_totals": f"""{_M} SELECT run_id, CAST(sum(chars) AS BIGINT) AS processed_chars, CAST(coalesce(sum(chars) FILTER (NOT cached), 0) AS BIGINT) AS synthesized_chars, CAST(sum(audio_ms) AS BIGINT) AS audio_ms,
       CAST(coalesce(sum(wall_ms) FILTER (NOT cached), 0) AS BIGINT) AS wall_ms, count(*) FILTER (cached) AS cache_hits, count(*) FILTER (NOT cached) AS uncached FROM messages GROUP BY run_id""",
     "e6_worker_throughput": f"{_M}, {_WT} SELECT * FROM wt",

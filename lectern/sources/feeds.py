@@ -19,10 +19,11 @@ def parse_messages(lines: DataFrame, line: str) -> DataFrame:
     return rows.withColumn("route", F.when(F.col("m._corrupt").isNotNull(), "log").when(F.col("m.type").isin(*KINDS), F.col("m.type")).otherwise("other"))
 
 
-def parse_gpu(lines: DataFrame, line: str) -> DataFrame:
-    """``lines`` with the sample's name, load, power and memory in GB; lines short of a field go."""
+def parse_gpu(lines: DataFrame, line: str, strict: bool = False) -> DataFrame:
+    """``lines`` with the sample's name, load, power and memory in GB; lines short of a field go, or are an error if ``strict``."""
     fields = F.split(line, " *, *")
-    rows = lines.filter(F.size(fields) >= 5).withColumn("f", fields)
+    short = F.raise_error(F.concat(F.lit("a telemetry line is short of a field: "), F.col(line))).cast("boolean") if strict else F.lit(False)
+    rows = lines.filter(F.when(F.size(fields) >= 5, True).otherwise(short)).withColumn("f", fields)
     gb = lambda i: F.round(F.col("f")[i].cast("double") / 1024, 2)
     return rows.select(
         *(c for c in lines.columns if c != line), F.trim(F.col("f")[0]).alias("gpu_name"), F.col("f")[1].cast("double").cast("int").alias("util_percent"),

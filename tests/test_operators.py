@@ -30,9 +30,22 @@ def test_selector(spark):
 
 
 def test_rollup(spark):
-    nodes = [("b", "p", None, None, False), ("b", "p/a", "p", 1, True), ("b", "p/b", "p", 2, False), ("b", "q", None, 1, False)]
-    got = contents.selection_rollup(spark.createDataFrame(nodes, "book_id string, path string, parent string, chapter_index long, selected boolean"), 2)
-    assert {r.path: r.state for r in got.collect()} == {"p": "some", "p/a": "all", "p/b": "none", "q": "all"}
+    nodes = [("b", [0], None, False), ("b", [0, 0], 1, True), ("b", [0, 1], 2, False), ("b", [1], 1, False), ("b", [2, 0, 0, 0, 0, 0], 3, True), ("b", [2, 0, 0], 9, False), ("c", [0], None, False)]
+    got = contents.selection_rollup(spark.createDataFrame(nodes, "book_id string, path array<int>, chapter_index long, selected boolean"))
+    deep = {("b", (2,) + (0,) * n): "all" for n in range(6)}
+    assert {(r.book_id, tuple(r.path)): r.state for r in got.collect()} == {("b", (0,)): "some", ("b", (0, 0)): "all", ("b", (0, 1)): "none", ("b", (1,)): "all", ("c", (0,)): "none", **deep}
+
+
+def test_contents_links_are_a_tree_that_rolls_up(spark):
+    link = lambda n: f"<a href='c{n}.html'>{n}</a>"
+    deep = "".join(f"<ol><li>{link(n)}" for n in range(3, 7)) + "</li></ol>" * 4
+    page = f"<nav><ol><li>{link(1)}<ol><li>{link(2)}{deep}</li><li>{link(7)}</li></ol></li><li>{link(8)}</li></ol><ul><li>{link(9)}</li></ul></nav>"
+    links = spark.createDataFrame([(page,)], "x string").select(F.posexplode(markup.nav_links(F.col("x"))).alias("pos", "l")).select("pos", "l.*")
+    nodes = {r.title: (r.depth, r.node) for r in links.collect()}
+    assert nodes == {"1": (1, [0]), "2": (2, [0, 0]), **{str(n): (n, [0] * n) for n in range(3, 7)}, "7": (2, [0, 1]), "8": (1, [1]), "9": (1, [2])}
+    on = links.select(F.lit("b").alias("book_id"), F.col("node").alias("path"), F.col("title").cast("long").alias("chapter_index"), (F.col("title") == "7").alias("selected"))
+    state = {tuple(r.path): r.state for r in contents.selection_rollup(on).collect()}
+    assert state[(0,)] == "some" and state[(0, 0)] == "none" and state[(0, 1)] == "all" and state[(1,)] == state[(2,)] == "none" and len(state) == 9
 
 
 def test_chunk_key_ignores_scheduling(spark):
@@ -51,23 +64,41 @@ def test_paths(spark):
 
 
 def test_tracker(spark):
-    events = [("r", i, f"2024-01-01 00:00:{i:02d}", False, 10_000, 100, 5_000) for i in range(1, 11)]
+    events = [("r", i, f"2031-05-06 07:08:{3 * i:02d}", False, 7_500, 40 + i, 2_500) for i in range(1, 11)]
     frame = spark.createDataFrame(events, "run_id string, task_id long, ts string, cached boolean, audio_ms long, chars long, wall_ms long").withColumn("ts", F.to_timestamp("ts"))
     got = {r.task_id: r for r in telemetry.running_throughput(frame).collect()}
     assert got[5].eta_seconds is None and got[5].eta_warmup
-    assert got[10].eta_seconds == 0 and got[10].realtime_factor == 10.0 and got[10].worker_factor == 2.0 and not got[10].eta_warmup
+    assert got[10].eta_seconds == 0 and got[10].realtime_factor == 2.5 and got[10].worker_factor == 3.0 and not got[10].eta_warmup
 
 
 def test_best_workers(spark):
-    cases = {"a": {1: 0.9, 2: 2.1, 3: 4.05, 4: 4.8}, "b": {1: 0.9, 2: 2.0, 3: 3.02, 4: 3.10}, "c": {1: 0.0, 2: -1.0}}
+    cases = {"a": {1: 1.7, 2: 3.999, 3: 4.0, 4: 7.5}, "b": {1: 0.4, 2: 1.93, 3: 1.95, 4: 2.0}, "c": {2: -0.3, 4: 0.0}, "d": {1: 1.95, 2: 2.0}}
     rows = spark.createDataFrame([(c, w, f) for c, v in cases.items() for w, f in v.items()], "config string, workers int, factor double")
-    assert {r.config: (r.workers, r.target_reached) for r in telemetry.best_workers(rows).collect()} == {"a": (3, True), "b": (3, False), "c": (1, False)}
+    assert {r.config: (r.workers, r.target_reached) for r in telemetry.best_workers(rows).collect()} == {"a": (3, True), "b": (3, False), "c": (1, False), "d": (1, False)}
     assert {(r.config, r.workers) for r in telemetry.take_while_below(rows).filter("config = 'a'").collect()} == {("a", 1), ("a", 2), ("a", 3)}
 
 
 def test_gpu_line(spark):
-    rows = spark.createDataFrame([("Card X, 57, 221.5, 11236, 24576",), ("Card X, 57",)], "line string")
-    assert [tuple(r) for r in feeds.parse_gpu(rows, "line").collect()] == [("Card X", 57, 222, 10.97, 24.0)]
+    rows = spark.createDataFrame([("Model 7 Y ,3 , 80.5,  1541, 8192",), ("Model 7 Y, 3, 80",)], "line string")
+    assert [tuple(r) for r in feeds.parse_gpu(rows, "line").collect()] == [("Model 7 Y", 3, 80, 1.5, 8.0)]
+    with pytest.raises(Exception, match="short of a field"):
+        feeds.parse_gpu(rows, "line", strict=True).collect()
+
+
+def test_what_is_missing_or_mismatched_is_an_error(spark):
+    parts = spark.createDataFrame([("t", 100, 8000), ("t", 60, 8000), ("u", 5, 8000)], "task_id string, frames long, sample_rate int")
+    assert {tuple(r) for r in timeline.merge_parts(parts).collect()} == {("t", 160, 8000, 0.02), ("u", 5, 8000, 0.000625)}
+    with pytest.raises(Exception, match="different sample rates: u"):
+        timeline.merge_parts(parts.unionByName(parts.limit(0).union(spark.createDataFrame([("u", 5, 9000)], parts.schema)))).collect()
+    jobs, results = spark.createDataFrame([("a", 1), ("b", 2)], "task_id string, n int"), spark.createDataFrame([("a",), ("a",), ("x",)], "task_id string")
+    assert gates.known_only(results.filter("task_id = 'a'"), jobs).count() == 2
+    with pytest.raises(Exception, match="unknown task: x"):
+        gates.known_only(results, jobs).collect()
+    books = spark.createDataFrame([("b1",), ("b2",)], "book_id string")
+    chapters = spark.createDataFrame([("b1", 1), ("b1", 2)], "book_id string, chapter_index int")
+    assert gates.require_each(books.limit(1), chapters, "book_id", "no readable chapter").count() == 1
+    with pytest.raises(Exception, match="no readable chapter: b2"):
+        gates.require_each(books, chapters, "book_id", "no readable chapter").collect()
 
 
 def test_names_and_fallbacks(spark):
@@ -84,15 +115,15 @@ def test_entities(spark):
 
 def test_no_duration_is_an_error(spark):
     jobs = spark.createDataFrame([("b", 1, 1, 5), ("b", 2, 1, None)], "book_id string, sequence long, chapter_index long, duration_ms long")
-    for made in (timeline.elapsed, timeline.chapter_timeline, timeline.timeline_total):
+    for made in (timeline.elapsed, timeline.chapter_timeline, lambda j: timeline.timeline_total(j, F.lit("p"))):
         with pytest.raises(Exception, match="no duration"):
             made(jobs).collect()
 
 
 def test_timeline_and_metadata(spark):
-    jobs = spark.createDataFrame([("b", 1, 1, 12_345), ("b", 2, 2, 0), ("b", 3, 3, 17_655)], "book_id string, sequence long, chapter_index long, duration_ms long")
+    jobs = spark.createDataFrame([("b", 1, 1, 777), ("b", 2, 2, 0), ("b", 3, 3, 5_000), ("b", 4, 3, 1)], "book_id string, sequence long, chapter_index long, duration_ms long")
     t = timeline.chapter_timeline(jobs)
-    assert sorted((r.start_ms, r.end_ms) for r in t.collect()) == [(0, 12345), (12345, 12346), (12345, 30000)]
+    assert sorted((r.start_ms, r.end_ms) for r in t.collect()) == [(0, 777), (777, 778), (777, 5778)]
     doc = timeline.chapter_metadata_doc(t.withColumn("title", F.lit("x#y")), F.lit("A=B"), F.lit("C")).first().doc
     assert doc.startswith(";FFMETADATA1\ntitle=A\\=B\nartist=C\nalbum=A\\=B\nmedia_type=2\n[CHAPTER]\n") and doc.count("[CHAPTER]") == 3 and "title=x\\#y\n" in doc
 
