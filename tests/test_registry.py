@@ -20,16 +20,25 @@ def canon(x):
     return x
 
 
-@pytest.fixture(scope="module")
-def duck():
+def tables_of(folder):
     c = duckdb.connect()
     c.execute("SET TimeZone = 'UTC'")
     for t in TABLES.split():
-        if os.path.exists(f"{SF}/{t}.parquet"):
-            c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+        if os.path.exists(f"{folder}/{t}.parquet"):
+            c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     return c
 
 
+@pytest.fixture(scope="module")
+def duck():
+    return tables_of(SF)
+
+
+@pytest.fixture(scope="module")
+def larger():
+    return tables_of("/root/testdata/sf0.01")
+
+
 def compare(frame, duck, sql):
     rel = duck.execute(sql)
     names = [d[0] for d in rel.description]
@@ -48,6 +57,11 @@ def test_query(spark, duck, name):
         assert frame.count() > 0
 
 
+@pytest.mark.parametrize("name", sorted(plans.oracle_sql()))
+def test_sql_runs_on_larger_tables(larger, name):
+    assert larger.execute(f"SELECT count(*) FROM ({plans.oracle_sql()[name]})").fetchone()[0] > 0
+
+
 def test_every_sql_belongs_to_a_query():
     assert set(plans.oracle_sql()) <= set(plans.queries())
 

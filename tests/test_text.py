@@ -17,38 +17,38 @@ def column(spark, values, expr):
     return [r.y for r in sorted(rows.collect(), key=lambda r: r.i)]
 
 
-def py_chunks(text, limit):
-    """The rules, read one by one."""
-
-    def hard(t):
-        out, rest = [], t.strip()
-        while len(rest) > limit:
-            cut = rest[: limit + 1].rfind(" ")
-            cut = limit if cut < limit // 2 else cut
-            out, rest = out + [rest[:cut].strip()], rest[cut:].strip()
-        return out + ([rest] if rest else [])
-
-    chunks = []
-    for line in text.replace(" ", " ").splitlines():
-        p = re.sub(r"[ \t\r\f\v]+", " ", line).strip()
-        if not p:
-            continue
-        units = [p]
-        if len(p) > limit:
-            held = p
-            for a in ABBREVIATIONS:
-                held = held.replace(a, a.replace(".", "\u0001"))
-            units = [s.strip().replace("\u0001", ".") for s in re.split(r"(?<=[.!?…])\s+", held) if s.strip()]
-            units = [piece for u in units for piece in (hard(u) if len(u) > limit else [u])]
-        have = ""
-        for u in units:
-            if have and len(have) + 1 + len(u) <= limit:
-                have += " " + u
-            else:
-                chunks += [have] if have else []
-                have = u
-        chunks += [have] if have else []
-    return chunks
+def paragraphs(text):
+    """The lines of a text that are not blank, with single blanks."""
+    return [p for p in (" ".join(line.replace("\u00a0", " ").split(" ")) for line in text.splitlines()) if p.strip()]
+
+
+def check_chunks(text, chunks, limit):
+    """What holds for the chunks of any text: nothing is lost or moved, and each cut is one that the rules allow."""
+    letters = lambda x: "".join(x.split())
+    assert all(c and c == c.strip() and len(c) <= limit for c in chunks)
+    at = 0
+    for p in paragraphs(text):
+        own, rest = [], letters(p)
+        while rest:  # a chunk lies in one paragraph
+            piece = letters(chunks[at])
+            assert piece and rest.startswith(piece)
+            own, rest, at = [*own, chunks[at]], rest[len(piece) :], at + 1
+        plain = " ".join(re.split(r"[ \t\r\f\v]+", p)).strip()
+        if len(plain) <= limit:
+            assert own == [plain]
+        done = ""
+        for left, right in zip(own, own[1:]):
+            done += letters(left)
+            assert len(left) + 1 + len(right) > limit  # else they would be one
+            ended = left[-1] in ".!?…" and not any(left.endswith(a) for a in ABBREVIATIONS)
+            n, pos = 0, 0
+            while n < len(done):  # where the cut is in the paragraph
+                n, pos = n + (not plain[pos].isspace()), pos + 1
+            if not plain[pos].isspace():
+                assert len(left) == limit  # only a full chunk ends inside a word
+            elif not ended:
+                assert len(left) >= limit // 2  # or a long sentence is cut at a blank
+    assert at == len(chunks)
 
 
 def test_abbreviations_do_not_end_sentences(spark):
@@ -64,21 +64,27 @@ def test_random_texts_follow_the_rules(spark):
     pieces = ["söz", "Dr.", "vb.", "uzun" * 30, "a", "b,", "c;", ".", "!", "…", "\n", "\t", " ", "😀" * 7, "No. 5"]
     texts = ["".join(rnd.choice(pieces) + rnd.choice([" ", " ", "", "  "]) for _ in range(rnd.choice([0, 3, 60, 250]))) for _ in range(300)]
     got = column(spark, texts, lambda x: T.chunk_text(x, 80))
-    assert got == [py_chunks(t, 80) for t in texts]
-    assert all(len(c) <= 80 for g in got for c in g)
-    assert all("".join("".join(g).split()) == "".join(t.split()) for g, t in zip(got, texts))
+    for t, g in zip(texts, got):
+        check_chunks(t, g, 80)
 
 
 @settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.text(alphabet="ab .!?\n,é", max_size=400), min_size=1, max_size=20))
 def test_any_text_follows_the_rules(spark, texts):
-    assert column(spark, texts, lambda x: T.chunk_text(x, 80)) == [py_chunks(t, 80) for t in texts]
+    for t, g in zip(texts, column(spark, texts, lambda x: T.chunk_text(x, 80))):
+        check_chunks(t, g, 80)
+
+
+def test_cuts_are_at_the_last_place_that_fits(spark):
+    sentence = "Bu cümle otuz harften uzundur ve. "
+    words = "abcdefg " * 30
+    cases = {sentence * 5: [(sentence * 2).strip()] * 2 + [sentence.strip()], "x" * 200: ["x" * 80, "x" * 80, "x" * 40], words: [("abcdefg " * 10).strip()] * 3, "y" * 30 + " " + "z" * 70: ["y" * 30 + " " + "z" * 49, "z" * 21]}
+    assert column(spark, list(cases), lambda x: T.chunk_text(x, 80)) == list(cases.values())
 
 
 def test_oversize_chunks_are_cut_again(spark):
-    rows = spark.createDataFrame([(["a" * 246, " ", "son"],)], "x array<string>").select(T.enforce_limit(F.col("x"), 220).alias("y"))
-    got = rows.first().y
-    assert len(got) == 3 and got[0] + got[1] == "a" * 246 and got[2] == "son"
+    rows = spark.createDataFrame([(["k" * 131, "\t", "bir iki", "m" * 90],)], "x array<string>").select(T.enforce_limit(F.col("x"), 90).alias("y"))
+    assert rows.first().y == ["k" * 90, "k" * 41, "bir iki", "m" * 90]
 
 
 def test_small_limits_are_refused():
