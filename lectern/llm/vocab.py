@@ -15,7 +15,6 @@ import os
 import re
 from array import array
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -70,10 +69,11 @@ class Known:
 
     def learn(self, texts: list[list[str]]) -> None:
         """Have the ids of all units of ``texts``."""
+        units = set().union(*texts)
         if self.held > KEPT_BYTES:
-            self.ids = {u: self.ids[u] for u in set().union(*texts) if u in self.ids}
+            self.ids = {u: self.ids[u] for u in units if u in self.ids}
             self.held = sum(len(u) + len(i) + UNIT_BYTES for u, i in self.ids.items())
-        new = list(dict.fromkeys(filterfalse(self.ids.__contains__, chain.from_iterable(texts))))
+        new = list(units.difference(self.ids))
         for unit, ids in zip(new, self.encode(new)):
             self.ids[unit] = array("I", ids).tobytes()
             self.held += len(unit) + 4 * len(ids) + UNIT_BYTES
