@@ -13,7 +13,7 @@ def position_bucket(position: Column, width: int = BUCKET) -> Column:
     return F.floor(position / width).cast("long")
 
 
-def prefix_sums(df: DataFrame, keys: list[str], bucket: Column, order: list[str], sums: dict[str, Column], before: bool = False) -> DataFrame:
+def prefix_sums(df: DataFrame, keys: list[str], bucket: Column, order: list[str | Column], sums: dict[str, Column], before: bool = False) -> DataFrame:
     """``df`` with a running sum for each of ``sums``, per ``keys``, in ``order``.
 
     ``bucket`` must not decrease along the order and bounds how many rows are sorted together.  Sums run inside
@@ -33,6 +33,6 @@ def prefix_sums(df: DataFrame, keys: list[str], bucket: Column, order: list[str]
     return rows.select(*(F.col(c) for c in df.columns if c not in sums), *((F.col(f"_s_{n}") + F.col(f"_t_{n}") - own(n)).cast("long").alias(n) for n in sums))
 
 
-def numbered(df: DataFrame, keys: list[str], bucket: Column, order: list[str], name: str) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], bucket: Column, order: list[str | Column], name: str) -> DataFrame:
     """``df`` with the row's number in its group, from 1."""
     return prefix_sums(df, keys, bucket, order, {name: F.lit(1).cast("long")})

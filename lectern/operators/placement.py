@@ -2,13 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
+
+from lectern.operators.ordered import numbered, position_bucket
+
+
+#: Costs at which the order of all jobs is cut, at equal shares of them.
+CUTS = 64
+
+
+def _cost_bucket(jobs: DataFrame, cost: str, task: str) -> Column:
+    """Where a job is in the order by falling cost, then task: between which cuts, or on one, and then among which tasks."""
+    shares = [i / CUTS for i in range(CUTS + 1)]
+    cuts = jobs.agg(F.percentile_approx(F.col(cost).cast("double"), shares, 10_000).alias("c")).first().c or []
+    cuts, value = F.array(*map(F.lit, sorted(set(cuts)))).cast("array<double>"), F.col(cost).cast("double")
+    higher, on = F.size(F.filter(cuts, lambda c: c > value)), F.array_contains(cuts, value)
+    tasks = position_bucket(F.col(task)) if isinstance(jobs.schema[task].dataType, NumericType) else F.lit(0).cast("long")
+    place = F.when(value.isNull(), 2 * CUTS + 3).otherwise(2 * higher - F.when(on, 0).otherwise(1))
+    return F.struct(place.alias("cost"), F.when(on, tasks).otherwise(F.lit(0).cast("long")).alias("task"))
 
 
 def longest_first(jobs: DataFrame, run: str, cost: str, task: str) -> DataFrame:
-    """``jobs`` with ``rank``: most costly first, ties by task."""
-    return jobs.withColumn("rank", F.row_number().over(Window.partitionBy(run).orderBy(F.col(cost).desc(), task)))
+    """``jobs`` with ``rank``: most costly first, ties by task.
+
+    Ranks are counted between sampled cuts of the costs and added up, so a run of any size is spread over many tasks; a cost that
+    many jobs have is a cut, and cut again by task.
+    """
+    return numbered(jobs, [run], _cost_bucket(jobs, cost, task), [F.col(cost).desc(), F.col(task)], "rank")
 
 
 def snake_slots(jobs: DataFrame, run: str, cost: str, task: str, slots: int) -> DataFrame:

@@ -46,6 +46,9 @@ def publish_batch(path: str):
 
 
 def write_lines(df: DataFrame, path: str, partition: str, order: list[str], line: Column) -> None:
-    """One folder of text files for each value of ``partition``, lines in ``order`` in each file."""
+    """One folder of text files for each value of ``partition``; its files, by name, hold its lines in ``order``.
+
+    Rows are dealt by ranges of partition and order, so a partition with most of the rows is written by many tasks.
+    """
     rows = df.select(F.col(partition), *(F.col(c) for c in order), line.alias("value"))
-    rows.repartition(partition).sortWithinPartitions(partition, *order).select(partition, "value").write.mode("overwrite").partitionBy(partition).text(path)
+    rows.repartitionByRange(partition, *order).sortWithinPartitions(partition, *order).select(partition, "value").write.mode("overwrite").partitionBy(partition).text(path)

@@ -144,6 +144,20 @@ def test_placement(spark):
     assert got == {1: 0, 2: 1, 3: 1, 0: 0, 4: 1}
 
 
+def test_ranks_of_one_large_run_are_counted_in_many_parts(spark, monkeypatch):
+    rows = spark.range(3000).selectExpr("IF(id < 2500, 'big', concat('r', id % 9)) AS run", "id AS task", "CASE WHEN id % 3 = 0 THEN 7.0 WHEN id = 5 THEN NULL ELSE double(id * 37 % 101) END AS cost")
+    plain = sorted(((r.run, r.task, r.cost) for r in rows.collect()), key=lambda r: (r[0], r[2] is None, -(r[2] or 0), r[1]))
+    want, last = {}, None
+    for run, task, _ in plain:
+        n, last = (n + 1 if run == last else 1), run
+        want[task] = n
+    monkeypatch.setattr("lectern.operators.ordered.BUCKET", 100)
+    got = placement.longest_first(rows, "run", "cost", "task")
+    assert got.columns == ["run", "task", "cost", "rank"] and {r.task: r["rank"] for r in got.collect()} == want
+    parts = rows.filter("run = 'big'").select(placement._cost_bucket(rows, "cost", "task").alias("b")).groupBy("b").count()
+    assert parts.count() > 40 and parts.agg(F.max("count")).first()[0] < 1000
+
+
 def test_prefix_sums_do_not_depend_on_buckets(spark):
     rows = spark.createDataFrame([("a" if i % 3 else "b", i, i * 7 % 5) for i in range(200)], "k string, pos long, v long")
     results = []
