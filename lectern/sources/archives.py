@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions.encoding import decoded
 from lectern.functions.markup import heading, html_blocks, nav_links
 from lectern.functions.paths import resolve_href, strip_fragment, suffix_pick
 from lectern.functions.text import collapse_ws, strip
@@ -53,7 +54,7 @@ def members(archives: DataFrame) -> DataFrame:
 
 def packages(files: DataFrame) -> DataFrame:
     """(path, opf_path, p): the parsed package of every archive that has one."""
-    text = F.decode("data", "UTF-8")
+    text = decoded(F.col("data"))
     roots = files.filter(F.col("member") == CONTAINER).select("path", F.from_xml(text, _CONTAINER, XML).alias("c"))
     roots = roots.select("path", F.get("c.rootfiles.rootfile", F.lit(0))["_full-path"].alias("member")).filter("member is not null")
     parsed = files.join(roots, ["path", "member"]).select("path", F.col("member").alias("opf_path"), F.from_xml(text, _PACKAGE, XML).alias("p"))
@@ -95,9 +96,9 @@ def readable(items: DataFrame) -> DataFrame:
 def chapters(files: DataFrame) -> DataFrame:
     """(path, chapter_index, title, text, source_href) of every archive's readable spine documents."""
     pkgs = packages(files)
-    html = F.decode("data", "UTF-8")
+    html = F.col("html")
     docs = member_lookup(readable(spine_manifest(spine(pkgs), manifest(pkgs))), files)
-    rows = docs.select("path", "spine_pos", F.col("member").alias("source_href"), heading(html).alias("heading"), F.array_join(html_blocks(html), "\n\n").alias("text"))
+    rows = docs.withColumn("html", decoded(F.col("data"))).select("path", "spine_pos", F.col("member").alias("source_href"), heading(html).alias("heading"), F.array_join(html_blocks(html), "\n\n").alias("text"))
     rows = numbered(rows.filter(F.length(strip(F.col("text"))) >= MIN_CHAPTER_CHARS), ["path"], position_bucket(F.col("spine_pos")), ["spine_pos"], "chapter_index")
     return rows.select("path", "chapter_index", F.coalesce("heading", F.concat(F.lit(CHAPTER_PREFIX), "chapter_index")).alias("title"), "text", "source_href")
 
@@ -144,7 +145,7 @@ def _next_level(level):
 
 def ncx_points(items: DataFrame, files: DataFrame, depth: int = NCX_DEPTH) -> DataFrame:
     """(path, node_path, depth, title, href) of every navigation point, level by level."""
-    docs = member_lookup(items, files).select("path", "member", F.from_xml(F.decode("data", "UTF-8"), f"navMap struct<navPoint:array<{_ncx_schema(depth)}>>", XML).alias("n"))
+    docs = member_lookup(items, files).select("path", "member", F.from_xml(decoded(F.col("data")), f"navMap struct<navPoint:array<{_ncx_schema(depth)}>>", XML).alias("n"))
     level = F.transform("n.navMap.navPoint", lambda x, i: F.struct(F.array(i).alias("at"), x.alias("x")))
     levels = []
     for n in range(1, depth + 1):  # the points of a level stay in their book's row until all levels are there
@@ -158,7 +159,7 @@ def ncx_points(items: DataFrame, files: DataFrame, depth: int = NCX_DEPTH) -> Da
 
 def nav_entries(items: DataFrame, files: DataFrame) -> DataFrame:
     """(path, pos, depth, title, href) of every link of the archives' navigation documents."""
-    docs = member_lookup(items, files).select("path", "member", F.posexplode(nav_links(F.decode("data", "UTF-8"))).alias("pos", "l"))
+    docs = member_lookup(items, files).select("path", "member", decoded(F.col("data")).alias("html")).select("path", "member", F.posexplode(nav_links(F.col("html"))).alias("pos", "l"))
     return docs.select("path", "pos", "l.depth", "l.title", resolve_href(F.col("member"), F.col("l.href")).alias("href"))
 
 

@@ -6,6 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.functions.encoding import decoded
 from lectern.operators import contents
 from lectern.sources import archives as A
 
@@ -88,3 +89,26 @@ def test_nested_points(files):
 def test_covers(files):
     p = A.packages(files)
     assert {(r.path, r.suffix, bytes(r.data)) for r in A.covers(p, A.manifest(p), files).collect()} == {("nav", ".jpeg", b"jpg"), ("ncx", ".jpg", b"gif")}
+
+
+def test_bytes_are_decoded_by_mark_declaration_or_utf8(spark):
+    turkish = "İğne, şöyle ığ €"
+    cases = [
+        ("mark".encode("utf-8-sig"), "mark"), (b"\xff\xfe" + "Ünlü".encode("utf-16-le"), "Ünlü"), (b"\xfe\xff" + "Ünlü".encode("utf-16-be"), "Ünlü"), ("<p>şık".encode("utf-16-le"), "<p>şık"), (b"\xff\xfea\x00b", "a"),
+        (b"<?xml version='1.0' encoding='Windows-1254'?><p>" + turkish.encode("cp1254"), f"<?xml version='1.0' encoding='Windows-1254'?><p>{turkish}"),
+        (b'<html><meta http-equiv="x" content="text/html; charset=ISO-8859-9"><p>' + "ÇĞŞ".encode("cp1254"), '<html><meta http-equiv="x" content="text/html; charset=ISO-8859-9"><p>ÇĞŞ'),
+        (b'<meta charset=latin1>' + "Café – ž".encode("cp1252"), "<meta charset=latin1>Café – ž"), (b"bad \xff byte", "bad � byte"), ("söz".encode(), "söz"), (b"", ""), (None, None),
+    ]
+    got = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, data binary").select("i", decoded(F.col("data")).alias("t")).orderBy("i").collect()
+    assert [r.t for r in got] == [w for _, w in cases]
+
+
+def test_archives_in_other_encodings(spark):
+    html = 'media-type="application/xhtml+xml"'
+    wide = f"<html><body><h1>Geniş</h1><p>{LONG}</p></body></html>".encode("utf-16")
+    narrow = b"<?xml version='1.0' encoding='windows-1254'?><html><body><h1>" + "Şiir".encode("cp1254") + b"</h1><p>" + LONG.encode() + b"</p></body></html>"
+    nav = "<html><nav epub:type='toc'><ol><li><a href='a.xhtml'>Öykü</a></li></ol></nav></html>".encode("utf-16")
+    made = book([f'id="n" href="nav.xhtml" {html} properties="nav"', f'id="a" href="a.xhtml" {html}', f'id="b" href="b.xhtml" {html}'], ["a", "b"], {"OEBPS/a.xhtml": wide, "OEBPS/b.xhtml": narrow, "OEBPS/nav.xhtml": nav})
+    rows = A.members(spark.createDataFrame([("x.epub", made)], "path string, content binary"))
+    assert sorted((r.chapter_index, r.title) for r in A.chapters(rows).collect()) == [(1, "Geniş"), (2, "Şiir")]
+    assert [(r.title, r.href) for r in A.contents(rows).collect()] == [("Öykü", "OEBPS/a.xhtml")]
