@@ -10,7 +10,7 @@ from lectern.functions import keys
 from lectern.operators import cache, contents, timeline
 from lectern.operators.ordered import numbered, position_bucket
 from lectern.plans import sql
-from lectern.plans.tables import ENGINE, artifacts, chapters, jobs, options, requests, table, toc
+from lectern.plans.tables import ENGINE, artifacts, chapters, jobs, requests, table, toc
 from lectern.schemas import MIN_ARTIFACT_SECONDS, UNKNOWN_AUTHOR
 from lectern.sources import store
 from lectern.sources.sinks import settled, shared_dir
