@@ -31,6 +31,11 @@ from lectern.llm.common import for_python, hash63, limit63, settle, table
 LABELLED, ROUNDS, SURE = 5000, 4, 0.95
 #: Pseudo-labels of each kind that a view passes on in a round, as expected; fewer if it is sure of fewer.
 PASSED_ON = 150
+#: How many times as many are kept while a round's labels are still being counted.
+SPARE = 4
+#: Of what each view, 0 or 1, is sure: kind 0 or 1.
+GROUPS = ((0, 0), (0, 1), (1, 0), (1, 1))
+_SURE_TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
 ACCEPT = 0.3
 BUCKETS, SHAPES, SOURCES, LANGS = 1024, 3, 32, 16
 ROWS_AT_ONCE = 512
@@ -157,42 +162,71 @@ def sample(rows: DataFrame, chosen: DataFrame) -> tuple[np.ndarray, np.ndarray,
     return np.array([k.y for k in keys], float), *views
 
 
-def confident(rows: DataFrame, weights: list[np.ndarray], turn: int) -> list[dict[int, tuple[float, np.ndarray]]]:
-    """What each view is told by the other in round ``turn``: the kind and its own features, by a row's mark.
+def _sure(rows: DataFrame, weights: list[np.ndarray], turn: int, caps: list[int]) -> DataFrame:
+    """Both views label all of ``rows``: a settled (g, mark, draw, seen, n).
 
-    Both views label all of ``rows``.  Of the rows of a kind that a view is sure of, those are passed on whose
-    hash falls in a share of PASSED_ON of their number.
+    There is a row for each one of group ``g`` whose draw is at most its cap, with what the other view sees of it,
+    and from each task a row with how many rows, ``n``, each group has there.
     """
-    shared, inputs = rows.sparkSession.sparkContext.broadcast(weights), [c for c in rows.columns if c not in ("_q_id", "_q_mark")]
+    shared, inputs = rows.sparkSession.sparkContext.broadcast((weights, caps)), [c for c in rows.columns if c not in ("_q_id", "_q_mark")]
+    draws = [hash63("_q_mark", F.lit(turn), F.lit(i)) for i in (0, 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, caps = shared.value
+        names, sizes, seen = ["g", "mark", "draw", "seen", "n"], [0] * len(GROUPS), set()
         for b in batches:
             for lo in range(0, b.num_rows, ROWS_AT_ONCE):
-                part = b.slice(lo, ROWS_AT_ONCE)
-                p = [_probability(margin(v, w)) for v, w in zip(_views(part, 1), shared.value)]
-                kinds = [pa.array(np.where(x >= SURE, 1, 0), pa.int32(), mask=(x < SURE) & (x > 1 - SURE)) for x in p]
-                yield pa.RecordBatch.from_arrays([part.column(0), *kinds], names=["mark", "k0", "k1"])
-
-    said = for_python(rows.select("_q_mark", *inputs)).mapInArrow(run, "mark bigint, k0 int, k1 int")
-    said = settle(said.filter("k0 IS NOT NULL OR k1 IS NOT NULL"), "quality-sure")
-    groups = [(i, kind) for i in (0, 1) for kind in (0, 1)]
-    n = said.agg(*(F.count_if(F.col(f"k{i}") == kind) for i, kind in groups)).first()
-    draw = lambda i: hash63("mark", F.lit(turn), F.lit(i))
-    limit = [limit63(PASSED_ON, c) for c in n]
-    picks = [F.max(F.when((F.col(f"k{i}") == kind) & (draw(i) <= limit[g]), kind)) for g, (i, kind) in enumerate(groups)]
-    picked = said.groupBy("mark").agg(F.coalesce(picks[0], picks[1]).alias("k0"), F.coalesce(picks[2], picks[3]).alias("k1"))
-    picked = {r.mark: (r.k0, r.k1) for r in picked.filter("k0 IS NOT NULL OR k1 IS NOT NULL").collect()}  # about 4 * PASSED_ON
+                part, found = b.slice(lo, ROWS_AT_ONCE), []
+                views = _views(part, 3)
+                p = [_probability(margin(v, w)) for v, w in zip(views, weights)]
+                mark, *draw = (part.column(i).to_numpy() for i in range(3))
+                for g, (i, kind) in enumerate(GROUPS):
+                    sure = p[i] >= SURE if kind else p[i] <= 1 - SURE
+                    sizes[g] += int(sure.sum())
+                    for at in np.flatnonzero(sure & (draw[i] <= caps[g])):
+                        if (g, mark[at]) not in seen:  # rows alike, however many, are one
+                            seen.add((g, mark[at]))
+                            found.append((g, mark[at], draw[i][at], views[1 - i][at].tobytes(), 0))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), _SURE_TYPES)], names=names)
+        found = [(g, None, None, None, n) for g, n in enumerate(sizes)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), _SURE_TYPES)], names=names)
+
+    said = for_python(rows.select("_q_mark", *draws, *inputs)).mapInArrow(run, "g int, mark long, draw long, seen binary, n long")
+    return settle(said, "quality-sure")
+
+
+def confident(rows: DataFrame, weights: list[np.ndarray], turn: int, expected: list[int] | None = None) -> list[dict[int, tuple[float, np.ndarray]]]:
+    """What each view is told by the other in round ``turn``: the kind and its own features, by a row's mark.
+
+    Both views label all of ``rows``.  Of the rows of a kind that a view is sure of, those are passed on whose
+    hash falls in a share of PASSED_ON of their number.  That number is known when all are labelled, so the pass
+    keeps what falls in a share SPARE times as large of the ``expected`` number, all rows by default; only for
+    groups with fewer than a SPARE-th of that are the rows read again.
+    """
+    expected = expected or [rows.count()] * len(GROUPS)
+    caps = [limit63(SPARE * PASSED_ON, n) for n in expected]
+    said = _sure(rows, weights, turn, caps)
+    n = {r.g: r.n for r in said.groupBy("g").agg(F.sum("n").alias("n")).collect()}
+    limits = [limit63(PASSED_ON, n[g]) if n.get(g) else -1 for g in range(len(GROUPS))]
+    missed = [limit if limit > cap else -1 for limit, cap in zip(limits, caps)]
+    if max(missed) >= 0:
+        said = said.unionByName(_sure(rows, weights, turn, missed))
+    limit = F.array(*map(F.lit, limits))[F.col("g")]
     told: list[dict] = [{}, {}]
-    if picked:
-        marks = F.broadcast(rows.sparkSession.createDataFrame([(m,) for m in picked], "_q_mark bigint"))
-        keys, *views = _features(rows.join(marks, "_q_mark").dropDuplicates(["_q_mark"]).select("_q_mark", *inputs))
-        for at, mark in enumerate(keys):
-            for i in (0, 1):
-                if picked[mark][i] is not None:
-                    told[1 - i][mark] = (float(picked[mark][i]), views[1 - i][at])
+    for r in said.filter(F.col("draw") <= limit).dropDuplicates(["g", "mark"]).collect():  # about 4 * PASSED_ON
+        i, kind = GROUPS[r.g]
+        told[1 - i][r.mark] = (float(kind), np.frombuffer(r.seen, np.float32))
     return told
 
 
+def sure_of(weights: list[np.ndarray], views: tuple[np.ndarray, np.ndarray], total: int) -> list[int]:
+    """How many of ``total`` rows each group should have, by the rows of ``views``; at least one."""
+    p = [_probability(margin(v, w)) for v, w in zip(views, weights)]
+    shares = [np.mean(p[i] >= SURE if kind else p[i] <= 1 - SURE) for i, kind in GROUPS]
+    return [max(1, int(share * total)) for share in shares]
+
+
 def cotrain(y: np.ndarray, views: tuple[np.ndarray, np.ndarray], ask: Callable[[list, int], list[dict]]) -> dict | None:
     """The calibrated, combined model of two views, or None if there are not two kinds of labels.
 
@@ -262,7 +296,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "te
     chosen = chosen_labels(labels, doc)
     y, *views = sample(rows, chosen)
     others = rows.join(F.broadcast(chosen), F.col("_q_id") == F.col("_q_doc"), "left_anti")
-    return cotrain(y, tuple(views), lambda weights, turn: confident(others, weights, turn))
+    total = others.count()
+    return cotrain(y, tuple(views), lambda weights, turn: confident(others, weights, turn, sure_of(weights, views, total)))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
