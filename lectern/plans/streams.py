@@ -11,7 +11,7 @@ from lectern.operators.engine import ColumnEngine, apply_engine, guarded_apply
 from lectern.operators.telemetry import micros, ratio
 from lectern.plans import runs, sql
 from lectern.plans.tables import gpu_lines, jobs, messages, table
-from lectern.sources.sinks import publish, publish_batch, shared_dir
+from lectern.sources.sinks import publish, publish_batch, publish_batch_apart, read_apart, shared_dir
 from lectern.streaming import telemetry as S
 from lectern.streaming.observers import observed
 from lectern.streaming.replay import delivered
@@ -31,26 +31,44 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run ``stream`` over all input there is and read what it published; in complete mode the last batch."""
-    spark, path = stream.sparkSession, _shared(stream.sparkSession)
-    provider = "spark.sql.streaming.stateStore.providerClass"
+def _drained(stream: DataFrame, state: str, mode: str, write) -> None:
+    """Run ``stream`` over all input there is, each batch handed to ``write``."""
+    spark, provider = stream.sparkSession, "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider, None)
     spark.conf.set(provider, S.ROCKSDB)
     try:
-        q = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{path}/state").foreachBatch(publish_batch(f"{path}/out")).start()
+        q = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", state).foreachBatch(write).start()
         q.awaitTermination()
     finally:
         spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
+
+
+def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Run ``stream`` over all input there is and read what it published; in complete mode the last batch."""
+    spark, path = stream.sparkSession, _shared(stream.sparkSession)
+    _drained(stream, f"{path}/state", mode, publish_batch(f"{path}/out"))
     out = spark.read.schema(stream.schema.add("batch_id", "long")).parquet(f"{path}/out")
     if mode == "complete":
         out = out.join(F.broadcast(out.agg(F.max("batch_id").alias("batch_id"))), "batch_id")
     return out.drop("batch_id")
 
 
-def stream_messages(spark, d):
+def _messages_apart(spark, d):
+    """The messages of the stream of lines, and its lines that are none, as the two tables that one run writes."""
     line = F.when(F.col("task_id") % 10 == 0, "  ").when(F.col("task_id") % 5 == 0, F.concat(F.lit("log "), F.col("props"))).otherwise(F.concat(F.lit('{"type": "'), F.when(F.col("event_type") == "error", "task_error").when(F.col("event_type") == "view", "pong").otherwise("result"), F.lit('", '), F.expr("substr(props, 2)")))
-    return finished(S.routed(_events(spark, d).select(F.col("task_id").alias("event_id"), line.alias("line")), "line").select("event_id", "route", "m.k"))
+    routed = S.routed(_events(spark, d).select(F.col("task_id").alias("event_id"), line.alias("line")), "line")
+    stream, path = routed.select("event_id", "route", "m.k", F.when(F.col("route") == "log", F.col("line")).alias("line")), _shared(spark)
+    _drained(stream, f"{path}/state", "append", publish_batch_apart(f"{path}/out", F.col("route") == "log"))
+    return read_apart(spark, f"{path}/out", stream.schema)
+
+
+def stream_messages(spark, d):
+    told, log = _messages_apart(spark, d)
+    return told.unionByName(log).drop("line")
+
+
+def stream_log_lines(spark, d):
+    return _messages_apart(spark, d)[1].select("event_id", "line")
 
 
 def _delivered(events, key):
@@ -110,6 +128,7 @@ QUERIES = {
     "b3_atomic_publish": atomic_publish,
     "l4_observers": observers,
     "k1_stream_messages": stream_messages,
+    "k1_stream_log_lines": stream_log_lines,
     "k2_stream_throughput": stream_throughput,
     "k3_stream_throttle": stream_throttle,
     "k4_stream_worker_stats": stream_worker_stats,
@@ -122,6 +141,7 @@ ORACLES = {
     "b3_atomic_publish": f"WITH {sql.JOBS} SELECT book_id, sequence, task_id FROM jobs",
     "l4_observers": f"WITH {sql.MESSAGES} SELECT count(*) AS events, count(*) FILTER (cached) AS cache_hits, CAST(sum(chars) AS BIGINT) AS chars, max(audio_ms) AS longest_ms FROM messages",
     "k1_stream_messages": runs.ORACLES["a8_worker_messages"],
+    "k1_stream_log_lines": "SELECT event_id, 'log ' || props AS line FROM events WHERE event_id % 5 = 0 AND event_id % 10 <> 0",
     "k2_stream_throughput": runs.ORACLES["f6_eta"].replace("SELECT run_id, task_id, round(", "SELECT run_id, task_id, processed, made_audio, fresh, round(f, 6) AS realtime_factor, round("),
     "k3_stream_throttle": runs.ORACLES["f10_throttle_samples"],
     "k4_stream_worker_stats": runs.ORACLES["e6_worker_throughput"],

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,6 +46,25 @@ def publish_batch(path: str):
     return write
 
 
+def publish_batch_apart(path: str, apart: Column):
+    """A foreachBatch function that writes a batch as two tables under its id: the rows where ``apart`` holds, and the others.
+
+    Both are partitions of one write, so they appear together, and a repeated batch replaces itself in both.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.withColumn("apart", F.coalesce(apart, F.lit(False))).withColumn("batch_id", F.lit(batch_id))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("apart", "batch_id").parquet(path)
+
+    return write
+
+
+def read_apart(spark: SparkSession, path: str, columns: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """The ``columns`` of the other rows, and of those that ``publish_batch_apart`` set apart; each reads its own files."""
+    rows = spark.read.schema(T.StructType([*columns, T.StructField("apart", T.BooleanType()), T.StructField("batch_id", T.LongType())])).parquet(path)
+    return tuple(rows.filter(side).select(*columns.names) for side in (~F.col("apart"), F.col("apart")))
+
+
 def write_lines(df: DataFrame, path: str, partition: str, order: list[str], line: Column) -> None:
     """One folder of text files for each value of ``partition``; its files, by name, hold its lines in ``order``.
 
