@@ -68,3 +68,24 @@ def test_a_file_that_is_no_audio_has_no_seconds(spark, tmp_path):
     text.write.partitionBy("book_id", "chapter_index").text(str(tmp_path / "odd"))
     assert [r.seconds for r in store.measured(spark, str(tmp_path / "odd")).collect()] == [None]
     assert store.measured(spark, str(tmp_path / "odd")).filter(F.col("seconds") > 0).count() == 0
+
+
+def test_files_of_few_bytes_of_rows_are_written_and_listed_by_all_cores(spark, tmp_path):
+    path, sc = str(tmp_path / "audio"), spark.sparkContext
+    chapters = spark.range(400).groupBy((F.col("id") % 2).alias("book_id"), F.floor(F.col("id") / 2).alias("chapter_index")).agg(F.lit(30).cast("long").alias("duration_ms"))
+    store.save_audio(chapters, path, 100)
+    made = list((tmp_path / "audio").rglob("part-*"))
+    assert len(made) == 400 and len({f.name.split("-")[1] for f in made}) >= sc.defaultParallelism
+    setting = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(setting)
+    sc.setJobGroup("listing", "listing")
+    try:
+        found = store.files(spark, path)
+        jobs_run = sc.statusTracker().getJobIdsForGroup("listing")
+        stages = [sc.statusTracker().getStageInfo(s) for j in jobs_run for s in sc.statusTracker().getJobInfo(j).stageIds]
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert stages and max(s.numTasks for s in stages) <= store.TASKS_PER_CORE * sc.defaultParallelism < 200  # folders of a book
+    assert spark.conf.get(setting) == before and store.listing(spark, path, found).count() == 400
+    store.save_audio(chapters.filter("book_id = 1").withColumn("duration_ms", F.lit(50).cast("long")), path, 100)
+    assert sorted({(r.book_id, r.length) for r in store.listing(spark, path).collect()}) == [("0", 48), ("1", 50)]
