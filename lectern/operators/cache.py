@@ -27,6 +27,22 @@ def removable(artifacts: DataFrame, finished: DataFrame) -> DataFrame:
     return artifacts.join(finished.filter("not keep"), "book_id", "left_semi")
 
 
+#: Rows of a side that one task matches, about.
+MATCH_ROWS = 1 << 20
+
+
+def matched(results: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Results with their job and ``known``; of unknown tasks with nulls for a job.
+
+    Both sides are counted and dealt to as many tasks as their rows need, so a task sorts no more of them where there are more.
+    """
+    cores = results.sparkSession.sparkContext.defaultParallelism
+    parts = max(cores, -(-max(results.count(), jobs.count()) // MATCH_ROWS))
+    told = jobs.withColumn("known", F.lit(True)).repartition(parts, "task_id")
+    return results.repartition(parts, "task_id").join(told, "task_id", "left").withColumn("known", F.col("known").isNotNull())
+
+
 def match_results(results: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Results with their job, and results of unknown tasks."""
-    return results.join(jobs, "task_id"), results.join(jobs, "task_id", "left_anti")
+    rows = matched(results, jobs)
+    return rows.filter("known").drop("known"), rows.filter("not known").select(*results.columns)

@@ -264,3 +264,16 @@ def test_throttle_and_change_log_go_on_over_clock_boundaries(spark):
     samples = events.select(F.col("run_id").alias("device"), F.col("task_id").alias("event_id"), "ts")
     assert sorted(r.event_id for r in telemetry.throttle(samples, 900).collect()) == [0, 2, 3, 5, 6, 7]
     assert sorted(r.task_id for r in telemetry.change_log(events).collect()) == [0, 2, 5, 7]
+
+
+def test_a_task_matches_no_more_results_where_there_are_more(spark, monkeypatch):
+    monkeypatch.setattr(cache, "MATCH_ROWS", 100)
+    results = spark.range(2000).select((F.col("id") % 700).alias("task_id"), "id").unionByName(spark.createDataFrame([(None, -1)], "task_id long, id long"))
+    jobs = spark.range(0, 1000, 2).select(F.col("id").alias("task_id"), (F.col("id") * 10).alias("run_id"))
+    rows = cache.matched(results, jobs)
+    assert rows.columns == ["task_id", "id", "run_id", "known"]
+    assert sorted((r.id, r.run_id, r.known) for r in rows.collect()) == sorted([(-1, None, False), *((i, i % 700 * 10 if i % 700 % 2 == 0 else None, i % 700 % 2 == 0) for i in range(2000))])
+    assert [r.n for r in rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect() if r.n > 300] == []
+    assert "repartition_by_num" in rows._jdf.queryExecution().toString().lower()
+    known, lost = cache.match_results(results, jobs)
+    assert known.columns == ["task_id", "id", "run_id"] and lost.columns == ["task_id", "id"] and known.count() + lost.count() == 2001
