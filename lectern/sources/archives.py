@@ -1,7 +1,7 @@
 """Book archives: members, package tables, contents and covers, for many books at once.
 
 ``archives`` are (path, content) rows, as Spark's binaryFile source gives them.  Only unpacking runs in
-Python, an archive at a time; everything after it is columns.
+Python, an archive at a time out of batches of bounded bytes; everything after it is columns.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from lectern.functions.paths import resolve_href, strip_fragment, suffix_pick
 from lectern.functions.text import collapse_ws, strip
 from lectern.operators.ordered import numbered, position_bucket
 from lectern.schemas import CHAPTER_PREFIX, DEFAULT_LANGUAGE, MIN_CHAPTER_CHARS, NO_TITLE, UNKNOWN_AUTHOR
+from lectern.sources.batches import for_python
 
 CONTAINER = "META-INF/container.xml"
 NCX_TYPE, NCX_DEPTH = "application/x-dtbncx+xml", 6
@@ -49,7 +50,7 @@ def members(archives: DataFrame) -> DataFrame:
                     rows = [(path, None, None, type(e).__name__)]
                 yield pd.DataFrame(rows, columns=["path", "member", "data", "error"])
 
-    return archives.select("path", "content").mapInPandas(run, "path string, member string, data binary, error string")
+    return for_python(archives.select("path", "content")).mapInPandas(run, "path string, member string, data binary, error string")
 
 
 def packages(files: DataFrame) -> DataFrame:

@@ -3,12 +3,14 @@
 import io
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions.encoding import decoded
 from lectern.operators import contents
 from lectern.sources import archives as A
+from lectern.sources.batches import ARROW_BYTES
 
 CONTAINER = '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/content.opf"/></rootfiles></container>'
 LONG = "a chapter needs some words to be read"
@@ -112,3 +114,18 @@ def test_archives_in_other_encodings(spark):
     rows = A.members(spark.createDataFrame([("x.epub", made)], "path string, content binary"))
     assert sorted((r.chapter_index, r.title) for r in A.chapters(rows).collect()) == [(1, "Geniş"), (2, "Şiir")]
     assert [(r.title, r.href) for r in A.contents(rows).collect()] == [("Öykü", "OEBPS/a.xhtml")]
+
+
+def test_archives_reach_python_in_batches_of_bounded_bytes(spark):
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting, None)
+    spark.conf.unset(setting)
+    try:
+        big = spark.range(0, 40, 1, 1).select(F.col("id").cast("string").alias("path"), F.encode(F.repeat(F.lit("x"), 2 << 20), "UTF-8").alias("content"))
+        opened = A.members(big)
+        assert spark.conf.get(setting, None) == f"{ARROW_BYTES}b"
+        assert opened.filter("error = 'BadZipFile'").count() == 40
+        sizes = [r.n for r in big.mapInArrow(lambda batches: (pa.RecordBatch.from_pylist([{"n": b.nbytes}]) for b in batches), "n long").collect()]
+        assert sum(sizes) > 40 * (2 << 20) and max(sizes) < ARROW_BYTES + (3 << 20)
+    finally:
+        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
