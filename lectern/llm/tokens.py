@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,8 @@ HEAD, FOOT = struct.Struct("<8sII2IQQ"), struct.Struct("<QQQ")
 BLOCK_IDS, FILE_IDS = 1 << 16, 1 << 23
 #: Planes of a block: 4 of bytes or 32 of bits.
 PLANES = 4
+#: Bytes of a batch whose texts are encoded together.
+SLICE_BYTES = 1 << 20
 #: The id that ends each document.
 END_ID = 0
 LEVEL = 3
@@ -66,20 +69,48 @@ def _index_type(planes: int) -> np.dtype:
     return np.dtype([("at", "<u8"), ("ids", "<u4"), ("sizes", "<u4", (planes,))])
 
 
+class Packer:
+    """Makes a file of documents as they come: full blocks are compressed at once, so only frames and one block are held."""
+
+    def __init__(self, task: int, number: int, planes: int = PLANES, block: int = BLOCK_IDS):
+        self.task, self.number, self.planes, self.block = task, number, planes, block
+        self.press = zstandard.ZstdCompressor(level=LEVEL)
+        self.frames, self.index, self.at, self.n_ids = [], [], HEAD.size, 0
+        self.keys, self.lengths, self.open = [], array("Q"), bytearray()
+
+    def add(self, key: int | None, ids: bytes) -> None:
+        self.keys.append(key)
+        self.lengths.append(len(ids) // 4)
+        self.open += ids
+        self.n_ids += len(ids) // 4
+        whole = len(self.open) // (4 * self.block) * 4 * self.block
+        for i in range(0, whole, 4 * self.block):
+            self._block(bytes(self.open[i : i + 4 * self.block]))
+        del self.open[:whole]
+
+    def _block(self, ids: bytes) -> None:
+        made = [self.press.compress(p) for p in planes_of(np.frombuffer(ids, "<u4"), self.planes)]
+        self.index.append((self.at, len(ids) // 4, [len(f) for f in made]))
+        self.frames += made
+        self.at += sum(map(len, made))
+
+    def finish(self) -> bytes:
+        """The file, without its END."""
+        if self.open:
+            self._block(bytes(self.open))
+        index = np.array(self.index, _index_type(self.planes)) if self.index else np.zeros(0, _index_type(self.planes))
+        keys = np.array([k or 0 for k in self.keys], "<i8").tobytes() + np.array([k is None for k in self.keys], np.uint8).tobytes()
+        listed = self.press.compress(keys + np.array(self.lengths, "<u8").tobytes())
+        head = HEAD.pack(MAGIC, self.planes, self.block, self.task, self.number, len(self.keys), self.n_ids)
+        return b"".join([head, *self.frames, index.tobytes(), listed, FOOT.pack(self.at, self.at + index.nbytes, len(listed))])
+
+
 def pack(docs: list[tuple[int | None, bytes]], task: int, number: int, planes: int = PLANES, block: int = BLOCK_IDS) -> bytes:
     """A file of the (document id, 32-bit ids) given, without its END."""
-    ids = np.frombuffer(b"".join(d for _, d in docs), "<u4")
-    out, press = [HEAD.pack(MAGIC, planes, block, task, number, len(docs), len(ids))], zstandard.ZstdCompressor(level=LEVEL)
-    index, at = np.zeros(-(-len(ids) // block), _index_type(planes)), HEAD.size
-    for i in range(len(index)):
-        part = ids[i * block : (i + 1) * block]
-        frames = [press.compress(p) for p in planes_of(part, planes)]
-        index[i] = (at, len(part), [len(f) for f in frames])
-        out += frames
-        at += sum(map(len, frames))
-    keys = np.array([k or 0 for k, _ in docs], "<i8").tobytes() + np.array([k is None for k, _ in docs], np.uint8).tobytes()
-    listed = press.compress(keys + np.array([len(d) // 4 for _, d in docs], "<u8").tobytes())
-    return b"".join([*out, index.tobytes(), listed, FOOT.pack(at, at + index.nbytes, len(listed))])
+    made = Packer(task, number, planes, block)
+    for key, ids in docs:
+        made.add(key, ids)
+    return made.finish()
 
 
 class File:
@@ -132,16 +163,18 @@ def write_ids(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, task, number = vocab.byte_level(vocabulary, plain=False), TaskContext.get().partitionId(), 0
-        waiting, size = [], 0
+        file = Packer(task, number, planes)
         for b in batches:
-            for k, ids in zip(b.column("key").to_pylist(), encode(vocab.strings(b.column("text")))):
-                waiting.append((k, ids + end))
-                size += len(ids) // 4 + 1
-                if size >= file_ids:
-                    yield pa.RecordBatch.from_arrays([pa.array([pack(waiting, task, number, planes)], pa.binary())], names=["file"])
-                    waiting, size, number = [], 0, number + 1
-        if waiting:
-            yield pa.RecordBatch.from_arrays([pa.array([pack(waiting, task, number, planes)], pa.binary())], names=["file"])
+            step = max(1, len(b) * SLICE_BYTES // max(1, b.nbytes))
+            for part in (b.slice(i, step) for i in range(0, len(b), step)):
+                for k, ids in zip(part.column("key").to_pylist(), encode(vocab.strings(part.column("text")))):
+                    file.add(k, ids + end)
+                    if file.n_ids >= file_ids:
+                        yield pa.RecordBatch.from_arrays([pa.array([file.finish()], pa.binary())], names=["file"])
+                        number += 1
+                        file = Packer(task, number, planes)
+        if file.keys:
+            yield pa.RecordBatch.from_arrays([pa.array([file.finish()], pa.binary())], names=["file"])
 
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(key).cast("long").alias("key"), body.alias("text"), F.xxhash64(body).alias("tie"), F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20)).alias("row"))

@@ -27,6 +27,8 @@ CUT_PIECES = r"(?<=\S) (?=\S)"
 RUN, KEPT_BYTES = 1 << 20, 128 << 20
 #: Bytes counted for a remembered unit besides its own.
 UNIT_BYTES = 150
+#: Units that the library encodes in one call.
+TOGETHER = 4096
 
 #: Where runs may be cut, and what a text holds that is not split at all its spaces.
 _CALM, _ODD = re.compile(r"\S \S"), re.compile(r"\A | (?=\s|\Z)")
@@ -74,9 +76,10 @@ class Known:
             self.ids = {u: self.ids[u] for u in units if u in self.ids}
             self.held = sum(len(u) + len(i) + UNIT_BYTES for u, i in self.ids.items())
         new = list(units.difference(self.ids))
-        for unit, ids in zip(new, self.encode(new)):
-            self.ids[unit] = array("I", ids).tobytes()
-            self.held += len(unit) + 4 * len(ids) + UNIT_BYTES
+        for i in range(0, len(new), TOGETHER):  # what the library holds of a unit is many times its ids
+            for unit, ids in zip(new[i : i + TOGETHER], self.encode(new[i : i + TOGETHER])):
+                self.ids[unit] = array("I", ids).tobytes()
+                self.held += len(unit) + 4 * len(ids) + UNIT_BYTES
 
     def of(self, units: list[str]) -> bytes:
         return b"".join(map(self.ids.__getitem__, units))

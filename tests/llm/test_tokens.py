@@ -92,3 +92,14 @@ def test_bytes_that_are_not_text(spark, tmp_path):
     frame = spark.sql("SELECT 1L AS k, cast(x'61FF62' AS string) AS t UNION ALL SELECT 2L, 'fine'")
     tokens.write_ids(frame, f"{tmp_path}/ids", "k", "t")
     assert sorted(tuple(r) for r in tokens.read_ids(spark, f"{tmp_path}/ids").collect()) == want([(1, "a�b"), (2, "fine")])
+
+
+def test_a_file_being_made_holds_one_open_block_and_frames():
+    made, ids = tokens.Packer(3, 1, block=1000), np.arange(700, dtype="<u4").tobytes()
+    docs = [(None if i == 5 else i, ids[: 4 * (i % 701)]) for i in range(2000)]
+    for key, d in docs:
+        made.add(key, d)
+        assert len(made.open) < 4 * 1000 and made.n_ids == sum(made.lengths)
+    file = tokens.File(made.finish() + tokens.END.encode())
+    assert [b"".join(p) for p in file.documents()] == [d for _, d in docs] and file.null.nonzero()[0].tolist() == [5]
+    assert (file.task, file.number, file.n_ids) == (3, 1, made.n_ids)
