@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 
+from lectern.plans import streams
 from lectern.streaming import telemetry as S
 
 
@@ -80,3 +81,57 @@ def test_nulls_wait_as_nulls():
     p.released = lambda key, events: (seen.extend(events), pd.DataFrame())[1]
     list(p.handleExpiredTimer((1,), Clock(1), None))
     assert [(e["cached"], e["audio_ms"]) for e in seen] == [(True, None), (None, 7)]
+
+
+class Kept(Handle):
+    """A handle that gives the same states again."""
+
+    def __init__(self):
+        self.states = {}
+
+    def getListState(self, name, shape):
+        return self.states.setdefault(name, Listed())
+
+    def getValueState(self, name, shape):
+        return self.states.setdefault(name, State())
+
+
+def followed(rows):
+    handle, out = Kept(), []
+    for first, end, passed in ((0, 300, 200), (300, 450, 450)):  # a new processor each time, as in a new task: counters come from the state
+        p = S._Tracker()
+        p.init(handle)
+        list(p.handleInputRows((1,), iter([rows[rows["at"].between(first * 1000, end * 1000 - 1)]]), None))
+        out += list(p.handleExpiredTimer((1,), Clock(passed), None))
+    return pd.concat(out).sort_values("task_id").reset_index(drop=True)
+
+
+def test_runs_that_share_a_key_keep_their_own_counters():
+    rng, n = np.random.default_rng(2), 900
+    rows = pd.DataFrame({"run_id": np.arange(n) % 37, "at": rng.permutation(n) // 2 * 1000, "task_id": np.arange(n), "cached": rng.random(n) < 0.2, "closing": False})
+    rows = rows.assign(chars=rng.integers(1, 99, n), audio_ms=rng.integers(1, 999, n), wall_ms=rng.integers(-5, 99, n))
+    rows["total"] = rows.groupby("run_id")["chars"].transform("sum")
+    alone = pd.concat([followed(own) for _, own in rows.groupby("run_id")])
+    together = followed(rows)
+    assert len(together) == n and together["eta_seconds"].notna().sum() > n // 3
+    pd.testing.assert_frame_equal(together, alone.sort_values("task_id").reset_index(drop=True))
+
+
+def test_many_short_runs_share_few_keys(spark, monkeypatch):
+    monkeypatch.setattr(S, "_ordered", lambda events, key, *_: events.select("run_id", events[key].alias("key")))
+    events = spark.range(6000).selectExpr("id % 2000 AS run_id")
+    keys = {(r.run_id, r.key) for r in S.tracked(events, 5).collect()}
+    assert len(keys) == 2000 and len({k for _, k in keys}) == 5
+    assert len({r.key for r in S.tracked(events).collect()}) <= S.GROUPS
+
+
+def test_groups_grow_with_the_events(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(streams, "_delivered", lambda events, key: events)
+    monkeypatch.setattr(streams, "finished", lambda stream: stream)
+    monkeypatch.setattr(S, "tracked", lambda events, groups: seen.append(groups))
+    for size in (streams.GROUP_EVENTS, 30):
+        monkeypatch.setattr(streams, "GROUP_EVENTS", size)
+        streams.stream_throughput(spark, "/root/testdata/sf0.001")
+    n = spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+    assert seen == [1, -(-n // 30)]
