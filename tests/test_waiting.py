@@ -1,5 +1,6 @@
 """Events that wait for the watermark: few bytes each, handed over in order and in steps."""
 
+import duckdb
 import numpy as np
 import pandas as pd
 
@@ -135,3 +136,8 @@ def test_groups_grow_with_the_events(spark, monkeypatch):
         streams.stream_throughput(spark, "/root/testdata/sf0.001")
     n = spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
     assert seen == [1, -(-n // 30)]
+
+
+def test_halves_are_rounded_as_in_sql():
+    assert [S._rounded(x, 4) for x in (2845087.80135, -2845087.80135, 0.00005, 0.00004999, 0.0, 3e300)] == [2845087.8014, -2845087.8014, 0.0001, 0.0, 0.0, 3e300]
+    assert duckdb.execute("SELECT round(2845087.80135::DOUBLE, 4), round(-2845087.80135::DOUBLE, 4)").fetchone() == (2845087.8014, -2845087.8014)
