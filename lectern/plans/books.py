@@ -116,9 +116,9 @@ def artifact_inventory(spark, d):
     chapters_ms = jobs(spark, d).groupBy("book_id", "chapter_index").agg(F.sum("duration_ms").alias("duration_ms"))
     path = f"{shared_dir(spark)}/audio-{uuid.uuid4().hex}"
     store.save_audio(chapters_ms.filter("chapter_index % 3 = 0"), path, AUDIO_RATE)
-    files = store.files(spark, path)
-    found = store.listing(spark, path, files).groupBy("book_id").agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"), F.max("length").alias("largest"))
-    long = store.measured(spark, path, files).filter(F.col("seconds") > MIN_ARTIFACT_SECONDS).groupBy("book_id").agg(F.count(F.lit(1)).alias("valid"), F.round(F.sum("seconds"), 2).alias("seconds"))
+    files, heads = store.inventory(spark, path)
+    found = files.groupBy("book_id").agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"), F.max("length").alias("largest"))
+    long = heads.filter(F.col("seconds") > MIN_ARTIFACT_SECONDS).groupBy("book_id").agg(F.count(F.lit(1)).alias("valid"), F.round(F.sum("seconds"), 2).alias("seconds"))
     return found.join(long, "book_id", "left").select("book_id", "files", "bytes", "largest", F.coalesce("valid", F.lit(0)).alias("valid"), F.coalesce("seconds", F.lit(0.0)).alias("seconds"))
 
 

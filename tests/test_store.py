@@ -89,3 +89,37 @@ def test_files_of_few_bytes_of_rows_are_written_and_listed_by_all_cores(spark, t
     assert spark.conf.get(setting) == before and store.listing(spark, path, found).count() == 400
     store.save_audio(chapters.filter("book_id = 1").withColumn("duration_ms", F.lit(50).cast("long")), path, 100)
     assert sorted({(r.book_id, r.length) for r in store.listing(spark, path).collect()}) == [("0", 48), ("1", 50)]
+
+
+def test_files_of_a_local_folder_are_what_sparks_writer_makes(spark, tmp_path):
+    rows = [("b 1/ü", 1, 12_345), ("b 1/ü", 2, 30), ("x=y+{z}%", 1, 20_000), ("007", 4, 20_000), (None, 1, 900), ("b 1/ü", 3, 40), ("b 1/ü", 3, 40)]
+    made = {}
+    for how, path in (("spark", str(tmp_path / "spark")), ("tasks", f"file://{tmp_path}/a b/tasks")):
+        store.save_audio(spark.createDataFrame(rows, "book_id string, chapter_index long, duration_ms long"), path, 100)
+        root = tmp_path / ("spark" if how == "spark" else "a b/tasks")
+        made[how] = sorted((str(f.parent.relative_to(root)), f.read_bytes()) for f in root.rglob("part-*"))
+        listed, heads = store.inventory(spark, path)
+        assert sorted((r.book_id or "", r.chapter_index, r.length) for r in listed.collect()) == sorted((b or "", c, 45 + ms // 10) for b, c, ms in rows)
+        assert {(r.book_id, r.chapter_index, r.seconds) for r in heads.collect()} == {("b 1/ü", 1, 12.34), ("x=y+{z}%", 1, 20.0), ("007", 4, 20.0)}
+    assert made["spark"] == made["tasks"] and len(made["tasks"]) == len(rows)
+    again = spark.createDataFrame([("b 1/ü", 3, 50)], "book_id string, chapter_index long, duration_ms long")
+    store.save_audio(again, f"file://{tmp_path}/a b/tasks", 100)  # takes the place of two files
+    assert sorted(r.length for r in store.inventory(spark, f"file://{tmp_path}/a b/tasks")[0].filter("book_id = 'b 1/ü'").collect()) == [48, 50, 1279]
+
+
+def test_many_files_start_no_process_each_and_few_tasks_read_them(spark, tmp_path):
+    path, sc = f"file://{tmp_path}/audio", spark.sparkContext
+    chapters = spark.range(400).select((F.col("id") % 2).alias("book_id"), F.floor(F.col("id") / 2).alias("chapter_index"), F.lit(30).cast("long").alias("duration_ms"))
+    store.save_audio(chapters, path, 100)
+    made = list((tmp_path / "audio").rglob("*"))
+    assert not [f for f in made if f.name.endswith(".crc")]  # what Hadoop's local files have beside them, each with a process of its own
+    assert len([f for f in made if f.is_file()]) == 400 and len({f.name.split("-")[1] for f in made if f.is_file()}) >= sc.defaultParallelism
+    sc.setJobGroup("inventory", "inventory")
+    try:
+        listed, _ = store.inventory(spark, path)
+        jobs_run = sc.statusTracker().getJobIdsForGroup("inventory")
+        tasks = [sc.statusTracker().getStageInfo(i).numTasks for j in jobs_run for i in sc.statusTracker().getJobInfo(j).stageIds]
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert max(tasks) <= store.TASKS_PER_CORE * sc.defaultParallelism and listed.count() == 400
+    assert spark.conf.get("spark.sql.files.openCostInBytes") in ("4194304b", "4MB", "4194304")
