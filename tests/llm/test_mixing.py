@@ -1,9 +1,11 @@
 """Pfair mixing: the deviation bound, whole output, exhausted sources."""
 
 import math
+import random
 from collections import Counter
 from fractions import Fraction
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +96,55 @@ def test_columns_without_an_order(spark):
     rows = spark.range(100).selectExpr("id AS doc_id", "'s' AS source", "map('k', id) AS more")
     got = mixing.mixed(rows).collect()
     assert sorted(r.mix_position for r in got) == list(range(100)) and all(r.more == {"k": r.doc_id} for r in got)
+
+
+def plain_schedule(blocks, weights):
+    """The rule of the docstring, each slot by a look at every source."""
+    done, out, active = [0] * len(blocks), [], [s for s, n in enumerate(blocks) if n and weights[s]]
+    while active:
+        start, base, total = len(out), list(done), sum(weights[s] for s in active)
+        while all(done[s] < blocks[s] for s in active):
+            windows = [(-(-(done[s] - base[s] + 1) * total // weights[s]), s, (done[s] - base[s]) * total // weights[s]) for s in active]
+            deadline, s, release = min(x for x in windows if x[2] <= len(out) - start)
+            out.append((s, done[s], start + release, start + deadline))
+            done[s] += 1
+        active = [s for s in active if done[s] < blocks[s]]
+    return out
+
+
+def test_schedule_is_that_of_the_rule():
+    draw = random.Random(7)
+    for most_blocks, most_weight in ((1, 1), (1, 50), (3, 4), (30, 10), (30, 10**15)):
+        for _ in range(20):
+            n = draw.randint(0, 60)
+            blocks, weights = [draw.randint(0, most_blocks) for _ in range(n)], [draw.randint(1, most_weight) for _ in range(n)]
+            assert mixing.schedule(blocks, weights) == plain_schedule(blocks, weights)
+
+
+def test_a_hundred_thousand_sources_start_anew_after_each():
+    draw = random.Random(7)
+    rows = [draw.randint(1, 40) for _ in range(100_000)] + [400_000]
+    order = mixing.schedule([-(-n // 32) for n in rows], mixing.whole([math.sqrt(n) for n in rows]))  # a look at all sources after each would take hours
+    assert Counter(s for s, *_ in order) == {s: -(-n // 32) for s, n in enumerate(rows)}
+
+
+def equals_sql(folder, got):
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+        want = c.execute(f"SELECT doc_id, source, block, slot, release, deadline, mix_position FROM ({mixing.ORACLES['op7_mixing']}) ORDER BY mix_position").fetchall()
+    return [tuple(r) for r in got.select("doc_id", "source", "block", "slot", "release", "deadline", "mix_position").orderBy("mix_position").collect()] == want
+
+
+def test_more_sources_than_are_sent_are_each_scheduled_by_themselves(spark, write):
+    rows = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 4 == 0, F.lit(None)).when(F.col("id") % 4 == 1, "é hot").otherwise(F.concat(F.lit("s"), F.col("id") % 2200)).alias("source"))
+    folder = write(rows, "documents")
+    got = mixing.op7_mixing(spark, folder)
+    assert rows.select("source").distinct().count() > mixing.SENT_SOURCES == 1000
+    assert equals_sql(folder, got)
+
+
+def test_blocks_stay_as_small_where_the_schedule_is_long(spark, write, monkeypatch):
+    monkeypatch.setattr(mixing, "SLOTS", 8)
+    monkeypatch.setattr(mixing, "SLOT_BATCH", 7, raising=False)
+    folder = write(spark.range(4000).select(F.when(F.col("id") % 11 > 0, F.floor(F.col("id") / 2) * 2).alias("doc_id"), (F.col("id") * F.col("id") % 7).cast("string").alias("source")), "documents")
+    assert equals_sql(folder, mixing.op7_mixing(spark, folder))
