@@ -24,6 +24,22 @@ def test_query_keeps_its_laws(spark, write):
     assert 0.08 < moved < 0.14 and max(map(len, slots.values())) < 1.25 * min(map(len, slots.values()))
 
 
+def test_whole_documents_move_and_the_query_reads_them_in_their_shards(spark, write, monkeypatch):
+    rows = [(i, f"text {i}" if i % 9 else None, "en", i % 4, {"k": i}) for i in range(500)]
+    folder = write(spark.createDataFrame(rows, "doc_id long, text string, lang string, size long, more map<string,int>"), "documents")
+    moved, real = [], sharding.sharded
+
+    def sharded(*args, **kw):
+        moved.append(real(*args, **kw))
+        return moved[-1].withColumn("text", F.concat(F.lit("moved "), "text"))
+
+    monkeypatch.setattr(sharding, "sharded", sharded)
+    got = {r.doc_id: (r.size, r.text_crc32) for r in sharding.op10_sharding(spark, folder).collect()}
+    texts = {i: ("moved " + t if t else "").encode() for i, t, *_ in rows}
+    assert got == {i: (len(t) + 1, zlib.crc32(t)) for i, t in texts.items()}
+    assert Counter((r.doc_id, r.text, r.lang, r["size"], tuple(r.more.items())) for r in moved[0].collect()) == Counter((i, t, g, n, tuple(m.items())) for i, t, g, n, m in rows)
+
+
 def expected(rows, shards, buckets, seed=sharding.SEED):
     """Shard and slot of (doc_id, size, text_crc32) rows, one bucket at a time, by the laws of the docstring."""
     spark_hash = lambda values: [r[0] for r in values.collect()]
