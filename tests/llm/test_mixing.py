@@ -148,3 +148,10 @@ def test_blocks_stay_as_small_where_the_schedule_is_long(spark, write, monkeypat
     monkeypatch.setattr(mixing, "SLOT_BATCH", 7, raising=False)
     folder = write(spark.range(4000).select(F.when(F.col("id") % 11 > 0, F.floor(F.col("id") / 2) * 2).alias("doc_id"), (F.col("id") * F.col("id") % 7).cast("string").alias("source")), "documents")
     assert equals_sql(folder, mixing.op7_mixing(spark, folder))
+
+
+def test_few_sources_start_no_python_on_executors(spark, monkeypatch):
+    real, here = mixing.slots, []
+    monkeypatch.setattr(mixing, "slots", lambda *of: here.append(of) or real(*of))
+    rows = spark.range(300).selectExpr("id AS doc_id", "CAST(id % 3 AS STRING) AS source")
+    assert mixing.mixed(rows).count() == 300 and len(here) == 1
