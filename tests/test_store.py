@@ -123,3 +123,10 @@ def test_many_files_start_no_process_each_and_few_tasks_read_them(spark, tmp_pat
         sc.setLocalProperty("spark.jobGroup.id", None)
     assert max(tasks) <= store.TASKS_PER_CORE * sc.defaultParallelism and listed.count() == 400
     assert spark.conf.get("spark.sql.files.openCostInBytes") in ("4194304b", "4MB", "4194304")
+
+
+def test_no_row_gives_no_file(spark, tmp_path):
+    path = f"file://{tmp_path}/none"
+    store.save_audio(spark.createDataFrame([], "book_id string, chapter_index long, duration_ms long"), path, 100)
+    listed, heads = store.inventory(spark, path)
+    assert listed.collect() == heads.collect() == []
